@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -168,9 +169,12 @@ def wide_columns(
 
 
 def remove_negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Drop rows in which any of the columns is negative."""
-    worst = F.least(*columns) if len(columns) > 1 else F.col(columns[0])
-    return df.filter(worst >= 0)
+    """Drop rows in which any of the columns is negative.
+
+    One predicate per column: a single one over all columns makes the optimizer
+    derive a variant for every combination of their aliases.
+    """
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in columns]))
 
 
 def outlier_filter(

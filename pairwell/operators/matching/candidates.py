@@ -30,6 +30,9 @@ _BUCKETS = 1 << 20
 _SLACK = 1e-9
 # Elements of the largest distance matrix held at once (32 MB).
 _CHUNK = 4_000_000
+# Aim and limit for the number of cells of a stratum.
+_CELL_ROWS = 2048
+_MAX_CELLS = 4096
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -105,13 +108,13 @@ def _centroids(controls: DataFrame, n_list: int | None, train_rows: int) -> Data
     """(stratum, rows, cells, centroids): trained per stratum on a sample of
     bounded size, chosen by hash.
 
-    Without ``n_list`` the number of cells is four times the square root of the
-    stratum's size, within [16, 1024].
+    Without ``n_list`` a cell is meant to hold ``_CELL_ROWS`` controls, so small
+    strata are one cell, and there are at most ``_MAX_CELLS``.
     """
     sized = controls.groupBy("stratum").agg(F.count("*").alias("rows")).withColumn(
         "cells",
         F.lit(n_list) if n_list
-        else F.least(F.lit(1024), F.greatest(F.lit(16), F.ceil(4 * F.sqrt("rows")).cast("int"))),
+        else F.least(F.lit(_MAX_CELLS), F.ceil(F.col("rows") / _CELL_ROWS).cast("int")),
     )
     share = F.least(F.lit(1.0), F.col("cells") * train_rows / F.col("rows"))
     sample = controls.select("stratum", "vec").join(sized, "stratum").filter(

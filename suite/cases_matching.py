@@ -65,12 +65,12 @@ def _(t: Tables) -> DataFrame:
 
 @case("knn_candidates_exact", "select * from x_edges")
 def knn_exact(t: Tables) -> DataFrame:
-    return edges(t, exact=True, n_probe=2)
+    return edges(t, exact=True)
 
 
 @case("knn_within_distance", "select * from x_edges where d2 <= 1.9")
 def _(t: Tables) -> DataFrame:
-    return edges(t, exact=True, n_probe=2, max_distance_sq=1.9)
+    return edges(t, exact=True, n_list=5, n_probe=2, max_distance_sq=1.9)
 
 
 @case("knn_candidates_ivf")
@@ -93,7 +93,7 @@ def _(t: Tables) -> DataFrame:
     return candidates.top_k(longest, ["member_id"], 3).drop("d2", "control_key")
 
 
-@case("self_neighbour_check", "select stratum, key as exposed_key, key as control_key, 0.0 as d2, 1 as rank from x_points where is_control")
+@case("self_neighbour_check", "select stratum, key as exposed_key, key as control_key, cast(0 as double) as d2, 1 as rank from x_points where is_control")
 def _(t: Tables) -> DataFrame:
     return candidates.self_neighbours(t.vectors)
 
@@ -123,13 +123,13 @@ _SEVERAL = f"""
         union all
         select k.cohort, k.stratum, w.turn,
                case when list_contains(k.gone, w.exposed_key) then k.held
-                    when p.pick is null then list_filter(k.held, h -> h.e <> w.exposed_key)
+                    when p.pick is null then list_filter(k.held, lambda h: h.e <> w.exposed_key)
                     else list_append(k.held, {{'e': w.exposed_key, 'c': p.pick, 'n': w.n}}) end,
                case when p.pick is null then list_append(k.gone, w.exposed_key) else k.gone end
         from walk k join turns w on w.cohort = k.cohort and w.stratum = k.stratum and w.turn = k.turn + 1,
-             lateral (select list_filter(w.wish, c -> not list_contains(list_transform(k.held, h -> h.c), c))[1] as pick) p),
+             lateral (select list_filter(w.wish, lambda c: not list_contains(list_transform(k.held, lambda h: h.c), c))[1] as pick) p),
     done as (select cohort, stratum, unnest(arg_max(held, turn)) as h from walk group by cohort, stratum)
-    select cohort, stratum, h.e as exposed_key, h.c as control_key, h.n as n, x.d2
+    select d.cohort, d.stratum, h.e as exposed_key, h.c as control_key, h.n as n, x.d2
     from done d join x_edges x on x.exposed_key = h.e and x.control_key = h.c"""
 
 
@@ -150,20 +150,20 @@ def ready(t: Tables) -> DataFrame:
 
 
 def _points(t: Tables) -> DataFrame:
-    return materialize(strata.match_points(ready(t), ID, EXACT_COLUMNS, SCALED), "points")
+    return t.stored("points", lambda: strata.match_points(ready(t), ID, EXACT_COLUMNS, SCALED))
 
 
-def matched_rows(t: Tables, only: list[str] | None = None) -> DataFrame:
-    if only is None and "matched" in t.__dict__:
-        return t.__dict__["matched"]
+def match(t: Tables, only: list[str] | None = None) -> DataFrame:
     matched, _ = detail.main_match(
         cohort_rows(t), ready(t), ID, EXACT_COLUMNS, SCALED, FINAL, only=only, n_list=40,
         k=10, max_distance_sq=50.0)
-    if only is None:
-        t.__dict__["matched"] = matched = materialize(matched, "matched")
     return matched
 
 
+def matched_rows(t: Tables) -> DataFrame:
+    return t.stored("matched", lambda: match(t))
+
+
 _NEAR = "select cohort, stratum, exposed_key, b.key as control_key, b.d2 as d2 from x_near where b.d2 <= 50{}"
 _KEY = "p.cohort || '_' || p.stratum || '_' || e.member_id || '_' || strftime(e.utc_period, '%Y-%m-%d')"
 MATCHED = f""", matched as (
@@ -179,12 +179,12 @@ MATCHED = f""", matched as (
 
 @case("main_match", greedy_sql(_NEAR.format(" and cohort = '1-URGENT'"), MATCHED + "select * from matched"))
 def _(t: Tables) -> DataFrame:
-    return matched_rows(t, ["1-URGENT"])
+    return match(t, ["1-URGENT"])
 
 
 @case("match_many_cohorts", greedy_sql(_NEAR.format(""), MATCHED + "select * from matched"))
 def match_many(t: Tables) -> DataFrame:
-    return matched_rows(t)
+    return match(t)
 
 
 @case("tag_matches", """

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pairwell.functions import measures
 from pairwell.operators import claims, cohorts, features, report
 from pairwell.plans import report_cohorts, select_cohorts
-from pairwell.session import materialize
 from suite.oracle import LEADING, POST, PRE, TRAILING, mean2, r2, wide_columns, wide_sql
 from suite.registry import case
 from suite.tables import EXCLUDE, EXPOSED, Tables
@@ -19,10 +18,11 @@ TOTALS = [measures.offset_name("total_claims", n) for n in range(-PRE, POST + 1)
 
 
 def stored_claims(t: Tables) -> DataFrame:
-    """Claims as a written table, as a study would read them."""
-    if "stored_claims" not in t.__dict__:
-        t.__dict__["stored_claims"] = materialize(t.claims, "claims")
-    return t.__dict__["stored_claims"]
+    return t.stored("claims", lambda: t.claims)
+
+
+def stored_flags(t: Tables) -> DataFrame:
+    return t.stored("flags", lambda: t.flags)
 
 
 def exposed(t: Tables) -> DataFrame:
@@ -39,13 +39,14 @@ def wide_exposed(t: Tables) -> DataFrame:
     return claims.remove_negatives(wide, wide_columns())
 
 
+def build_cohorts(t: Tables) -> DataFrame:
+    claim_rows, flags = stored_claims(t), stored_flags(t)
+    return select_cohorts.build_cohorts(
+        exposed(t), control(t), claim_rows, claim_rows, flags, flags, WINDOWS, LEADING, TRAILING)
+
+
 def cohort_rows(t: Tables) -> DataFrame:
-    if "cohort_rows" not in t.__dict__:
-        rows = select_cohorts.build_cohorts(
-            exposed(t), control(t), stored_claims(t), stored_claims(t), t.flags, t.flags,
-            WINDOWS, LEADING, TRAILING)
-        t.__dict__["cohort_rows"] = materialize(rows, "cohorts")
-    return t.__dict__["cohort_rows"]
+    return t.stored("cohorts", lambda: build_cohorts(t))
 
 
 @case("clean_window_anti_join", "select * from x_clean")
@@ -146,7 +147,7 @@ def _(t: Tables) -> DataFrame:
     select e.member_id, e.category, e.utc_period, w.total_claims_p0, coalesce(f.asthma, 0) as asthma, coalesce(f.copd, 0) as copd
     from x_exposed e join x_wide w using (member_id, utc_period) left join x_flags f on f.member_id = e.member_id""")
 def _(t: Tables) -> DataFrame:
-    joined = cohorts.features_join(exposed(t), wide_exposed(t), t.flags)
+    joined = cohorts.features_join(exposed(t), wide_exposed(t), stored_flags(t))
     return joined.select(*ID, "total_claims_p0", "asthma", "copd")
 
 
@@ -184,7 +185,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("build_cohorts", "select * exclude (person_id) from x_cohorts")
 def _(t: Tables) -> DataFrame:
-    return cohort_rows(t).drop("person_id")
+    return build_cohorts(t).drop("person_id")
 
 
 @case("event_categories", """
@@ -223,7 +224,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("scale_vector", """
     select member_id, category, utc_period, round(total_claims_m1 / s1, 6) as total_claims_m1,
-           round(age / s2, 6) as age, 0.0 as flat
+           round(age / s2, 6) as age, cast(0 as double) as flat
     from x_cohorts, (select stddev_samp(total_claims_m1) as s1, stddev_samp(age) as s2 from x_cohorts)""")
 def _(t: Tables) -> DataFrame:
     rows = cohort_rows(t).select(*ID, "total_claims_m1", "age", F.lit(7).alias("flat"))

@@ -205,7 +205,7 @@ CTES: dict[str, str] = {
         having count(*) filter (is_control) > 5 and count(*) filter (not is_control) > 0""",
     "x_pairs": """
         select e.stratum, e.key as exposed_key, c.key as control_key,
-               round(list_sum(list_transform(range(1, 65), i -> (e.vec[i] - c.vec[i]) * (e.vec[i] - c.vec[i]))), 9) as d2
+               round(list_sum(list_transform(range(1, 65), lambda i: (e.vec[i] - c.vec[i]) * (e.vec[i] - c.vec[i]))), 9) as d2
         from x_points e join x_points c on e.stratum = c.stratum and c.is_control
         where not e.is_control and e.stratum in (select stratum from x_strata)""",
     "x_edges": """
@@ -446,7 +446,7 @@ def greedy_sql(edges: str, result: str) -> str:
             select w.cohort, w.stratum, w.seq,
                    case when p.pick is null then k.used else list_append(k.used, p.pick) end, w.exposed_key, p.pick
             from walk k join wishes w on w.cohort = k.cohort and w.stratum = k.stratum and w.seq = k.seq + 1,
-                 lateral (select list_filter(w.wish, c -> not list_contains(k.used, c))[1] as pick) p),
+                 lateral (select list_filter(w.wish, lambda c: not list_contains(k.used, c))[1] as pick) p),
         pairs as (select cohort, stratum, exposed_key, control_key from walk where control_key is not null)
         {result}"""
 

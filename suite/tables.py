@@ -6,6 +6,7 @@ the tables they read, apart from the small code lists.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pairwell.functions import dates
 from pairwell.operators import visits
 from pairwell.plans import ingest
+from pairwell.session import materialize
 from pairwell.sources.readers import month_table
 
 EXPOSED = ["1-URGENT", "2-HIGH"]
@@ -28,6 +30,9 @@ def pick(col: Column, names: list[str | None]) -> Column:
     return F.array(*[F.lit(n) for n in names])[col.cast("int")]
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -36,6 +41,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table written once per session, as a study would store it."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = materialize(build(), name)
+        return _STORED[key]
+
     # Events and members
 
     @cached_property
