@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import dates
@@ -23,15 +23,19 @@ def clean_exposed(
     to ``post`` months after (both ends counted).
 
     An event never disqualifies its own category.  Each excluded event is
-    written to the months it disqualifies and those are reduced to the first
-    and last category name per (person, month): another category is present
-    unless both are the event's own.  So the anti join is on equality, its
-    right side has one row per key, and one join serves all categories.
+    written to the months it disqualifies and those are reduced to the lowest
+    and highest category (by place in the list) per (person, month): another
+    category is present unless both are the event's own.  So the anti join is on
+    equality, its right side has one row per key, and one join serves all
+    categories.
     """
+    def place(col: str) -> Column:
+        return F.array_position(F.array(*[F.lit(c) for c in exclude]), F.col(col))
+
     blocked = (
         events.filter(F.col("category").isin(*exclude))
         .select(
-            "person_id", "category",
+            "person_id", place("category").alias("place"),
             F.explode(
                 F.sequence(
                     F.add_months("utc_period", -post), F.add_months("utc_period", pre),
@@ -40,17 +44,17 @@ def clean_exposed(
             ).alias("utc_period"),
         )
         .groupBy("person_id", "utc_period")
-        .agg(F.min("category").alias("low"), F.max("category").alias("high"))
+        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
     )
     wanted = events.filter(F.col("category").isin(*exposed)).select(
-        "person_id", "utc_period", "category"
+        "person_id", "utc_period", "category", place("category").alias("place")
     )
     same_month = (
         (wanted.person_id == blocked.person_id)
         & (wanted.utc_period == blocked.utc_period)
-        & ((blocked.low != wanted.category) | (blocked.high != wanted.category))
+        & ((blocked.low != wanted.place) | (blocked.high != wanted.place))
     )
-    return wanted.join(blocked, same_month, "left_anti")
+    return wanted.join(blocked, same_month, "left_anti").drop("place")
 
 
 def within_claims(

@@ -65,20 +65,30 @@ def nearest_in_block(
     """(exposed row, control row, d²) of the k nearest controls per exposed row.
 
     ``controls`` is in preference order: of equally near ones the first wins.
+    A matrix product gives distances up to float error; whatever is within that
+    error of the k-th is then computed exactly.
     """
+    center = controls.mean(axis=0)
+    a, b = exposed - center, controls - center
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    error = 2e-9 + 1e-12 * (a2.max() + b2.max())
+    nth = min(k, len(b)) - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for part in _chunks(len(exposed), len(controls)):
-        d2 = squared_distances(exposed[part], controls)
-        nth = min(k, d2.shape[1]) - 1
-        within = d2 <= np.partition(d2, nth, axis=1)[:, nth, None]
+    for part in _chunks(len(a), len(b)):
+        near = a2[part, None] + b2[None, :] - 2 * (a[part] @ b.T)
+        bound = np.partition(near, nth, axis=1)[:, nth]
         if limit is not None:
-            within &= d2 <= limit
-        rows, cols = np.nonzero(within)
-        dist = d2[rows, cols]
+            bound = np.minimum(bound, limit)
+        rows, cols = np.nonzero(near <= bound[:, None] + error)
+        diff = exposed[rows + part.start] - controls[cols]
+        dist = np.round((diff * diff).sum(axis=1), 9)
+        if limit is not None:
+            keep = dist <= limit
+            rows, cols, dist = rows[keep], cols[keep], dist[keep]
         by = np.lexsort((cols, dist, rows))
         rows, cols, dist = rows[by], cols[by], dist[by]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = place < k
         found.append((rows[keep] + part.start, cols[keep], dist[keep]))
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
@@ -117,8 +127,8 @@ def _centroids(controls: DataFrame, n_list: int | None, train_rows: int) -> Data
         else F.least(F.lit(_MAX_CELLS), F.ceil(F.col("rows") / _CELL_ROWS).cast("int")),
     )
     share = F.least(F.lit(1.0), F.col("cells") * train_rows / F.col("rows"))
-    sample = controls.select("stratum", "vec").join(sized, "stratum").filter(
-        F.pmod(F.xxhash64("vec"), F.lit(_BUCKETS)) < share * _BUCKETS
+    sample = controls.join(sized, "stratum").filter(
+        F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)) < share * _BUCKETS
     )
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -297,17 +307,21 @@ def nearest_controls(
     ``max_distance_sq`` farther controls are left out, which changes no match.
     ``exact=False`` searches ``n_probe`` cells only.
     """
-    # Of controls with one vector, only the k first can be among k nearest.
-    copies = W.partitionBy("stratum", "vec").orderBy("key")
-    controls = (
-        points.filter("is_control").select("stratum", "key", "vec")
-        .withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy")
-    )
+    controls = points.filter("is_control").select("stratum", "key", "vec")
     exposed = points.filter(~F.col("is_control"))
     searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key"))
 
     centroids = materialize(_centroids(controls, n_list, train_rows), "centroids")
-    placed = materialize(_assign_cells(controls, centroids, block_rows), "cells")
+    # With few cells everywhere the first pass visits all of them already.
+    most_cells = centroids.agg(F.max(F.size("centroids"))).first()[0] or 0
+    exact = exact and most_cells > n_probe
+    # Of controls with one vector, only the k first can be among k nearest.
+    copies = W.partitionBy("stratum", "cell", "vec").orderBy("key")
+    placed = materialize(
+        _assign_cells(controls, centroids, block_rows)
+        .withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy"),
+        "cells",
+    )
     cells = (
         placed.groupBy("stratum", "cell").agg(F.max("dist").alias("radius"))
         .join(

@@ -50,7 +50,12 @@ def add_claims(
     rows: DataFrame, claims: DataFrame, flags: DataFrame, windows: Windows = Windows(),
     leading: Sequence[str] = LEADING, trailing: Sequence[str] = TRAILING,
 ) -> DataFrame:
-    """Wide claims features (required, none negative) and chronic flags."""
+    """Wide claims features (required, none negative) and chronic flags.
+
+    Overlapping profiles can repeat a row; repeats are dropped here, while rows
+    are narrow.  The features are unique per member and month.
+    """
+    rows = rows.distinct()
     wide = claim_ops.claims_panel(
         rows.select("member_id", "utc_period"), claims, leading, trailing,
         windows.match_pre, windows.match_post,
@@ -105,4 +110,4 @@ def build_cohorts(
     return claim_ops.outlier_filter(
         measures.fill_zero(rows), months,
         [measures.sum_name("total_claims", 0, windows.eval_post)],
-    ).distinct()
+    )

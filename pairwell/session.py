@@ -15,6 +15,12 @@ _SETTINGS = {
     # A hot key may hold a third of all rows: split it even where that costs
     # one more shuffle further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Wide feature projections exceed what the JVM compiles as one method and
+    # would run interpreted; past this size operators compile separately.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows already grouped by member may be joined on (member, month) as they
+    # are.  Members are bounded by the calendar wherever that happens.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
