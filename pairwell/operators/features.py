@@ -31,12 +31,14 @@ def scale_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     There is no centring, and a constant column becomes 0.  The deviations come
     from one aggregation that enters the plan as a scalar subquery.
     """
-    spread = df.agg(
-        F.struct(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in columns])
-    ).scalar()
+    def deviation(c: str) -> Column:
+        # Merged partial deviations of a constant are not exactly 0.
+        return F.when(F.min(c) < F.max(c), F.stddev_samp(F.col(c).cast("double")))
+
+    spread = df.agg(F.struct(*[deviation(c).alias(c) for c in columns])).scalar()
 
     def scaled(c: str) -> Column:
-        sd = F.coalesce(spread.getField(c), F.lit(0.0))
+        sd = spread.getField(c)
         return F.when(sd > 0, F.col(c).cast("double") / sd).otherwise(F.lit(0.0))
 
     return df.withColumns({c: scaled(c) for c in columns})
