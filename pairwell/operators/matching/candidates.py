@@ -93,11 +93,20 @@ def nearest_in_block(
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
+def nearest_center(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Nearest center of each point, up to float error."""
+    half = (centers * centers).sum(axis=1) / 2
+    out = np.empty(len(points), dtype=np.int64)
+    for part in _chunks(len(points), len(centers)):
+        out[part] = (half[None, :] - points[part] @ centers.T).argmin(axis=1)
+    return out
+
+
 def train_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     """k-means centroids of a sample, started from its first rows."""
     centers = np.unique(sample[:cells], axis=0)
     for _ in range(rounds):
-        nearest = squared_distances(sample, centers).argmin(axis=1)
+        nearest = nearest_center(sample, centers)
         counts = np.bincount(nearest, minlength=len(centers))
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, sample)
@@ -163,12 +172,8 @@ def _assign_cells(controls: DataFrame, centroids: DataFrame, block_rows: int) ->
         if len(points):
             centers = _centers(cells["centroids"].iloc[0])
             vectors = _matrix(points["vec"])
-            cell = np.empty(len(points), dtype=np.int64)
-            dist = np.empty(len(points))
-            for part in _chunks(len(points), len(centers)):
-                d2 = squared_distances(vectors[part], centers)
-                cell[part] = d2.argmin(axis=1)
-                dist[part] = np.sqrt(d2.min(axis=1))
+            cell = nearest_center(vectors, centers)
+            dist = np.sqrt(((vectors - centers[cell]) ** 2).sum(axis=1))
             out["cell"], out["dist"] = cell, dist
         return out
 

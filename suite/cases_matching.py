@@ -110,13 +110,14 @@ def _(t: Tables) -> DataFrame:
     return assign.greedy_match(cohort_edges(t, max_distance_sq=1.9), task_edges=0)
 
 
+# Two controls each: turn after turn, carrying who holds what and who has left.
 _SEVERAL = f"""
     with recursive wishes as (
         select cohort, stratum, exposed_key, list(control_key order by rank) as wish,
                row_number() over (partition by cohort, stratum order by exposed_key) as seq
         from ({_COHORT_EDGES}) group by cohort, stratum, exposed_key),
     turns as (select w.*, r.n, seq + (r.n - 1) * count(*) over (partition by cohort, stratum, r.n) as turn
-              from wishes w, (values (1), (2), (3)) r(n)),
+              from wishes w, (values (1), (2)) r(n)),
     walk as (
         select distinct cohort, stratum, cast(0 as bigint) as turn, cast([] as struct(e bigint, c bigint, n int)[]) as held,
                cast([] as bigint[]) as gone from wishes
@@ -135,12 +136,12 @@ _SEVERAL = f"""
 
 @case("greedy_match_1tok", _SEVERAL)
 def _(t: Tables) -> DataFrame:
-    return assign.greedy_match(cohort_edges(t), n_final=3)
+    return assign.greedy_match(cohort_edges(t), n_final=2)
 
 
 @case("greedy_match_1tok_steps", _SEVERAL)
 def _(t: Tables) -> DataFrame:
-    return assign.greedy_match(cohort_edges(t), n_final=3, task_edges=0)
+    return assign.greedy_match(cohort_edges(t), n_final=2, task_edges=0)
 
 
 # Cohort rows
