@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.functions import labels
+from pairwell.operators.joins import checked_list
 
 DIAGNOSES = ("dx1", "dx2", "dx3", "dx4")
 
 
+def _listed(codes: DataFrame) -> DataFrame:
+    """Codes with their conditions; blanks carry no meaning."""
+    return checked_list(
+        codes.filter(F.col("ms_diag") != "").select("ms_diag", "condition").distinct()
+    )
+
+
 def condition_lookup(lines: DataFrame, codes: DataFrame) -> DataFrame:
     """Lines with the condition of each diagnosis, keeping those with any.
 
     A code that belongs to two conditions yields two rows, as a join does.
     """
-    listed = codes.filter(F.col("ms_diag") != "").select("ms_diag", "condition").distinct()
+    listed = _listed(codes)
     present = [d for d in DIAGNOSES if d in lines.columns]
     out = lines
     for i, dx in enumerate(present, start=1):
@@ -73,7 +81,7 @@ def dx_twice(cond_lines: DataFrame) -> DataFrame:
 
 def drug_lookup_inner(rx_lines: DataFrame, drugs: DataFrame) -> DataFrame:
     """Conditions implied by a drug."""
-    listed = drugs.select(F.col("ndc").alias("ndcnum"), "condition").distinct()
+    listed = checked_list(drugs.select(F.col("ndc").alias("ndcnum"), "condition").distinct())
     return rx_lines.join(listed, "ndcnum").select("member_id", "condition").distinct()
 
 
@@ -93,7 +101,7 @@ def member_conditions(lines: DataFrame, codes: DataFrame, rx: DataFrame) -> Data
     :func:`drug_lookup_inner`.
     """
     present = [d for d in DIAGNOSES if d in lines.columns]
-    listed = codes.filter(F.col("ms_diag") != "").select("ms_diag", "condition").distinct()
+    listed = _listed(codes)
     diagnoses = (
         lines.select("member_id", "svc_start", _acute().alias("acute"), *present)
         .unpivot(["member_id", "svc_start", "acute"], present, "position", "ms_diag")

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import dates, labels
 from pairwell.functions import fixed_values as fixed
+from pairwell.operators.joins import checked_list
 
 EVENT_COLUMNS = ("person_id", "covrg_id", "utc_period", "category", "sub_category")
 
 
 def for_customers(df: DataFrame, customers: DataFrame, org_col: str = "org_nm") -> DataFrame:
-    names = customers.select(F.col("edw_cust").alias(org_col)).distinct()
+    names = checked_list(customers.select(F.col("edw_cust").alias(org_col)).distinct())
     return df.join(names, org_col, "left_semi")
 
 
@@ -72,6 +73,7 @@ def in_service_year(
             )
         ).alias("_month"),
     ).select("_org", dates.format_yyyymm(F.col("_month")).alias("_month")).distinct()
+    spans = checked_list(spans)
     hit = (F.upper(df[org_col]) == spans["_org"]) & (df[month_col] == spans["_month"])
     return df.join(spans, hit, "left_semi")
 

@@ -1,0 +1,16 @@
+"""Joining large tables to lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def checked_list(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A list to join large tables with, broadcast only if proven small.
+
+    At most ``max_rows + 1`` rows are counted.  A longer list is returned as it
+    is, and joins by shuffle; adaptive execution then splits frequent codes.
+    """
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.functions import labels
+from pairwell.operators.joins import checked_list
 
 # Tables a tenant schema must hold before it is read.
 REQUIRED_TABLES = ("eligibility", "medical", "pharmacy", "utilization")
@@ -104,6 +105,6 @@ def customer_member_fallback(
 
 def industry_left_join(members: DataFrame, industries: DataFrame) -> DataFrame:
     """Industry of the employer; ``unknown`` where the map has none."""
-    return members.join(industries, "edw_cust", "left").withColumn(
+    return members.join(checked_list(industries), "edw_cust", "left").withColumn(
         "industry", F.coalesce("industry", F.lit("unknown"))
     )
