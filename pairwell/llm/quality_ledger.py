@@ -37,10 +37,10 @@ class Rule:
 RULES = (
     Rule("few_words", 0, "n_words < 20"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", 2, "10 * n_symbols > 10 * n_words"),
+    Rule("symbols", 2, "10 * n_symbols > n_words"),
     Rule("short_words", 3, "word_chars < 2 * n_words"),
     Rule("long_words", 4, "word_chars > 20 * n_words"),
-    Rule("repeated_lines", 5, "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", 5, "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
 )
 BASE = ("few_words", "repeated_windows")
 
