@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, quality_ledger, secret_ledger, sql
+from pairwell.llm import chat, decontaminate, pii, quality_ledger, secret_ledger, sql
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_ledger.ledger(table(spark, sf_dir, "documents"))
     base = quality_ledger.Policy("base", quality_ledger.BASE)
@@ -41,6 +53,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op9_pii": op9_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op10_chat_formatting": op10_chat_formatting,

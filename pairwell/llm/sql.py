@@ -96,7 +96,95 @@ select conv_id, count(*)::bigint as n_turns,
 from sums group by conv_id
 """
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def decontamination(documents: str = "documents") -> str:
+    """CTEs ending in ``judged``: doc_id, n_words, n_hit and the items of hits."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{word}')"
+    return f"""
+dw as (select doc_id, {words} as w from {documents}),
+iw as (select item_id::varchar as item, {words} as w from benchmark where item_id is not null),
+pieces as (
+  select item, case when len(w) < 10 then len(w) else 10 end as size, w, unnest(range(1, greatest(len(w) - 8, 2))) as p
+  from iw where len(w) > 0),
+item_windows as (select distinct item, size, array_to_string(w[p:p + size - 1], ' ') as k from pieces),
+sizes as (select distinct size from item_windows),
+places as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as p from dw, sizes where len(w) >= size),
+found as (
+  select q.doc_id, q.p, q.size, i.item
+  from (select doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') as k from places) q
+  join item_windows i on i.size = q.size and i.k = q.k),
+covered as (
+  select doc_id, count(distinct place) as n
+  from (select doc_id, unnest(range(p, p + size)) as place from (select distinct doc_id, p, size from found)) group by doc_id),
+named as (
+  select doc_id, count(*) as n, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from found) group by doc_id),
+judged as (
+  select dw.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items,
+         sha256(coalesce(m.items, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+  from dw left join covered c using (doc_id) left join named m using (doc_id))"""
+
+
+DECONTAMINATION = f"with {decontamination()} select * from judged"
+
+#: Kind, pattern and the condition on a match ``x``; group 1 where a cue comes first.
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = (
+    "list_sum(list_transform(string_split(reverse(d), ''), lambda c, j: "
+    "case when j % 2 = 1 then c::int when c::int > 4 then c::int * 2 - 9 else c::int * 2 end)) % 10 = 0")
+_MOD97 = (
+    "list_reduce(list_transform(string_split(a[5:] || a[1:4], ''), lambda c: case when c between '0' and '9' "
+    "then [10, c::int] else [100, ascii(c) - 55] end), lambda u, v: [10, (u[2] * v[1] + v[2]) % 97], [10, 0])[2] = 1")
+PII_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0,
+     "len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 or coalesce(try_cast(y as int), 256) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 0,
+     f"length({_DIGITS}) between 16 and 19 and {_LUHN.replace('reverse(d)', f'reverse({_DIGITS})')}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) between 8 and 15"),
+    ("url", r"(?:https?|ftp)://[^\x00-\x20\"'<>\x7f-\xa0]+", 0, "length(regexp_replace(rtrim(x, '.,;:!?)]}'), '^[a-z]+://', '')) > 0"),
+    ("iban", r"(?:IBAN|Iban|iban)[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", 1, _MOD97.replace("a[", "replace(g, ' ', '')[")),
+    ("account", r"(?:account|Account|ACCOUNT|acct|Acct)(?: (?:no|number|nr)\.?)?[ :#]{1,3}([0-9][0-9-]{4,20}[0-9])", 1, "true"),
+)
+
+
+def pii(documents: str = "documents") -> str:
+    """CTEs ending in ``spans``: doc_id, o, kind, s, e (code points, end exclusive)."""
+    def one(number: int, kind: str, pattern: str, group: int, holds: str) -> str:
+        p = _quoted(pattern)
+        end = "length(rtrim(x, '.,;:!?)]}'))" if kind == "url" else "length(x)"
+        return f"""
+  select doc_id, {number} as o, '{kind}' as kind, (s + length(x) - length(g))::bigint as s, (s + {end})::bigint as e
+  from (select doc_id, m[i] as x, {f"regexp_extract(m[i], {p}, 1)" if group else "m[i]"} as g,
+               list_sum(list_transform(b[1:i], lambda y: length(y)))
+               + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) as s
+        from (select doc_id, m, b, unnest(range(1, len(m) + 1)) as i
+              from (select doc_id, regexp_extract_all(t, {p}) as m, string_split_regex(t, {p}) as b from texts)))
+  where {holds}"""
+
+    return f"""
+texts as (select doc_id, coalesce(text, '') as t from {documents}),
+spans as ({" union all ".join(one(n, *k) for n, k in enumerate(PII_KINDS))})"""
+
+
+PII = f"""
+with {pii()},
+joined as (
+  select doc_id, {", ".join(f"count(*) filter (o = {n}) as n_{k[0]}" for n, k in enumerate(PII_KINDS[:4]))},
+         string_agg(kind || ':' || s || ':' || e, ',' order by o, s) filter (o < 4) as base,
+         string_agg(kind || ':' || s || ':' || e, ',' order by o, s) as spans
+  from spans group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{k[0]}, 0)::bigint as n_{k[0]}" for k in PII_KINDS[:4])},
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join joined using (doc_id)
+"""
+
 ORACLE = {
+    "op4_benchmark_decontamination": DECONTAMINATION,
+    "op9_pii": PII,
     "op6_quality_rules": QUALITY,
     "op7_secret_scans": SECRETS,
     "op10_chat_formatting": CHAT,
