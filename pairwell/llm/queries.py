@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, pii, quality_ledger, secret_ledger, sql
+from pairwell.llm import chat, decontaminate, minmax, pii, quality_ledger, secret_ledger, sql
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_copies(table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_pii": op9_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,

@@ -182,7 +182,38 @@ select doc_id, {", ".join(f"coalesce(n_{k[0]}, 0)::bigint as n_{k[0]}" for k in
 from texts left join joined using (doc_id)
 """
 
+
+
+def near_copies(words: int, percent: int, documents: str = "documents") -> str:
+    """CTEs ending in ``near``: doc_id, n_shingles, component_id, kept."""
+    return f"""
+ndw as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{SPACE}+'), lambda x: x <> '') as w
+  from {documents}),
+shingled as (
+  select distinct doc_id, array_to_string(w[p:p + least({words}, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) as p from ndw where len(w) > 0)),
+sized as (select doc_id, count(*) as n from shingled group by doc_id),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n
+  from shingled x join shingled y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as (
+  select a, b from shared s join sized p on p.doc_id = s.a join sized q on q.doc_id = s.b
+  where 100 * s.n >= {percent} * (p.n + q.n - s.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from ndw
+  union
+  select r.a, l.b from reach r join both_ways l on l.a = r.b),
+near as (
+  select ndw.doc_id, coalesce(z.n, 0)::bigint as n_shingles, m.c as component_id, m.c = ndw.doc_id as kept
+  from ndw left join sized z using (doc_id) join (select a, min(b) as c from reach group by a) m on m.a = ndw.doc_id)"""
+
+
+NEAR_COPIES = f"with recursive {near_copies(2, 80)} select * from near"
+
 ORACLE = {
+    "op5_minhash_near_dedup": NEAR_COPIES,
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op9_pii": PII,
     "op6_quality_rules": QUALITY,
