@@ -117,15 +117,31 @@ def _joined_exactly(sets: DataFrame, component: DataFrame, percent: int) -> Data
     n = F.col("n")
     probe = _prefix(n, _ceil(n * percent, 100))
     index = _prefix(n, _ceil(2 * percent * n, 100 + percent))
-    placed = ranked.join(component, "id", "left").select(
-        "id", "n", F.coalesce("component", "id").alias("component"), index.alias("index"),
+    alone = F.size(F.filter("codes", lambda c: c["often"] == 1))
+    placed = ranked.withColumn("alone", alone).filter(100 * (n - F.col("alone")) >= percent * n)
+    placed = placed.join(component, "id", "left").select(
+        "id", "n", "alone", F.coalesce("component", "id").alias("component"), index.alias("index"),
         F.posexplode(F.slice("codes", F.lit(1), probe)).alias("place", "code")
-    ).filter("code.often > 1").select("id", "n", "component", "index", "place", F.col("code.token").alias("token"))
-    small, large = placed.filter(F.col("place") < F.col("index")).alias("s"), placed.alias("l")
-    return small.join(large, (
-        (F.col("s.token") == F.col("l.token")) & (F.col("s.component") != F.col("l.component"))
-        & (F.struct("s.n", "s.id") < F.struct("l.n", "l.id")) & (100 * F.col("s.n") >= percent * F.col("l.n"))
-    )).select(F.col("s.id").alias("a"), F.col("l.id").alias("b")).distinct()
+    ).filter("code.often > 1").select("id", "n", "alone", "component", "index", "place", F.col("code.token").alias("token"))
+    placed = written(placed, "prefixes")
+    # Rows of a token's largest component need not meet each other: the others
+    # look at all rows, so a group of copies costs nothing against itself.
+    sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("token").agg(
+        F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("spans")
+    ).filter("spans > 1").select("token", F.col("main.component").alias("main"))
+    spread = placed.join(main, "token")
+    other = spread.filter("component <> main").alias("o")
+    every = spread.alias("e")
+    # What may be common before this place (nothing that one document alone has), here, and after it.
+    most = F.least(F.col("o.place") - F.col("o.alone"), F.col("e.place") - F.col("e.alone")) + 1 + F.least(F.col("o.n") - F.col("o.place"), F.col("e.n") - F.col("e.place")) - 1
+    smaller = F.struct("o.n", "o.id") < F.struct("e.n", "e.id")
+    return other.join(every, (
+        (F.col("o.token") == F.col("e.token")) & (F.col("o.component") != F.col("e.component"))
+        & (100 * F.least("o.n", "e.n") >= percent * F.greatest("o.n", "e.n"))
+        & ((100 + percent) * most >= percent * (F.col("o.n") + F.col("e.n")))
+        & F.when(smaller, F.col("o.place") < F.col("o.index")).otherwise(F.col("e.place") < F.col("e.index"))
+    )).select(F.least("o.id", "e.id").alias("a"), F.greatest("o.id", "e.id").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -160,7 +176,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     open_ids = written(named.join(spread, "band", "left_semi").select("id").distinct(), "open")
     rest = sets.join(open_ids, "id", "left_semi")
-    found = _joined_exactly(rest, component, percent)
+    found = written(_joined_exactly(rest, component, percent), "found")
     more = written(_confirmed(found, sets, percent), "more")
     linked = components(links.union(more)).select(F.col("node").alias("first"), "component")
 
