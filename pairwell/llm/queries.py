@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, minmax, pii, quality_ledger, secret_ledger, sql
+from pairwell.llm import chat, decontaminate, minmax, pii, quality_ledger, secret_ledger, sql, suffix_dedup
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(
+        table(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -57,6 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_pii": op9_pii,
