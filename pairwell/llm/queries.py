@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, minmax, pii, quality_ledger, secret_ledger, sql, suffix_dedup
+from pairwell.llm import chat, decontaminate, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(
         table(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
@@ -62,6 +66,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
