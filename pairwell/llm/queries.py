@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup
+from pairwell.llm import chat, decontaminate, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup, toxicity
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_copies(table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_terms")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
