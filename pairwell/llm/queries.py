@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup, toxicity
+from pairwell.llm import chat, decontaminate, language_id, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup, toxicity
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four kinds of evidence, documents by text and source."""
+    docs = table(spark, sf_dir, "documents")
+    likelihoods = language_id.fit(docs)
+    pages = language_id.page_rows(table(spark, sf_dir, "pages")).withColumn("kind", F.lit("page"))
+    plain = language_id.text_rows(docs).withColumn("kind", F.lit("document"))
+    found = language_id.identify(pages.unionByName(plain), likelihoods, keep=("kind",))
+    return found.select(
+        F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
+        F.when(F.col("kind") == "page", F.col("id")).alias("page_id"), "lang", "probability", "text_lang")
+
+
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.round_trip(table(spark, sf_dir, "documents"))
 
@@ -73,6 +85,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
