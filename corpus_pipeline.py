@@ -1,26 +1,56 @@
 """The corpus pipeline: quality, near copies, decontamination, PII, pieces.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwell.llm import quality_ledger
+from pairwell.llm import decontaminate, minmax, pii, piece_sampling, quality_ledger
 from pairwell.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy passes."""
+    """Documents that the production policy passes; a null or empty text does not."""
     return quality_ledger.keep(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies (five words, 0.8 or more)."""
+    return minmax.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ten words of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their sampled pieces, from which the text can be decoded."""
+    return piece_sampling.encoded(docs)[0]
+
+
 STAGES = [
     ("quality", quality),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("pieces", pieces),
 ]
 
+#: Sampled pieces cannot be had from SQL; tests hold every stage against SQL or brute force.
 ORACLE_SQL: str | None = None
 
 

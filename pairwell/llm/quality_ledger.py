@@ -158,7 +158,11 @@ def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> Da
     """The rows of ``docs`` that pass the policy, with their own columns."""
     measured = measure(docs, text)
     (name,) = set(measured.columns) - set(docs.columns)
-    return measured.filter(verdict(policy, fail_bits(name))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # A filter on a computed column would be pushed down and measure once per
+    # rule; below an explode it cannot, and each row is measured once.
+    passes = fresh(measured.columns, "passes")
+    judged = measured.withColumn(passes, F.explode(F.array(verdict(policy, fail_bits(name)))))
+    return judged.filter(F.col(passes)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def ablations(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
