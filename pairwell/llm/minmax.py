@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.llm.batches import added, byte_texts
-from pairwell.llm.common import written
+from pairwell.llm.common import fresh, written
 from pairwell.llm.components import components
 from pairwell.llm.shingles import mixed, shingle_set
 
@@ -37,6 +37,8 @@ WORDS, PERCENT = 5, 80
 _SEED = np.random.Generator(np.random.Philox(7))
 _FLIP = _SEED.integers(0, 2**64, (PERMUTATIONS, 1), np.uint64)
 _TIMES = _SEED.integers(0, 2**63, (PERMUTATIONS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shared shingles before a place that a row of a prefix carries.
+BEFORE = 16
 #: Shingles permuted at once.
 _STEP = 2048
 
@@ -119,10 +121,15 @@ def _joined_exactly(sets: DataFrame, component: DataFrame, percent: int) -> Data
     index = _prefix(n, _ceil(2 * percent * n, 100 + percent))
     alone = F.size(F.filter("codes", lambda c: c["often"] == 1))
     placed = ranked.withColumn("alone", alone).filter(100 * (n - F.col("alone")) >= percent * n)
+    placed = placed.withColumn("tokens", F.transform("codes", lambda c: c["token"]))
+    steps = F.transform(F.slice("codes", F.lit(1), probe), lambda c, i: F.struct(
+        i.alias("place"), c["often"].alias("often"), c["token"].alias("token"),
+        F.slice("tokens", F.greatest(i - BEFORE, F.col("alone")) + 1,
+                F.greatest(F.least(F.lit(BEFORE), i - F.col("alone")), F.lit(0))).alias("before")))
     placed = placed.join(component, "id", "left").select(
         "id", "n", "alone", F.coalesce("component", "id").alias("component"), index.alias("index"),
-        F.posexplode(F.slice("codes", F.lit(1), probe)).alias("place", "code")
-    ).filter("code.often > 1").select("id", "n", "alone", "component", "index", "place", F.col("code.token").alias("token"))
+        F.explode(steps).alias("step")
+    ).filter("step.often > 1").select("id", "n", "alone", "component", "index", "step.place", "step.token", "step.before")
     placed = written(placed, "prefixes")
     # Rows of a token's largest component need not meet each other: the others
     # look at all rows, so a group of copies costs nothing against itself.
@@ -133,14 +140,19 @@ def _joined_exactly(sets: DataFrame, component: DataFrame, percent: int) -> Data
     spread = placed.join(main, "token")
     other = spread.filter("component <> main").alias("o")
     every = spread.alias("e")
-    # What may be common before this place (nothing that one document alone has), here, and after it.
-    most = F.least(F.col("o.place") - F.col("o.alone"), F.col("e.place") - F.col("e.alone")) + 1 + F.least(F.col("o.n") - F.col("o.place"), F.col("e.n") - F.col("e.place")) - 1
+    # A pair counts where it first meets.  What may be common: nothing before
+    # this place if all of that was seen to differ, this, and what follows.
+    behind = [F.col(f"{s}.place") - F.col(f"{s}.alone") for s in "oe"]
+    unseen = F.when(F.greatest(*behind) <= BEFORE, F.lit(0)).otherwise(F.least(*behind))
+    first = ~F.arrays_overlap("o.before", "e.before")
+    most = unseen + F.least(F.col("o.n") - F.col("o.place"), F.col("e.n") - F.col("e.place"))
     smaller = F.struct("o.n", "o.id") < F.struct("e.n", "e.id")
     return other.join(every, (
         (F.col("o.token") == F.col("e.token")) & (F.col("o.component") != F.col("e.component"))
         & (100 * F.least("o.n", "e.n") >= percent * F.greatest("o.n", "e.n"))
         & ((100 + percent) * most >= percent * (F.col("o.n") + F.col("e.n")))
-        & F.when(smaller, F.col("o.place") < F.col("o.index")).otherwise(F.col("e.place") < F.col("e.index"))
+        & ((F.col("e.component") == F.col("e.main")) | (F.col("o.id") < F.col("e.id")))
+        & first & F.when(smaller, F.col("o.place") < F.col("o.index")).otherwise(F.col("e.place") < F.col("e.index"))
     )).select(F.least("o.id", "e.id").alias("a"), F.greatest("o.id", "e.id").alias("b")).distinct()
 
 
@@ -193,5 +205,6 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Of repeated rows with one key all stay or go together.
     """
-    gone = near_copies(docs, key, text, words, percent).filter("not kept").select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, docs[f"`{key}`"] == F.col("gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = near_copies(docs, key, text, words, percent).filter("not kept").select(F.col(key).alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[f"`{key}`"] == gone[name], "left_anti")
