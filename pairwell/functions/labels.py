@@ -62,9 +62,9 @@ def map_state(col: Column) -> Column:
     return lookup(fixed.STATE_CODES, col)
 
 
-def map_customer(col: Column) -> Column:
-    """Upper-cased employer name, replaced where the fixed list has another."""
-    return F.coalesce(lookup(fixed.CUSTOMER_NAMES, F.upper(col)), F.upper(col))
+def map_customer(col: Column, names: Mapping[str, str] = fixed.CUSTOMER_NAMES) -> Column:
+    """Upper-cased employer name, replaced where ``names`` has another."""
+    return F.coalesce(lookup(names, F.upper(col)), F.upper(col))
 
 
 def coalesce_placeholder(

@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.functions import labels
-from pairwell.operators.joins import checked_list
 
 DIAGNOSES = ("dx1", "dx2", "dx3", "dx4")
 
 
 def _listed(codes: DataFrame) -> DataFrame:
     """Codes with their conditions; blanks carry no meaning."""
-    return checked_list(
-        codes.filter(F.col("ms_diag") != "").select("ms_diag", "condition").distinct()
-    )
+    return codes.filter(F.col("ms_diag") != "").select("ms_diag", "condition").distinct()
 
 
 def condition_lookup(lines: DataFrame, codes: DataFrame) -> DataFrame:
@@ -81,7 +78,7 @@ def dx_twice(cond_lines: DataFrame) -> DataFrame:
 
 def drug_lookup_inner(rx_lines: DataFrame, drugs: DataFrame) -> DataFrame:
     """Conditions implied by a drug."""
-    listed = checked_list(drugs.select(F.col("ndc").alias("ndcnum"), "condition").distinct())
+    listed = drugs.select(F.col("ndc").alias("ndcnum"), "condition").distinct()
     return rx_lines.join(listed, "ndcnum").select("member_id", "condition").distinct()
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import dates, labels
-from pairwell.operators.joins import checked_list
 
 
 def demographics_rollup(
@@ -47,10 +46,8 @@ def coded_demographics_rollup(
     Region codes holding an ``R`` are rural and not an area; ``X`` means none.
     """
     area = F.col("msa_cd")
-    industry_names = checked_list(industries.select("indstry", F.col("description").alias("li")))
-    place_names = checked_list(
-        places.select(F.col("geoloc").alias("state_cd"), F.col("description").alias("lg"))
-    )
+    industry_names = industries.select("indstry", F.col("description").alias("li"))
+    place_names = places.select(F.col("geoloc").alias("state_cd"), F.col("description").alias("lg"))
     named = (
         spans.filter(dates.overlaps_year(F.col("start_date"), F.col("end_date"), year))
         .join(industry_names, "indstry", "left")

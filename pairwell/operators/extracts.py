@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import dates, labels
 from pairwell.functions import fixed_values as fixed
-from pairwell.operators.joins import checked_list
 
 EVENT_COLUMNS = ("person_id", "covrg_id", "utc_period", "category", "sub_category")
 
 
 def for_customers(df: DataFrame, customers: DataFrame, org_col: str = "org_nm") -> DataFrame:
-    names = checked_list(customers.select(F.col("edw_cust").alias(org_col)).distinct())
+    names = customers.select(F.col("edw_cust").alias(org_col)).distinct()
     return df.join(names, org_col, "left_semi")
 
 
@@ -73,7 +72,6 @@ def in_service_year(
             )
         ).alias("_month"),
     ).select("_org", dates.format_yyyymm(F.col("_month")).alias("_month")).distinct()
-    spans = checked_list(spans)
     hit = (F.upper(df[org_col]) == spans["_org"]) & (df[month_col] == spans["_month"])
     return df.join(spans, hit, "left_semi")
 
@@ -147,7 +145,8 @@ def events_hcc_clinical(
 
 def events_funnel(
     funnel: DataFrame, plan_ids: DataFrame, interventions: DataFrame, customers: DataFrame,
-    start_year: int, *, case_system: str,
+    start_year: int, *, case_system: str, closed_label: str = "case closed",
+    open_label: str = "no closed case",
 ) -> DataFrame:
     """Closed programmes, labelled by whether their case was closed too.
 
@@ -175,7 +174,7 @@ def events_funnel(
         "person_id", "covrg_id", "utc_period",
         labels.program_group(program, fixed.NAVIGATION_PROGRAMS, "Care Navigation")
         .alias("category"),
-        F.when(F.col("case_closed"), "jiva_close").otherwise("no_jiva").alias("sub_category"),
+        F.when(F.col("case_closed"), closed_label).otherwise(open_label).alias("sub_category"),
     ).distinct()
 
 

@@ -4,16 +4,15 @@ Exposed rows choose in ascending order of their key.  In each of ``n_final``
 rounds every exposed row still in the running takes its nearest control that
 nobody holds; one that finds none leaves and releases what it held, at once.
 
-Strata are independent, so a stratum of bounded size is settled in one task.
-Larger ones are settled by Spark in steps: a row may choose as soon as no
-earlier undecided row has a control in common with it that is still open.  All
-such rows choose at the same time, and the result is that of going one by one.
+With one control each, that is settled by rounds of proposals over all strata
+at once, whatever their size.  With several, rows release what they hold, so
+order matters more: strata of up to ``task_edges`` edges are settled in a task
+each, larger ones in steps in which every row that no earlier undecided row can
+affect chooses at the same time.  The result is that of going one by one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,27 +64,29 @@ def _settle_in_tasks(edges: DataFrame, n_final: int) -> DataFrame:
     return edges.groupBy("cohort", "stratum").applyInPandas(settle, _result_schema(edges))
 
 
-def _settle_one_each(edges: DataFrame) -> DataFrame:
+def _propose(edges: DataFrame) -> DataFrame:
     """One control each, for strata of any size.
 
-    Nothing is ever released, so a row may take its best open control once it
-    is the first undecided row with a wish for it.  Wishes of decided rows and
-    for taken controls are removed; the earliest undecided row is decided in
-    every step, and usually a large share of all.
+    All rows ask for their best control at once and each control keeps the
+    earliest row that asks.  What a control holds only ever gets earlier, so a
+    wish for a control held by an earlier row is dead; rows left out ask again.
+    When nobody is left out, the result is that of choosing one by one.
     """
     wishes = materialize(edges.select(*EXPOSED, "control_key", "rank", "d2"), "wishes")
-    steps: list[DataFrame] = []
-    while not wishes.isEmpty():
-        first = wishes.groupBy(*SLOT).agg(F.min("exposed_key").alias("exposed_key"))
-        best = wishes.groupBy(*EXPOSED).agg(
+    while True:
+        asked = materialize(wishes.groupBy(*EXPOSED).agg(
             F.min_by(F.struct("control_key", "d2"), "rank").alias("pick")
-        ).select(*EXPOSED, "pick.control_key", "pick.d2")
-        picks = materialize(best.join(first, [*SLOT, "exposed_key"], "left_semi"), "picks")
-        steps.append(picks)
-        wishes = materialize(
-            wishes.join(picks, EXPOSED, "left_anti").join(picks, SLOT, "left_anti"), "wishes"
+        ).select(*EXPOSED, "pick.control_key", "pick.d2"), "asked")
+        holders = materialize(
+            asked.groupBy(*SLOT).agg(F.min("exposed_key").alias("holder"), F.count("*").alias("asking")),
+            "holders",
+        )
+        if holders.filter(F.col("asking") > 1).isEmpty():
+            return asked.withColumn("n", F.lit(1))
+        alive = wishes.join(holders.drop("asking"), SLOT, "left").filter(
+            F.col("holder").isNull() | (F.col("exposed_key") <= F.col("holder"))
         )
-    return reduce(DataFrame.unionByName, steps).withColumn("n", F.lit(1))
+        wishes = materialize(alive.drop("holder"), "wishes")
 
 
 def _settle_several_each(edges: DataFrame, n_final: int) -> DataFrame:
@@ -138,8 +139,10 @@ def greedy_match(edges: DataFrame, *, n_final: int = 1, task_edges: int = 500_00
 
     ``edges`` has cohort, stratum, exposed_key, control_key, d2 and rank, with
     distances beyond the limit already left out.  A control is used once per
-    cohort.  Strata with more than ``task_edges`` edges are settled in steps.
+    cohort.  ``task_edges`` matters with several controls each only.
     """
+    if n_final == 1:
+        return _propose(edges).select(*(f.name for f in _result_schema(edges)))
     edges = materialize(edges, "edges")
     sizes = edges.groupBy("cohort", "stratum").agg(F.count("*").alias("size"))
     large = materialize(
@@ -150,5 +153,5 @@ def greedy_match(edges: DataFrame, *, n_final: int = 1, task_edges: int = 500_00
     if large.isEmpty():
         return settled
     rest = edges.join(large, ["cohort", "stratum"], "left_semi")
-    in_steps = _settle_one_each(rest) if n_final == 1 else _settle_several_each(rest, n_final)
+    in_steps = _settle_several_each(rest, n_final)
     return settled.unionByName(in_steps.select(*settled.columns))

@@ -6,8 +6,9 @@ then visits every other cell that could still hold a nearer control: a cell
 whose members lie within ``radius`` of its centroid cannot contain a point
 nearer than ``distance to centroid - radius``.
 
-Work is spread by (stratum, cell, block of controls, block of exposed rows), so
-a task never holds more than two blocks however large a stratum or cell is.
+Work is spread by (stratum, cell, block of controls, block of exposed rows): a
+group is two blocks however large a stratum or cell is, and the groups of a
+large stratum spread over all tasks.
 Distances are computed block against block in numpy and only the k best per
 exposed row leave a task.  Identical vectors need no more than k controls in
 the running, and identical exposed rows are searched once.
@@ -26,13 +27,12 @@ from pyspark.sql import types as T
 
 from pairwell.session import materialize
 
-_BUCKETS = 1 << 20
-_SLACK = 1e-9
+# Distances are told apart to nine decimals of their square, plus float error.
+_ROUNDING, _FLOAT = 1e-9, 1e-9
 # Elements of the largest distance matrix held at once (32 MB).
 _CHUNK = 4_000_000
-# Aim and limit for the number of cells of a stratum.
+# Controls a cell is meant to hold.
 _CELL_ROWS = 2048
-_MAX_CELLS = 4096
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -44,13 +44,12 @@ def _centers(nested) -> np.ndarray:
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared L2 between all rows of two blocks, rounded to nine decimals so
-    that ties are ties on every machine."""
+    """Squared L2 between all rows of two blocks."""
     out = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):
         diff = a[:, d, None] - b[None, :, d]
         out += diff * diff
-    return np.round(out, 9)
+    return out
 
 
 def _chunks(rows: int, width: int) -> Iterator[slice]:
@@ -60,11 +59,12 @@ def _chunks(rows: int, width: int) -> Iterator[slice]:
 
 
 def nearest_in_block(
-    exposed: np.ndarray, controls: np.ndarray, k: int, limit: float | None
+    exposed: np.ndarray, controls: np.ndarray, k: int, limit: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(exposed row, control row, d²) of the k nearest controls per exposed row.
 
     ``controls`` is in preference order: of equally near ones the first wins.
+    Farther ones than a row's ``limit`` (of the squared distance) are left out.
     A matrix product gives distances up to float error; whatever is within that
     error of the k-th is then computed exactly.
     """
@@ -77,14 +77,12 @@ def nearest_in_block(
     for part in _chunks(len(a), len(b)):
         near = a2[part, None] + b2[None, :] - 2 * (a[part] @ b.T)
         bound = np.partition(near, nth, axis=1)[:, nth]
-        if limit is not None:
-            bound = np.minimum(bound, limit)
+        bound = np.minimum(bound, limit[part])
         rows, cols = np.nonzero(near <= bound[:, None] + error)
         diff = exposed[rows + part.start] - controls[cols]
         dist = np.round((diff * diff).sum(axis=1), 9)
-        if limit is not None:
-            keep = dist <= limit
-            rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        keep = dist <= limit[rows + part.start]
+        rows, cols, dist = rows[keep], cols[keep], dist[keep]
         by = np.lexsort((cols, dist, rows))
         rows, cols, dist = rows[by], cols[by], dist[by]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
@@ -102,19 +100,6 @@ def nearest_center(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """k-means centroids of a sample, started from its first rows."""
-    centers = np.unique(sample[:cells], axis=0)
-    for _ in range(rounds):
-        nearest = nearest_center(sample, centers)
-        counts = np.bincount(nearest, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, nearest, sample)
-        filled = counts > 0
-        centers[filled] = sums[filled] / counts[filled, None]
-    return centers
-
-
 def _blocks(size: str, rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(size) / rows)).cast("int")
 
@@ -123,41 +108,30 @@ def _block_of(col: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(col), F.col(blocks)).cast("int")
 
 
-def _centroids(controls: DataFrame, n_list: int | None, train_rows: int) -> DataFrame:
-    """(stratum, rows, cells, centroids): trained per stratum on a sample of
-    bounded size, chosen by hash.
+def _first_centroids(controls: DataFrame, n_list: int | None) -> DataFrame:
+    """(stratum, rows, centroids): distinct controls chosen by hash.
 
-    Without ``n_list`` a cell is meant to hold ``_CELL_ROWS`` controls, so small
-    strata are one cell, and there are at most ``_MAX_CELLS``.
+    Without ``n_list`` there is a cell for every ``_CELL_ROWS`` controls.
     """
     sized = controls.groupBy("stratum").agg(F.count("*").alias("rows")).withColumn(
-        "cells",
-        F.lit(n_list) if n_list
-        else F.least(F.lit(_MAX_CELLS), F.ceil(F.col("rows") / _CELL_ROWS).cast("int")),
+        "cells", F.lit(n_list) if n_list else F.ceil(F.col("rows") / _CELL_ROWS).cast("int")
     )
-    share = F.least(F.lit(1.0), F.col("cells") * train_rows / F.col("rows"))
-    sample = controls.join(sized, "stratum").filter(
-        F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)) < share * _BUCKETS
+    kinds = controls.groupBy("stratum", "vec").agg(F.min("key").alias("key"))
+    order = W.partitionBy("stratum").orderBy(F.xxhash64("key"), "key")
+    chosen = kinds.withColumn("place", F.row_number().over(order)).join(sized, "stratum").filter(
+        F.col("place") <= F.col("cells")
+    )
+    return chosen.groupBy("stratum").agg(
+        F.first("rows").alias("rows"),
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "vec"))), lambda x: x["vec"])
+        .alias("centroids"),
     )
-
-    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.unique(_matrix(pdf["vec"]), axis=0)
-        # A fixed shuffle, so that the first rows are not a corner of the data.
-        points = points[np.random.default_rng(0).permutation(len(points))]
-        centers = train_centroids(points, int(pdf["cells"].iloc[0]))
-        return pd.DataFrame({
-            "stratum": [key[0]], "rows": [pdf["rows"].iloc[0]], "centroids": [centers.tolist()],
-        })
-
-    schema = T.StructType([
-        controls.schema["stratum"], T.StructField("rows", T.LongType()),
-        T.StructField("centroids", T.ArrayType(T.ArrayType(T.DoubleType()))),
-    ])
-    return sample.groupBy("stratum").applyInPandas(train, schema)
 
 
-def _assign_cells(controls: DataFrame, centroids: DataFrame, block_rows: int) -> DataFrame:
-    """Controls with their nearest centroid's cell and the distance to it."""
+def _by_block(
+    controls: DataFrame, centroids: DataFrame, block_rows: int, work, schema: T.StructType
+) -> DataFrame:
+    """``work(points, centers)`` for every block of controls of every stratum."""
     sized = centroids.withColumn("blocks", _blocks("rows", block_rows))
     left = controls.join(sized.select("stratum", "blocks"), "stratum").withColumn(
         "block", _block_of("key", "blocks")
@@ -166,33 +140,82 @@ def _assign_cells(controls: DataFrame, centroids: DataFrame, block_rows: int) ->
         "stratum", "centroids", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
 
-    def assign(points: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        out = points[["stratum", "key", "vec"]].copy()
-        out["cell"], out["dist"] = 0, 0.0
-        if len(points):
-            centers = _centers(cells["centroids"].iloc[0])
-            vectors = _matrix(points["vec"])
-            cell = nearest_center(vectors, centers)
-            dist = np.sqrt(((vectors - centers[cell]) ** 2).sum(axis=1))
-            out["cell"], out["dist"] = cell, dist
-        return out
+    def run(points: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(cells):
+            return pd.DataFrame({f.name: [] for f in schema})
+        return work(points, _centers(cells["centroids"].iloc[0]))
+
+    return left.groupBy("stratum", "block").cogroup(
+        right.groupBy("stratum", "block")
+    ).applyInPandas(run, schema)
+
+
+def _moved(controls: DataFrame, centroids: DataFrame, block_rows: int) -> DataFrame:
+    """Centroids at the mean of all their controls; empty cells stay."""
+    def sums(points: pd.DataFrame, centers: np.ndarray) -> pd.DataFrame:
+        vectors = _matrix(points["vec"])
+        cell = nearest_center(vectors, centers)
+        total = np.zeros_like(centers)
+        np.add.at(total, cell, vectors)
+        n = np.bincount(cell, minlength=len(centers))
+        used = np.flatnonzero(n)
+        return pd.DataFrame({
+            "stratum": points["stratum"].iloc[0], "cell": used, "n": n[used],
+            "total": total[used].tolist(),
+        })
+
+    schema = T.StructType([
+        controls.schema["stratum"], T.StructField("cell", T.IntegerType()),
+        T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType())),
+    ])
+    parts = _by_block(controls, centroids, block_rows, sums, schema)
+    means = parts.select("stratum", "cell", "n", F.posexplode("total").alias("d", "x")).groupBy(
+        "stratum", "cell", "d"
+    ).agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("stratum", "cell").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda v: v["x"]).alias("mean")
+    )
+    old = centroids.select("stratum", "rows", F.posexplode("centroids").alias("cell", "center"))
+    return old.join(means, ["stratum", "cell"], "left").groupBy("stratum").agg(
+        F.first("rows").alias("rows"),
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("cell", F.coalesce("mean", "center").alias("c")))),
+            lambda x: x["c"],
+        ).alias("centroids"),
+    )
+
+
+def fit_centroids(
+    controls: DataFrame, n_list: int | None, *, rounds: int = 2, block_rows: int = 8192
+) -> DataFrame:
+    """(stratum, rows, centroids): k-means over all controls of each stratum."""
+    centroids = materialize(_first_centroids(controls, n_list), "centroids")
+    for _ in range(rounds):
+        centroids = materialize(_moved(controls, centroids, block_rows), "centroids")
+    return centroids
+
+
+def _assign_cells(controls: DataFrame, centroids: DataFrame, block_rows: int) -> DataFrame:
+    """Controls with their nearest centroid's cell and the distance to it."""
+    def assign(points: pd.DataFrame, centers: np.ndarray) -> pd.DataFrame:
+        vectors = _matrix(points["vec"])
+        cell = nearest_center(vectors, centers)
+        dist = np.sqrt(((vectors - centers[cell]) ** 2).sum(axis=1))
+        return points[["stratum", "key", "vec"]].assign(cell=cell, dist=dist)
 
     schema = T.StructType([
         controls.schema["stratum"], controls.schema["key"], controls.schema["vec"],
         T.StructField("cell", T.LongType()), T.StructField("dist", T.DoubleType()),
     ])
-    return left.groupBy("stratum", "block").cogroup(
-        right.groupBy("stratum", "block")
-    ).applyInPandas(assign, schema)
+    return _by_block(controls, centroids, block_rows, assign, schema)
 
 
 def _route(
     exposed: DataFrame, cells: DataFrame, n_probe: int, block_rows: int, *, rest: bool
 ) -> DataFrame:
-    """(stratum, cell, e_key, vec): the cells each exposed row has to search.
+    """(stratum, cell, e_key, vec, bound): the cells each exposed row has to search.
 
     Without ``rest`` the ``n_probe`` nearest; with it those of the others that
-    can hold a control within the row's ``bound``.
+    can hold a control within the row's ``bound`` of the squared distance.
     """
     sizes = exposed.groupBy("stratum").agg(F.count("*").alias("n")).select(
         "stratum", _blocks("n", block_rows).alias("blocks")
@@ -208,21 +231,23 @@ def _route(
     )
 
     def route(points: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"stratum": [], "cell": [], "e_key": [], "vec": []})
+        empty = pd.DataFrame({"stratum": [], "cell": [], "e_key": [], "vec": [], "bound": []})
         if not len(points) or not len(listed):
             return empty
         ids = np.array(listed["cell"].iloc[0], dtype=np.int64)
         centers = _centers(listed["centroid"].iloc[0])
         radius = np.array(listed["radius"].iloc[0], dtype=np.float64)
         vectors = _matrix(points["vec"])
+        # A control tied with the bound may be farther by the rounding.
+        reach = np.sqrt(points["bound"].to_numpy() + _ROUNDING)
         rows_out, cells_out = [], []
         for part in _chunks(len(points), len(ids)):
             d2 = squared_distances(vectors[part], centers)
-            rank = d2.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            rank = np.round(d2, 9).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
             if rest:
-                bound = points["bound"].to_numpy()[part]
-                nearest = np.sqrt(d2) - radius[None, :] - _SLACK
-                wanted = (rank >= n_probe) & (nearest <= bound[:, None])
+                away = np.sqrt(d2)
+                nearest = away - radius[None, :] - _FLOAT * (1 + away + radius[None, :])
+                wanted = (rank >= n_probe) & (nearest <= reach[part, None])
             else:
                 wanted = rank < n_probe
             rows, cols = np.nonzero(wanted)
@@ -234,11 +259,13 @@ def _route(
             "cell": np.concatenate(cells_out),
             "e_key": points["e_key"].to_numpy()[rows],
             "vec": points["vec"].to_numpy()[rows],
+            "bound": points["bound"].to_numpy()[rows],
         })
 
     schema = T.StructType([
         exposed.schema["stratum"], T.StructField("cell", T.LongType()),
         T.StructField("e_key", T.LongType()), exposed.schema["vec"],
+        T.StructField("bound", T.DoubleType()),
     ])
     return left.groupBy("stratum", "block").cogroup(
         right.groupBy("stratum", "block")
@@ -246,9 +273,10 @@ def _route(
 
 
 def _search(
-    routed: DataFrame, controls: DataFrame, k: int, limit: float | None, block_rows: int
+    routed: DataFrame, controls: DataFrame, k: int, block_rows: int
 ) -> DataFrame:
-    """(stratum, e_key, control_key, d2): the k best per exposed row and block."""
+    """(stratum, e_key, control_key, d2): the k best per exposed row and block,
+    none beyond the row's bound.  ``routed`` is a written table."""
     place = ["stratum", "cell"]
     n_controls = controls.groupBy(*place).agg(F.count("*").alias("nc"))
     n_exposed = routed.groupBy(*place).agg(F.count("*").alias("ne"))
@@ -268,7 +296,8 @@ def _search(
         if not len(exp) or not len(ctl):
             return pd.DataFrame({"stratum": [], "e_key": [], "control_key": [], "d2": []})
         ctl = ctl.sort_values("key")
-        rows, cols, d2 = nearest_in_block(_matrix(exp["vec"]), _matrix(ctl["vec"]), k, limit)
+        rows, cols, d2 = nearest_in_block(
+            _matrix(exp["vec"]), _matrix(ctl["vec"]), k, exp["bound"].to_numpy())
         return pd.DataFrame({
             "stratum": exp["stratum"].to_numpy()[rows],
             "e_key": exp["e_key"].to_numpy()[rows],
@@ -302,7 +331,8 @@ def nearest_controls(
     exact: bool = True,
     max_distance_sq: float | None = None,
     block_rows: int = 8192,
-    train_rows: int = 64,
+    rounds: int = 2,
+    centroids: DataFrame | None = None,
 ) -> DataFrame:
     """Edges (stratum, exposed_key, control_key, d2, rank) to the k nearest
     controls of the same stratum.
@@ -310,16 +340,20 @@ def nearest_controls(
     ``points`` has ``stratum``, ``key`` (long, ascending in order of
     preference), ``is_control`` and ``vec`` (array of double).  With
     ``max_distance_sq`` farther controls are left out, which changes no match.
-    ``exact=False`` searches ``n_probe`` cells only.
+    ``exact=False`` searches ``n_probe`` cells only.  ``centroids`` (stratum,
+    centroids) reuses cells fitted before.
     """
     controls = points.filter("is_control").select("stratum", "key", "vec")
     exposed = points.filter(~F.col("is_control"))
-    searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key"))
-
-    centroids = materialize(_centroids(controls, n_list, train_rows), "centroids")
-    # With few cells everywhere the first pass visits all of them already.
-    most_cells = centroids.agg(F.max(F.size("centroids"))).first()[0] or 0
-    exact = exact and most_cells > n_probe
+    limit = F.lit(float("inf") if max_distance_sq is None else float(max_distance_sq))
+    searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key")).withColumn(
+        "bound", limit
+    )
+    if centroids is None:
+        centroids = fit_centroids(controls, n_list, rounds=rounds, block_rows=block_rows)
+    else:
+        rows = controls.groupBy("stratum").agg(F.count("*").alias("rows"))
+        centroids = materialize(rows.join(centroids, "stratum"), "centroids")
     # Of controls with one vector, only the k first can be among k nearest.
     copies = W.partitionBy("stratum", "cell", "vec").orderBy("key")
     placed = materialize(
@@ -335,25 +369,20 @@ def nearest_controls(
             ["stratum", "cell"],
         )
     )
-    routed = _route(searched, cells, n_probe, block_rows, rest=False)
-    best = top_k(
-        _search(routed, placed, k, max_distance_sq, block_rows), ["stratum", "e_key"], k
-    )
+    routed = materialize(_route(searched, cells, n_probe, block_rows, rest=False), "routed")
+    best = top_k(_search(routed, placed, k, block_rows), ["stratum", "e_key"], k)
     if exact:
         best = materialize(best, "probed")
         farthest = best.groupBy("stratum", "e_key").agg(
             F.count("*").alias("found"), F.max("d2").alias("kth")
         )
-        unlimited = F.lit(float("inf") if max_distance_sq is None else max_distance_sq)
-        bounded = searched.join(farthest, ["stratum", "e_key"], "left").select(
+        bounded = searched.drop("bound").join(farthest, ["stratum", "e_key"], "left").select(
             "stratum", "vec", "e_key",
-            F.sqrt(F.when(F.col("found") >= k, F.col("kth")).otherwise(unlimited)).alias("bound"),
-        )
-        rest = _search(
-            _route(bounded, cells, n_probe, block_rows, rest=True),
-            placed, k, max_distance_sq, block_rows,
+            F.when(F.col("found") >= k, F.col("kth")).otherwise(limit).alias("bound"),
         )
-        best = top_k(best.drop("rank").unionByName(rest), ["stratum", "e_key"], k)
+        rest = materialize(_route(bounded, cells, n_probe, block_rows, rest=True), "routed")
+        more = _search(rest, placed, k, block_rows)
+        best = top_k(best.drop("rank").unionByName(more), ["stratum", "e_key"], k)
 
     copies_of = exposed.select("stratum", "vec", F.col("key").alias("exposed_key")).join(
         searched, ["stratum", "vec"]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import dates, labels
 from pairwell.functions import fixed_values as fixed
-from pairwell.operators.joins import checked_list
 
 LINE_CATEGORIES = ("p_category", "o_category", "er_category")
 VISIT_KEYS = ("service_month", "member_id", "util_id", "visit_start", "visit_end", "visit_len")
@@ -23,9 +22,9 @@ def code_lookup_3way(lines: DataFrame, util_codes: DataFrame, avoidable: DataFra
     with a blank would match them.
     """
     def code_list(df: DataFrame, code: str, line_col: str, name: str) -> DataFrame:
-        return checked_list(df.filter(F.col(code) != "").select(
+        return df.filter(F.col(code) != "").select(
             F.col(code).alias(line_col), F.col("category").alias(name)
-        ))
+        ).distinct()
 
     return (
         lines.join(code_list(util_codes, "p_code", "code_pos", "p_category"), "code_pos", "left")

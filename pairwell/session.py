@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,6 @@ _SETTINGS = {
     # Wide feature projections exceed what the JVM compiles as one method and
     # would run interpreted; past this size operators compile separately.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Rows already grouped by member may be joined on (member, month) as they
-    # are.  Members are bounded by the calendar wherever that happens.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -34,15 +32,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A session on one machine may leave it unset: it then gets a folder in the
+    session's warehouse, removed when the program ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="pairwell-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder.removeprefix("file:"), ignore_errors=True)
     return folder
 
 

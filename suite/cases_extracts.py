@@ -1,72 +1,101 @@
-"""Programme events."""
+"""Programme events.
+
+The SQL states each rule over the fixtures: who is meant by existence tests,
+service years as sets of months, and firsts by windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwell.functions import fixed_values as fixed
 from pairwell.operators import extracts
 from suite.registry import case
 from suite.tables import Tables
 
 YEAR = 1996
-_ORG = "in (select edw_cust from x_customers)"
-_VOID = "('duplicate', 'rejected', 'cancelled', 'entered-in-error', 'draft')"
+
+
+def listed(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def customer_of(row: str) -> str:
+    return f"exists (from x_customers k where k.edw_cust = {row}.org_nm)"
+
+
+SERVICE_MONTHS = """service_months as (
+        select distinct upper(org_nm) as org, strftime(unnest(generate_series(
+                   strptime(svc_period_start, '%Y%m'), strptime(svc_period_end, '%Y%m'), interval 1 month)), '%Y%m') as month
+        from x_service_years)"""
 
 
 @case("events_spi", f"""
-    select distinct pmc.person_id, pmc.covrg_id, sd.utc_period,
-           case when savings_category in ('High Cost Claimants (HCC)', 'Case Management', 'Disease Management',
-                'Maternity Program', 'Treatment Decision Support') then savings_category else 'other_SPI_event' end as category,
-           'spi_definition' as sub_category
-    from x_savings sd join x_coverage pmc on upper(sd.covrg_id) = upper(pmc.covrg_id) and sd.utc_period = pmc.utc_period
-    where left(sd.utc_period, 4) >= '1996' and pmc.org_nm {_ORG}""")
+    with events as (
+        select distinct upper(covrg_id) as cover, utc_period as month,
+               if(savings_category in {listed(fixed.SAVINGS_CATEGORIES)}, savings_category, 'other_SPI_event') as kind
+        from x_savings where utc_period >= '{YEAR}01')
+    select distinct person_id, covrg_id, utc_period, kind as category, 'spi_definition' as sub_category
+    from x_coverage m, events
+    where cover = upper(m.covrg_id) and month = m.utc_period and {customer_of("m")}""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_spi(t.savings, t.coverage, t.customers, YEAR)
 
 
 @case("join_case_insensitive", """
-    select s.savings_category, c.person_id, c.covrg_id, c.utc_period
-    from x_savings s join x_coverage c on upper(s.covrg_id) = upper(c.covrg_id) and s.utc_period = c.utc_period""")
+    with savings as (select upper(covrg_id) as cover, utc_period as month, savings_category from x_savings)
+    select savings_category, person_id, covrg_id, utc_period
+    from x_coverage m join savings on cover = upper(m.covrg_id) and month = m.utc_period""")
 def _(t: Tables) -> DataFrame:
     return extracts.join_case_insensitive(
         t.savings, t.coverage.select("person_id", "covrg_id", "utc_period"), "covrg_id", "covrg_id", ["utc_period"])
 
 
-@case("first_event_per_year", "select person_id, left(utc_period, 4) as yr, min(utc_period) as first_mo from x_coverage group by 1, 2")
+@case("first_event_per_year", """
+    select person_id, substr(utc_period, 1, 4) as yr, min(utc_period) as first_mo from x_coverage group by all""")
 def _(t: Tables) -> DataFrame:
     return extracts.first_per_year(t.coverage, ["person_id"], "utc_period", "first_mo")
 
 
 @case("events_hcc_clinical", f"""
-    with hcc as (select p.covrg_id as hcc_id, person_id, left(adjudication_period, 4) as yr, min(adjudication_period) as hcc_mo
-                 from x_coverage p join x_claim_flags c on p.covrg_id = c.covrg_id and p.utc_period = c.adjudication_period
-                 where hcc_flag and member_flag = 1 and left(p.utc_period, 4) >= '1996' and p.org_nm {_ORG} group by all)
-    select person_id, hcc_id as covrg_id, eng_mo as utc_period, 'HCC Clinical Eng' as category,
-           case when hcc_mo > eng_mo then 'pre-hcc' else 'post-hcc' end as sub_category
-    from hcc join x_first_clinical f on hcc_id = eng_id and hcc.yr = f.yr""")
+    with costly as (
+        select person_id, covrg_id, substr(utc_period, 1, 4) as in_year, min(utc_period) as first_costly
+        from x_coverage m
+        where member_flag = 1 and utc_period >= '{YEAR}01' and {customer_of("m")} and exists (
+            from x_claim_flags c where c.hcc_flag and c.covrg_id = m.covrg_id and c.adjudication_period = m.utc_period)
+        group by all)
+    select person_id, covrg_id, first_contact as utc_period, 'HCC Clinical Eng' as category,
+           if(first_contact < first_costly, 'pre-hcc', 'post-hcc') as sub_category
+    from costly join x_first_clinical using (covrg_id, in_year)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_hcc_clinical(t.coverage, t.claim_flags, t.comms, t.tasks, t.customers, YEAR)
 
 
 @case("events_funnel", f"""
-    select distinct f.person_id, f.covrg_id, f.utc_period,
-           case when program in ('Conditions Care', 'Symptoms Care', 'Wellness Care', 'Preventive Care', 'Care Navigation')
-                then 'Care Navigation' else program end as category,
-           case when i.enc_id is null then 'no_jiva' else 'jiva_close' end as sub_category
-    from x_funnel f left join x_plan_ids a on a.care_plan_id = f.care_plan_id and a.alt_system = 'case-system'
-    left join x_interventions i on i.enc_id = a.alt_value and i.status = 'Closed'
-    where closed_on is not null and enrolled_on is not null and (program like '%BH%') is false
-      and (program like '%NICU%') is false and (program like '%Pediatric%') is false
-      and program not in ('Pharmacy', 'MSK', 'MHIC') and left(utc_period, 4) >= '1996' and f.org_nm {_ORG}""")
+    with outcomes as (
+        select distinct care_plan_id, exists (
+                   from x_interventions i where i.enc_id = p.alt_value and i.status = 'Closed') as was_closed
+        from x_plan_ids p where alt_system = 'case-system'),
+    finished as (
+        select * from x_funnel f
+        where closed_on is not null and enrolled_on is not null and utc_period >= '{YEAR}01' and {customer_of("f")}
+          and program not in {listed(fixed.FUNNEL_EXCLUDED_PROGRAMS)}
+          and not regexp_matches(program, '{"|".join(x.strip("%") for x in fixed.FUNNEL_EXCLUDED_PATTERNS)}'))
+    select distinct person_id, covrg_id, utc_period,
+           if(program in {listed(fixed.NAVIGATION_PROGRAMS)}, 'Care Navigation', program) as category,
+           if(was_closed, 'case closed', 'no closed case') as sub_category
+    from finished left join outcomes using (care_plan_id)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_funnel(
         t.funnel, t.plan_ids, t.interventions, t.customers, YEAR, case_system="case-system")
 
 
 @case("left_join_absence_label", """
-    select distinct l_orderkey as care_plan_id, case when i.enc_id is null then 'open' else 'closed' end as label
-    from lineitem left join x_interventions i on i.enc_id = l_orderkey * 10 + l_linenumber and i.status = 'Closed'""")
+    with plans as (select l_orderkey as care_plan_id, l_orderkey * 10 + l_linenumber as enc_id from lineitem)
+    select distinct care_plan_id, if(exists (
+               from x_interventions i where i.enc_id = plans.enc_id and i.status = 'Closed'), 'closed', 'open') as label
+    from plans""")
 def _(t: Tables) -> DataFrame:
     done = t.interventions.filter("status = 'Closed'").select("enc_id").distinct()
     plans = t.plan_ids.select("care_plan_id", F.col("alt_value").alias("enc_id"))
@@ -75,62 +104,71 @@ def _(t: Tables) -> DataFrame:
 
 
 @case("events_engagement", f"""
-    with eng as (select prs.person_id, prs.covrg_id, left(mc.utc_period, 4) as yr, min(mc.utc_period) as eng_mo
-                 from x_comms mc join (select distinct person_id, covrg_id from x_coverage) prs
-                      on upper(mc.covrg_id) = upper(prs.covrg_id)
-                 where mc.engaged_flag and mc.utc_period >= '1996' and mc.org_nm {_ORG} group by all)
-    select person_id, covrg_id, case when c.eng_id is null then eng.eng_mo else c.eng_mo end as utc_period,
-           case when c.eng_id is null then 'Engaged' else 'Clinically Engaged' end as category, 'Engaged' as sub_category
-    from eng left join x_first_clinical c on eng.covrg_id = c.eng_id and eng.yr = c.yr""")
+    with contacts as (
+        select upper(covrg_id) as cover, substr(utc_period, 1, 4) as in_year, min(utc_period) as first_any
+        from x_comms c where engaged_flag and utc_period >= '{YEAR}01' and {customer_of("c")} group by all),
+    clinical as (select upper(covrg_id) as cover, in_year, first_contact from x_first_clinical),
+    members as (select distinct person_id, covrg_id, upper(covrg_id) as cover from x_coverage)
+    select person_id, covrg_id, coalesce(first_contact, first_any) as utc_period,
+           if(first_contact is null, 'Engaged', 'Clinically Engaged') as category, 'Engaged' as sub_category
+    from members join contacts using (cover) left join clinical using (cover, in_year)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_engagement(t.comms, t.coverage, t.tasks, t.customers, YEAR)
 
 
-@case("crosswalk", f"select distinct org_nm, person_id, utc_period from x_coverage where left(utc_period, 4) >= '1996' and org_nm {_ORG}")
+@case("crosswalk", f"""
+    select org_nm, person_id, utc_period from x_coverage m
+    where utc_period >= '{YEAR}01' and {customer_of("m")} group by all""")
 def _(t: Tables) -> DataFrame:
     return extracts.crosswalk(t.coverage, t.customers, YEAR)
 
 
 @case("events_partner_enrollment", f"""
-    select distinct pmc.person_id, pmc.covrg_id, d.utc_period,
-           case when partner = 'SurgeryPlus' then 'Lantern' else partner end as category, 'TPE Enrollment' as sub_category
-    from x_encounters d join x_service_years s on strftime(start_date, '%Y%m') between svc_period_start and svc_period_end
-         and upper(d.org_nm) = upper(s.org_nm)
-    join x_coverage pmc on upper(d.covrg_id) = upper(pmc.covrg_id) and d.utc_period = pmc.utc_period
-    where start_date is not null and member_flag = 1 and partner in ('Carrot', 'Lantern', 'SurgeryPlus', 'Sword', 'Lyra')
-      and left(d.utc_period, 4) >= '1996' and pmc.org_nm {_ORG}""")
+    with {SERVICE_MONTHS},
+    started as (
+        select distinct upper(covrg_id) as cover, utc_period as month, partner from x_encounters e
+        where partner in {listed(fixed.PARTNERS)} and utc_period >= '{YEAR}01' and exists (
+            from service_months s where s.org = upper(e.org_nm) and s.month = strftime(e.start_date, '%Y%m')))
+    select distinct person_id, covrg_id, utc_period,
+           {" ".join(f"if(partner = '{a}', '{b}', partner)" for a, b in fixed.RENAMED_PARTNERS.items())} as category,
+           'TPE Enrollment' as sub_category
+    from x_coverage m join started on cover = upper(m.covrg_id) and month = m.utc_period
+    where member_flag = 1 and {customer_of("m")}""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_partner_enrollment(t.encounters, t.service_years, t.coverage, t.customers, YEAR)
 
 
-@case("service_year_range_join", """
-    select c.person_id, c.org_nm, c.utc_period from x_coverage c join x_service_years s
-    on c.utc_period between svc_period_start and svc_period_end and upper(c.org_nm) = upper(s.org_nm)""")
+@case("service_year_range_join", f"""
+    with {SERVICE_MONTHS}
+    select person_id, org_nm, utc_period from x_coverage m
+    where exists (from service_months s where s.org = upper(m.org_nm) and s.month = m.utc_period)""")
 def _(t: Tables) -> DataFrame:
     rows = t.coverage.select("person_id", "org_nm", "utc_period")
     return extracts.in_service_year(rows, t.service_years, "utc_period")
 
 
 @case("events_outreach", f"""
-    select distinct td.person_id, td.covrg_id, mc.utc_period, 'Outreach' as category, td.objective_type as sub_category
-    from x_comms mc join x_comms mc2 on mc2.comm_id = mc.comm_id
-    left join x_tasks td on td.enctr_id = mc2.enctr_id and td.task_status not in {_VOID} and td.deleted_flag <> 1
-    where task_cd like '%outreach%' and mc.result = 'CONTACT MADE' and left(mc.utc_period, 4) >= '1996' and mc.org_nm {_ORG}""")
+    with reached as (
+        select distinct comm_id, utc_period from x_comms c
+        where result = 'CONTACT MADE' and utc_period >= '{YEAR}01' and {customer_of("c")}),
+    asked as (
+        select distinct comm_id, person_id, x_tasks.covrg_id, objective_type from x_tasks join x_comms using (enctr_id)
+        where contains(task_cd, 'outreach') and deleted_flag <> 1 and task_status not in {listed(fixed.VOID_TASK_STATES)})
+    select distinct person_id, covrg_id, utc_period, 'Outreach' as category, objective_type as sub_category
+    from reached join asked using (comm_id)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_outreach(t.comms, t.tasks, t.customers, YEAR)
 
 
 @case("events_care_visits", f"""
-    with first_visit as (select strftime(service_date, '%Y') as y, person_id, min(service_date) as first_dt
-                         from x_care_visits group by all)
-    select distinct pmc.person_id, pmc.covrg_id, strftime(service_date, '%Y%m') as utc_period, 'Care' as category,
-           case when fv.person_id is null then 'subsequent visits' else 'first visit' end as sub_category
-    from x_care_visits pc join x_coverage pmc on upper(pc.person_id) = upper(pmc.person_id)
-         and strftime(service_date, '%Y%m') = pmc.utc_period
-    join x_service_years s on strftime(service_date, '%Y%m') between svc_period_start and svc_period_end
-         and upper(pmc.org_nm) = upper(s.org_nm)
-    left join first_visit fv on pc.person_id = fv.person_id
-         and strftime(service_date, '%Y%m') = strftime(first_dt, '%Y%m')
-    where pmc.member_flag = 1 and left(pmc.utc_period, 4) >= '1996' and pmc.org_nm {_ORG}""")
+    with {SERVICE_MONTHS},
+    visited as (select distinct person_id as visitor, strftime(service_date, '%Y%m') as month from x_care_visits),
+    placed as (
+        select visitor, month, month = min(month) over (partition by visitor, substr(month, 1, 4)) as opens_year from visited)
+    select distinct person_id, covrg_id, utc_period, 'Care' as category,
+           if(opens_year, 'first visit', 'subsequent visits') as sub_category
+    from x_coverage m join placed on upper(visitor) = upper(m.person_id) and month = m.utc_period
+    where member_flag = 1 and utc_period >= '{YEAR}01' and {customer_of("m")}
+      and exists (from service_months s where s.org = upper(m.org_nm) and s.month = m.utc_period)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_care_visits(t.care_visits, t.coverage, t.service_years, t.customers, YEAR)

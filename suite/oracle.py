@@ -8,7 +8,16 @@ from __future__ import annotations
 
 import re
 
+from pairwell.functions import fixed_values as fixed
 
+#: Names that the fixtures draw from: every rule, set and partner, and one of none.
+REVENUE_NAMES = [p.strip("%") for p, _ in fixed.REVENUE_RULES] + ["Laboratory", "Emergency Room Urgent Care"]
+PLACE_NAMES = [p.strip("%") for p, _ in fixed.PLACE_RULES] + ["Pharmacy"]
+TERM_SETS = [
+    *fixed.CHRONIC_CONDITIONS, *fixed.DIABETES_DRUG_SETS, *fixed.DIABETES_DRUG_EXCLUSION_SETS, *fixed.AVOIDABLE_ER_SETS, None,
+]
+PARTNER_NAMES = [*fixed.PARTNERS, "Other Partner"]
+VOID_STATES = "(" + ", ".join(f"'{s}'" for s in fixed.VOID_TASK_STATES) + ")"
 
 def r2(expr: str) -> str:
     return f"cast(round(cast({expr} as decimal(18,6)), 2) as double)"
@@ -271,25 +280,22 @@ CTES: dict[str, str] = {
         where svc_period_start <= svc_period_end""",
     "x_encounters": f"""
         select upper(covrg_id) as covrg_id, utc_period, org_nm,
-               {pick("o_orderkey % 6", ["Carrot", "Lantern", "SurgeryPlus", "Sword", "Lyra", "Other Partner"])} as partner,
+               {pick(f"o_orderkey % {len(PARTNER_NAMES)}", PARTNER_NAMES)} as partner,
                case when o_orderstatus <> 'P' then o_orderdate end as start_date
         from x_oc""",
     "x_care_visits": """
         select lower(person_id) as person_id, cast(o_orderdate as date) as service_date from x_oc""",
-    "x_first_clinical": """
-        select mc.covrg_id as eng_id, left(mc.utc_period, 4) as yr, min(mc.utc_period) as eng_mo
-        from x_comms mc join x_tasks td on td.enctr_id = mc.enctr_id and td.task_cd = 'issue'
-             and td.task_status not in ('duplicate', 'rejected', 'cancelled', 'entered-in-error', 'draft')
-             and td.deleted_flag <> 1 and td.objective_category = 'Care'
-             and (td.objective_type = 'Other Care Education') is false
-        where mc.clinical_flag = 1 and left(mc.utc_period, 4) >= '1996'
-          and mc.org_nm in (select edw_cust from x_customers)
+    "x_first_clinical": f"""
+        select covrg_id, substr(utc_period, 1, 4) as in_year, min(utc_period) as first_contact
+        from x_comms c
+        where clinical_flag = 1 and utc_period >= '199601'
+          and exists (from x_customers k where k.edw_cust = c.org_nm)
+          and exists (from x_tasks t where t.enctr_id = c.enctr_id and t.task_cd = 'issue' and t.deleted_flag <> 1
+                      and t.objective_category = 'Care' and t.objective_type <> 'Other Care Education'
+                      and t.task_status not in {VOID_STATES})
         group by all""",
-    "x_terms": """
-        select case p_type when 'STANDARD' then 'ASTHMA' when 'ECONOMY' then 'COPD'
-                    when 'MEDIUM' then 'INSULIN' when 'LARGE' then 'HEADACHE'
-                    when 'PROMO' then 'GLP1_RA' when 'SMALL' then 'DIABETES_MEDS_NOT_INSULIN'
-                    end as value_set_nm,
+    "x_terms": f"""
+        select {pick(f"p_partkey % {len(TERM_SETS)}", TERM_SETS)} as value_set_nm,
                'E' || (p_partkey % 97) || '.' || p_size as cd_sys_concept_cd,
                p_name || '''s ' || p_brand as cd_sys_concept_display,
                case when p_size > 45 then 'retired' else 'active' end as cd_sys_sts,
@@ -297,11 +303,11 @@ CTES: dict[str, str] = {
         from part""",
     "x_revenue": f"""
         select lpad(cast(p_partkey as varchar), 4, '0') as code,
-               {pick("p_partkey % 8", ["Emergency Room", "Urgent Care", "Room & Board", "Intensive Care", "Laboratory", "Operating Room Services", "Screening Mammography", "Emergency Room Urgent Care"])} || ' ' || p_name as description
+               {pick(f"p_partkey % {len(REVENUE_NAMES)}", REVENUE_NAMES)} || ' ' || p_name as description
         from part""",
     "x_places": f"""
         select cast(p_partkey % 50 as varchar) as stdplac,
-               {pick("p_partkey % 4", ["Office", "Inpatient Hospital", "Emergency Room", "Pharmacy"])} || ' ' || p_name as description
+               {pick(f"p_partkey % {len(PLACE_NAMES)}", PLACE_NAMES)} || ' ' || p_name as description
         from part""",
 }
 

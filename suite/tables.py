@@ -17,6 +17,7 @@ from pairwell.operators import visits
 from pairwell.plans import ingest
 from pairwell.session import materialize
 from pairwell.sources.readers import month_table
+from suite.oracle import PARTNER_NAMES, PLACE_NAMES, REVENUE_NAMES, TERM_SETS
 
 EXPOSED = ["1-URGENT", "2-HIGH"]
 EXCLUDE = ["5-LOW"]
@@ -296,10 +297,9 @@ class Tables:
 
     @cached_property
     def encounters(self) -> DataFrame:
-        partners = ["Carrot", "Lantern", "SurgeryPlus", "Sword", "Lyra", "Other Partner"]
         return self.orders_customers.select(
             F.upper("covrg_id").alias("covrg_id"), "utc_period", "org_nm",
-            pick(F.col("o_orderkey") % 6, partners).alias("partner"),
+            pick(F.col("o_orderkey") % len(PARTNER_NAMES), PARTNER_NAMES).alias("partner"),
             F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date"))
             .alias("start_date"),
         )
@@ -315,14 +315,7 @@ class Tables:
 
     @cached_property
     def terms(self) -> DataFrame:
-        sets = {
-            "STANDARD": "ASTHMA", "ECONOMY": "COPD", "MEDIUM": "INSULIN", "LARGE": "HEADACHE",
-            "PROMO": "GLP1_RA", "SMALL": "DIABETES_MEDS_NOT_INSULIN",
-        }
-        kind = F.col("p_type")
-        name = F.lit(None).cast("string")
-        for t, s in sets.items():
-            name = F.when(kind == t, s).otherwise(name)
+        name = pick(F.col("p_partkey") % len(TERM_SETS), TERM_SETS)
         state = F.when(F.col("p_size") > 45, "retired").otherwise("active")
         code = F.concat(F.lit("E"), (F.col("p_partkey") % 97).cast("string"), F.lit("."),
                         F.col("p_size").cast("string"))
@@ -341,17 +334,14 @@ class Tables:
 
     @cached_property
     def revenue_codes(self) -> DataFrame:
-        names = ["Emergency Room", "Urgent Care", "Room & Board", "Intensive Care", "Laboratory",
-                 "Operating Room Services", "Screening Mammography", "Emergency Room Urgent Care"]
         return self.raw("part").select(
             F.lpad(F.col("p_partkey").cast("string"), 4, "0").alias("code"),
-            self._descriptions(names).alias("description"),
+            self._descriptions(REVENUE_NAMES).alias("description"),
         )
 
     @cached_property
     def places(self) -> DataFrame:
-        names = ["Office", "Inpatient Hospital", "Emergency Room", "Pharmacy"]
         return self.raw("part").select(
             (F.col("p_partkey") % 50).cast("string").alias("stdplac"),
-            self._descriptions(names).alias("description"),
+            self._descriptions(PLACE_NAMES).alias("description"),
         )
