@@ -134,13 +134,14 @@ def only_category(df: DataFrame, category: str) -> DataFrame:
 def sample_matches(
     matched: DataFrame, n: int, *, category: str | None = None, seed: int = 0
 ) -> DataFrame:
-    """``n`` exposed rows, drawn by hash, with their controls.
+    """``n`` exposed rows, drawn by the MD5 of seed and key, with their controls.
 
     A seed fixes the draw whatever the partitioning.
     """
     is_control: Column = F.col("category").contains("control")
     rows = matched if category is None else only_category(matched, category)
-    order = [F.xxhash64(F.lit(seed), "match_key", "member_id", "category"), F.col("match_key")]
+    named = F.concat_ws("|", F.lit(seed), "match_key", F.col("member_id").cast("string"), "category")
+    order = [F.md5(named.cast("binary")), F.col("match_key")]
     exposed = rows.filter(~is_control).orderBy(*order).limit(n)
     partner = exposed.select(
         "match_key", labels.label_concat(F.col("category"), "control").alias("category")

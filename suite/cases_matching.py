@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwell.operators import features
@@ -73,9 +74,30 @@ def _(t: Tables) -> DataFrame:
     return edges(t, exact=True, n_list=5, n_probe=2, max_distance_sq=1.9)
 
 
-@case("knn_candidates_ivf")
-def _(t: Tables) -> DataFrame:
-    return edges(t, exact=False, n_list=5, n_probe=2)
+@case("knn_candidates_ivf", """
+    with given as (
+        select stratum, row_number() over (partition by stratum order by key) - 1 as cell, vec
+        from x_points where is_control and stratum in (select stratum from x_strata)
+        qualify row_number() over (partition by stratum order by key) <= 5),
+    apart as (
+        select p.stratum, p.key, p.is_control, p.vec, g.cell,
+               row_number() over (partition by p.key order by round(list_sum(list_transform(
+                   list_zip(p.vec, g.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), g.cell) as place
+        from x_points p join given g using (stratum)),
+    near as (
+        select e.stratum, e.key as exposed_key, c.key as control_key, round(list_sum(list_transform(
+                   list_zip(e.vec, c.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) as d2
+        from apart e join apart c on c.stratum = e.stratum and c.cell = e.cell
+        where not e.is_control and e.place <= 2 and c.is_control and c.place = 1)
+    select *, row_number() over (partition by exposed_key order by d2, control_key)::int as rank
+    from near qualify rank <= 10""")
+def _(t: Tables) -> DataFrame:
+    """A given index, here the first five controls of each stratum, searched in two cells."""
+    first = W.partitionBy("stratum").orderBy("key")
+    given = usable(t).filter("is_control").withColumn("cell", F.row_number().over(first)).filter("cell <= 5")
+    centroids = given.groupBy("stratum").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("cell", "vec"))), lambda x: x["vec"]).alias("centroids"))
+    return edges(t, exact=False, n_probe=2, centroids=centroids)
 
 
 @case("knn_ivf_all_cells", "select * from x_edges")

@@ -164,6 +164,12 @@ def _(t: Tables) -> DataFrame:
     return rows.join(partner, ["match_key", "category"])
 
 
-@case("sample_matches")
+@case("sample_matches", f"""
+    with {_NEXT}, drawn as (
+        select * from matched where category = '1-URGENT'
+        order by md5(concat_ws('|', 7, match_key, member_id, category)), match_key limit 3)
+    select * from drawn
+    union all
+    select m.* from matched m join drawn d on d.match_key = m.match_key and m.category = d.category || ' control'""")
 def _(t: Tables) -> DataFrame:
     return report.sample_matches(materialize(neighbours(t), "matched"), 3, category="1-URGENT", seed=7)

@@ -44,10 +44,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @case("write_parquet_versioned", """
-    select *, cast(left(service_month, 4) as int) as svc_year from x_med_spend where left(service_month, 4) in ('1997', '1998')""")
+    select *, cast(left(service_month, 4) as int) as svc_year from x_med_spend""")
 def _(t: Tables) -> DataFrame:
     path = new_path(t.spark, "claims_versions")
-    for year in (1997, 1998):
+    for year in YEARS:
         sinks.write_parquet_versioned(_year(_spend(t), year), path, year=year, version=8)
     return t.spark.read.parquet(path).drop("export_ver")
 
@@ -72,10 +72,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @case("append_merge_schema", """
-    select member_id, service_month, med_total, null as med_total_net from x_med_spend where left(service_month, 4) = '1997'
-    union all select member_id, service_month, med_total, med_total_net from x_med_spend where left(service_month, 4) = '1998'""")
+    select member_id, service_month, med_total, if(left(service_month, 4) < '1998', null, med_total_net) as med_total_net
+    from x_med_spend""")
 def _(t: Tables) -> DataFrame:
     path = new_path(t.spark, "claims")
-    sinks.append_rows(_year(_spend(t), 1997).drop("med_total_net"), path)
-    sinks.append_rows(_year(_spend(t), 1998), path)
+    for year in YEARS:
+        rows = _year(_spend(t), year)
+        sinks.append_rows(rows.drop("med_total_net") if year < 1998 else rows, path)
     return sinks.read_merged(t.spark, path)

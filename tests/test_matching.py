@@ -142,3 +142,33 @@ def test_controls_are_used_once_per_cohort(spark):
     for task_edges in (0, 100):
         got = assign.greedy_match(df, task_edges=task_edges)
         assert sorted((r.cohort, r.exposed_key) for r in got.collect()) == [("x", 1), ("y", 1)]
+
+
+@pytest.mark.parametrize("n_probe", [1, 2])
+def test_a_control_tied_by_rounding_is_found_in_another_cell(spark, n_probe):
+    at = [3.0, 4.0, 5.0, 5.00001, 6.00001, 7.00001]
+    points = [("s", i, True, [x]) for i, x in enumerate(at)] + [("s", 100, False, [5.00001])]
+    got = candidates.nearest_controls(frame(spark, points), k=1, n_list=2, n_probe=n_probe)
+    assert found(got) == brute(points, 1)
+
+
+def test_blocks_of_a_large_stratum_spread_over_tasks(spark, partitions):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit("small"), F.col("id") % 7)).otherwise("large").alias("stratum"),
+        F.col("id").alias("key"), F.array(F.rand(1), F.rand(2)).alias("vec"))
+    centroids = candidates.fit_centroids(rows, 4, rounds=1, block_rows=64)
+    placed = candidates._assign_cells(rows, centroids, 64).filter("stratum = 'large'")
+    per_task = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == int(partitions)
+
+
+def test_proposals_settle_a_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = assign.materialize
+    monkeypatch.setattr(assign, "materialize", lambda df, name: rounds.append(name) or kept(df, name))
+    n = 500
+    edges = [("c", "s", e, c, 0.0, i + 1) for e in range(n) for i, c in enumerate((e, e + 1))]
+    got = assign.greedy_match(spark.createDataFrame(
+        edges, "cohort string, stratum string, exposed_key long, control_key long, d2 double, rank int"))
+    assert {(r.exposed_key, r.control_key) for r in got.collect()} == {(e, e) for e in range(n)}
+    assert rounds.count("asked") == 1
