@@ -11,6 +11,9 @@ from pairwell.sources import readers, sinks
 from suite.registry import case
 from suite.tables import Tables
 
+#: Service years of the claims.
+YEARS = range(1995, 2002)
+
 
 def _spend(t: Tables) -> DataFrame:
     return claims.spend_by_month(t.med_lines, "svc_start", "med")
