@@ -101,7 +101,12 @@ def attach_details(
         labels.collapse_control_label(F.col("category")).alias("category"),
         "match_key",
     )
-    rows = details.dropDuplicates(list(id_columns))
+    # Of repeated details the least row counts, whatever the partitioning.
+    others = [c for c in details.columns if c not in id_columns]
+    wanted = details.join(keyed.select(*id_columns).distinct(), list(id_columns), "left_semi")
+    rows = wanted.groupBy(*id_columns).agg(F.min(F.struct(*others)).alias("row")).select(
+        *id_columns, "row.*"
+    ) if others else wanted.distinct()
     return keyed.join(rows, list(id_columns), "left").withColumn("category", F.col("category_long"))
 
 

@@ -96,12 +96,18 @@ def build_cohorts(
     """Exposed and control rows with features, outliers removed.
 
     The control side may come from another source with tables of its own; the
-    columns both have are kept.
+    columns both have are kept.  Where both sides read the same claims and
+    flags, one panel serves both.
     """
-    a = add_claims(exposed, claims, flags, windows, leading, trailing)
-    b = add_claims(control, control_claims, control_flags, windows, leading, trailing)
-    shared = [c for c in a.columns if c in b.columns]
-    both = a.select(*shared).unionByName(b.select(*shared))
+    if claims is control_claims and flags is control_flags:
+        shared = [c for c in exposed.columns if c in control.columns]
+        rows = exposed.select(*shared).unionByName(control.select(*shared))
+        both = add_claims(rows, claims, flags, windows, leading, trailing)
+    else:
+        a = add_claims(exposed, claims, flags, windows, leading, trailing)
+        b = add_claims(control, control_claims, control_flags, windows, leading, trailing)
+        shared = [c for c in a.columns if c in b.columns]
+        both = a.select(*shared).unionByName(b.select(*shared))
     rows = derive_features(both, windows, leading, trailing)
     months = [
         measures.offset_name("total_claims", n)

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.operators import extracts
-from suite.registry import case
+from pairwell.plans import events
+from pairwell.session import materialize, new_path
+from pairwell.sources import sinks
+from suite.registry import body, case
 from suite.tables import Tables
 
 YEAR = 1996
@@ -172,3 +175,43 @@ def _(t: Tables) -> DataFrame:
       and exists (from service_months s where s.org = upper(m.org_nm) and s.month = m.utc_period)""")
 def _(t: Tables) -> DataFrame:
     return extracts.events_care_visits(t.care_visits, t.coverage, t.service_years, t.customers, YEAR)
+
+
+# All extracts in one table
+
+EXTRACTS = (
+    "events_spi", "events_hcc_clinical", "events_funnel", "events_engagement", "events_partner_enrollment",
+    "events_outreach", "events_care_visits",
+)
+
+
+def all_events(t: Tables) -> DataFrame:
+    return events.build_events([
+        extracts.events_spi(t.savings, t.coverage, t.customers, YEAR),
+        extracts.events_hcc_clinical(t.coverage, t.claim_flags, t.comms, t.tasks, t.customers, YEAR),
+        extracts.events_funnel(
+            t.funnel, t.plan_ids, t.interventions, t.customers, YEAR, case_system="case-system"),
+        extracts.events_engagement(t.comms, t.coverage, t.tasks, t.customers, YEAR),
+        extracts.events_partner_enrollment(t.encounters, t.service_years, t.coverage, t.customers, YEAR),
+        extracts.events_outreach(t.comms, t.tasks, t.customers, YEAR),
+        extracts.events_care_visits(t.care_visits, t.coverage, t.service_years, t.customers, YEAR),
+    ])
+
+
+ALL_EVENTS = "select distinct person_id, covrg_id, strptime(utc_period, '%Y%m')::date as utc_period, category, sub_category from (" + (
+    " union all ".join(f"select person_id, covrg_id, utc_period, category, sub_category from {body(n)}" for n in EXTRACTS)
+) + ") where person_id is not null and utc_period is not null"
+
+
+@case("build_events", ALL_EVENTS)
+def _(t: Tables) -> DataFrame:
+    return all_events(t)
+
+
+@case("append_events", ALL_EVENTS)
+def _(t: Tables) -> DataFrame:
+    """Year by year to a stored table, read back."""
+    path, rows = new_path(t.spark, "events"), materialize(all_events(t), "events")
+    for year in range(1995, 2003):
+        events.append_events(rows.filter(F.year("utc_period") == year), path)
+    return sinks.read_merged(t.spark, path)

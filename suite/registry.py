@@ -15,6 +15,12 @@ Case = Callable[[Tables], DataFrame]
 
 _CASES: dict[str, Case] = {}
 _SQL: dict[str, str] = {}
+_BODY: dict[str, str] = {}
+
+
+def body(name: str) -> str:
+    """The SQL of a query registered before, for use inside another."""
+    return f"({_BODY[name]})"
 
 
 def case(name: str, sql: str | None = None) -> Callable[[Case], Case]:
@@ -24,7 +30,7 @@ def case(name: str, sql: str | None = None) -> Callable[[Case], Case]:
             raise ValueError(f"query {name} is registered twice")
         _CASES[name] = fn
         if sql is not None:
-            _SQL[name] = oracle(sql)
+            _SQL[name], _BODY[name] = oracle(sql), sql
         return fn
 
     return register
