@@ -74,9 +74,9 @@ def _propose(edges: DataFrame) -> DataFrame:
     """
     wishes = materialize(edges.select(*EXPOSED, "control_key", "rank", "d2"), "wishes")
     while True:
-        asked = materialize(wishes.groupBy(*EXPOSED).agg(
+        asked = wishes.groupBy(*EXPOSED).agg(
             F.min_by(F.struct("control_key", "d2"), "rank").alias("pick")
-        ).select(*EXPOSED, "pick.control_key", "pick.d2"), "asked")
+        ).select(*EXPOSED, "pick.control_key", "pick.d2")
         holders = materialize(
             asked.groupBy(*SLOT).agg(F.min("exposed_key").alias("holder"), F.count("*").alias("asking")),
             "holders",

@@ -331,7 +331,7 @@ def nearest_controls(
     exact: bool = True,
     max_distance_sq: float | None = None,
     block_rows: int = 8192,
-    rounds: int = 2,
+    rounds: int | None = None,
     centroids: DataFrame | None = None,
 ) -> DataFrame:
     """Edges (stratum, exposed_key, control_key, d2, rank) to the k nearest
@@ -350,6 +350,8 @@ def nearest_controls(
         "bound", limit
     )
     if centroids is None:
+        # Exact results do not depend on how well the cells fit, only their cost does.
+        rounds = (1 if exact else 4) if rounds is None else rounds
         centroids = fit_centroids(controls, n_list, rounds=rounds, block_rows=block_rows)
     else:
         rows = controls.groupBy("stratum").agg(F.count("*").alias("rows"))

@@ -22,7 +22,7 @@ QUICK = """
     coded_demographics_rollup sources_with_all_tables customer_member_fallback events_spi
     events_hcc_clinical events_funnel events_engagement events_partner_enrollment events_outreach
     events_care_visits cohort_stats cohort_retention full_vs_matched main_match append_merge_schema
-    knn_candidates_ivf sample_matches
+    knn_candidates_ivf sample_matches build_members build_events
 """.split()
 NAMES = sorted(SQL) if os.environ.get("PAIRWELL_ALL") else QUICK
 
