@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell.session import materialize
+
 #: White space of the word rules: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -31,31 +31,10 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a session on one machine gets a folder of its own; a
-    cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="pairwell-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    A written table outlives lost executors, is computed once and cuts the
-    lineage of what follows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ``written(df, name)``: the table written to the folder in
+#: ``spark.checkpoint.dir`` and read back.  It outlives lost executors, is
+#: computed once and cuts the lineage of what follows.
+written = materialize
 
 
 def release(spark: SparkSession) -> None:

@@ -36,7 +36,7 @@ from pairwell.llm.common import text_of, written
 #: Labelled texts the likelihoods are fitted on, at most.
 SAMPLE = 20_000
 #: Languages told apart, at most; the most frequent ones.
-LANGUAGES = 1_000
+LANGUAGES = 200
 BUCKETS = 1 << 16
 REACH = 300.0
 #: Rows that a smoothing prior weighs as much as.
