@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 Fields = list[tuple[str, T.DataType]]
 
 #: Rows handed to a function at once; texts of a batch are read one by one.
-ROWS = 512
+ROWS = 256
 
 
 def byte_texts(column: pa.Array) -> Iterator[bytes]:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _BLANK, _NONE = 0x2581, 0xFFFFFFFF
 #: Characters worked on at once; longer texts are cut between segments.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 #: Longer segments are filtered one by one, rescaled at every place.
 _SHORT = 48
+#: Filtered segments a worker keeps for later batches; beyond that it starts anew.
+_KEPT = 120_000
 _STEP = np.uint64(0x9E3779B97F4A7C13)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
@@ -78,6 +81,8 @@ class Pieces:
             [(1.0 + min(max(0.0, -vocabulary.get_score(i)), len(self.bytes))) ** -sharpness
              for i in range(len(self.bytes))])
         self.longest = max(map(len, self.ids))
+        self.kept: tuple[np.ndarray, ...] | None = None
+        self.pool: tuple[np.ndarray, ...] | None = None
         # A factor per character cancels in every posterior; this one keeps the
         # sums of a short segment within what a double holds.
         digits = np.log10(1.0 / self.weight[list(self.ids.values())].min()) / 2
@@ -165,7 +170,7 @@ class Pieces:
                 left[live] -= 1
                 live = live[left[live] > 0]
             total[here + 1] = summed
-        share = upto_edge / np.repeat(upto_edge[first + degree - 1], degree)
+        share = (upto_edge / np.repeat(upto_edge[first + degree - 1], degree)).astype(np.float32)
         return first, share, length, pieces
 
     def _sampled(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -173,20 +178,26 @@ class Pieces:
         out = np.full(len(codes), -1, np.int32)
         upto = _hashes(codes)
         name = mixed((upto[start + size] - upto[start]) * _power(_BACK, int(start[-1]) + 1)[start]) ^ size.astype(np.uint64)
-        _, one, which = np.unique(name, return_index=True, return_inverse=True)
+        kinds, one, which = np.unique(name, return_index=True, return_inverse=True)
+        known = self.kept if self.kept and len(self.kept[0]) + len(kinds) <= _KEPT else self._nothing()
+        new = one[~np.isin(kinds, known[0], assume_unique=True)]
+        if len(new):
+            known = self._added(known, name[new], codes, start[new], size[new])
+        self.kept = known
+        names, begin, seen, first, share, length, piece = known
+        base = begin[np.searchsorted(names, kinds)][which]
         reach = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        if not np.array_equal(codes[np.repeat(start[one][which], size) + reach], codes[np.repeat(start, size) + reach]):
-            one = which = np.arange(len(start))  # two segments share a hash: filter each by itself
-        kinds = size[one]
-        taken = np.repeat(start[one], kinds) + np.arange(int(kinds.sum())) - np.repeat(np.cumsum(kinds) - kinds, kinds)
-        first, share, length, piece = self._filtered(codes[taken], kinds)
-        base = (np.cumsum(kinds) - kinds)[which]
+        places = np.minimum(np.repeat(base, size) + reach, len(seen) - 1)
+        if not np.array_equal(seen[places], codes[np.repeat(start, size) + reach]):
+            # Two segments share a hash: filter each occurrence by itself.
+            taken = np.repeat(start, size) + reach
+            first, share, length, piece = self._filtered(codes[taken], size)
+            base = np.cumsum(size) - size
         left = size.copy()
         on = np.arange(len(start))
         while len(on):
             end = start[on] + left[on] - 1
-            row = base[on] + left[on] - 1
-            edge, drawn = first[row], draw[end]
+            edge, drawn = first[base[on] + left[on] - 1], draw[end]
             over = np.flatnonzero(share[edge] <= drawn)
             while len(over):
                 edge[over] += 1
@@ -196,6 +207,23 @@ class Pieces:
             on = on[left[on] > 0]
         return out
 
+    @staticmethod
+    def _nothing() -> tuple[np.ndarray, ...]:
+        kinds = (np.uint64, np.int64, np.uint32, np.int64, np.float32, np.int8, np.int32)
+        return tuple(np.zeros(0, k) for k in kinds)
+
+    def _added(self, known: tuple, name: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple:
+        """The filtered segments kept so far, and new ones behind them."""
+        names, begin, seen, first, share, length, piece = known
+        own = np.cumsum(size) - size
+        taken = np.repeat(start - own, size) + np.arange(int(size.sum()))
+        more = self._filtered(codes[taken], size)
+        names, begin = np.concatenate([names, name]), np.concatenate([begin, own + len(seen)])
+        order = np.argsort(names)
+        return (
+            names[order], begin[order], np.concatenate([seen, codes[taken]]), np.concatenate([first, more[0] + len(share)]),
+            *(np.concatenate([a, b.astype(a.dtype)]) for a, b in zip((share, length, piece), more[1:], strict=True)))
+
     def _sampled_alone(self, codes: np.ndarray, draw: np.ndarray) -> np.ndarray:
         """One long segment; sums are rescaled at every place."""
         n, text = len(codes), "".join(chr(c) if c != _NONE else "\0" for c in codes.tolist())
@@ -293,9 +321,22 @@ class Pieces:
         for (i, *_), part in zip(queue, np.split(ids, ends[:-1]), strict=True):
             done[i].append(part)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of pieces: exact for what :meth:`encode` gives."""
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the texts of many rows: exact for what :meth:`encode` gives.
+
+        The pieces of row ``i`` are ``ids[offsets[i]:offsets[i + 1]]``.
+        """
+        if self.pool is None:
+            sizes = np.array([len(b) for b in self.bytes])
+            self.pool = (np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        pool, begin, sizes = self.pool
+        at, size = begin[ids], sizes[ids]
+        heads = offsets[:-1][np.diff(offsets) > 0]  # the leading blank is not text
+        at[heads] += 1
+        size[heads] -= 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = pool[np.repeat(at - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return data, ends[offsets]
 
 
 _LOADED: dict[tuple, Pieces] = {}
@@ -339,7 +380,11 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
                 made = iter(pieces.encode([b for b in bodies if b is not None], [
                     _seed(seed, i) for i, b in zip(keys, bodies, strict=True) if b is not None]))
                 rows = [next(made) if b is not None else None for b in bodies]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.int32()))], names)
+                ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+                flat = np.concatenate([np.zeros(0, np.int32), *(r for r in rows if r is not None)])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([r is None for r in rows]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema), out
@@ -358,8 +403,14 @@ def decoded(docs: DataFrame, pieces: str, model: str = MODEL) -> tuple[DataFrame
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                rows = [None if ids is None else vocabulary.decode(ids) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.string())], names)
+                lists = part.column(at)
+                ids, offsets = lists.flatten().to_numpy(), np.concatenate(
+                    [[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+                data, ends = vocabulary.decode(ids, offsets)
+                made = pa.LargeStringArray.from_buffers(
+                    len(lists), pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(data)).cast(pa.string())
+                made = pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
     return docs.mapInArrow(run, schema), out
