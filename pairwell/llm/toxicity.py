@@ -3,8 +3,9 @@
 The lexicon is learned from labelled documents: words and word stems found far
 more often in toxic ones.  Its trie is intersected with the Levenshtein
 automaton of every word read, built state by state as words ask for it, so a
-misspelled term costs one step a letter.  Words that the labels show to be
-harmless neighbours of a term count little.
+misspelled term costs one step a letter.  Evidence on misspellings belongs to
+the word as read: those that the labels show to be harmless neighbours of a term
+count little, and a spelling they do not show counts part of the term.
 
 Every hit is judged in a window of words around it: inside quotation marks, or
 after a word of saying, it counts as quotation rather than abuse.  A logistic
@@ -121,7 +122,8 @@ class Automaton:
         return found + self.accepts[state]
 
 
-Hit = tuple[str, int, bool]
+#: (term, 0, quoted), or (term, edits, quoted, word as read) of a misspelling.
+Hit = tuple
 
 
 class Reader:
@@ -131,7 +133,7 @@ class Reader:
         self.automaton, self.seen = Automaton(words, stems), {}
 
     def hits(self, text: str) -> Counter:
-        """How often each (term, edits, quoted) is found."""
+        """How often each hit is found."""
         low = text.lower()
         words = set(_WORD.findall(low))
         hot = {}
@@ -147,10 +149,11 @@ class Reader:
         if hot:
             spans = [m.span() for m in _WORD.finditer(low)]
             for i, (start, end) in enumerate(spans):
-                if terms := hot.get(low[start:end]):
+                word = low[start:end]
+                if terms := hot.get(word):
                     quoted = self._quoted(low, spans, i)
                     for term, edits in terms:
-                        found[(term, edits, quoted)] += 1
+                        found[(term, edits, quoted, word) if edits else (term, 0, quoted)] += 1
         return found
 
     @staticmethod
@@ -164,14 +167,16 @@ class Reader:
 
 
 FEATURES = ("bias", "most", "others", "repeats", "quoted")
+#: Part of a term's log odds that a misspelling is worth without evidence.
+UNSEEN = 0.7
 
 
 @dataclass
 class Model:
-    """The lexicon's log odds by term, for exact and misspelled hits, and the weights."""
+    """The lexicon's log odds by term, and by (term, word) for the misspellings of the labels; and the weights."""
 
     exact: dict[str, float]
-    near: dict[str, float] = field(default_factory=dict)
+    near: dict[tuple[str, str], float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [-3.0, 1.0, 0.0, 0.0, 0.0])
 
     def terms(self) -> tuple[list[str], list[str]]:
@@ -179,8 +184,8 @@ class Model:
 
     def features(self, hits: Counter) -> list[float]:
         plain, quoted, count = {}, 0.0, 0
-        for (term, edits, inside), n in hits.items():
-            worth = self.exact[term] if edits == 0 else self.near.get(term, 0.0)
+        for (term, _, inside, *word), n in hits.items():
+            worth = self.near.get((term, *word), UNSEEN * self.exact[term]) if word else self.exact[term]
             if inside:
                 quoted = max(quoted, worth)
             elif worth > 0:
@@ -246,14 +251,14 @@ def _hits_of(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model.terms())
     kept: list[Reader] = []
     fields = [("hits", T.ArrayType(T.StructType([
-        T.StructField("term", T.StringType()), T.StructField("edits", T.IntegerType()),
-        T.StructField("quoted", T.BooleanType()), T.StructField("n", T.IntegerType())])))]
+        T.StructField("term", T.StringType()), T.StructField("edits", T.IntegerType()), T.StructField("quoted", T.BooleanType()),
+        T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())])))]
 
     def work(cells: pa.Array) -> list[tuple]:
         if not kept:
             kept.append(Reader(*shared.value))
-        return [([{"term": t, "edits": e, "quoted": q, "n": n} for (t, e, q), n in kept[0].hits(body).items()],)
-                for body in texts(cells)]
+        return [([{"term": t, "edits": e, "quoted": q, "word": w[0] if w else None, "n": n}
+                  for (t, e, q, *w), n in kept[0].hits(body).items()],) for body in texts(cells)]
 
     return added(rows, "text", fields, work, keep)
 
@@ -267,17 +272,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not exact:
         return model
     # At most ``sample`` short lists of hits.
-    seen = [(r.toxic, Counter({(h.term, h.edits, h.quoted): h.n for h in r.hits}))
+    seen = [(r.toxic, Counter({(h.term, h.edits, h.quoted, h.word) if h.edits else (h.term, 0, h.quoted): h.n for h in r.hits}))
             for r in _hits_of(rows, model, ["toxic"]).collect()]
-    near: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    near: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     for toxic, hits in seen:
-        for term in {t for t, e, _ in hits if e}:
-            near[term][toxic] += 1
-    for term, odds in exact.items():
-        clean, toxic = near[term]
-        # Without evidence a misspelling is worth part of the term; evidence moves it.
-        prior = math.exp(0.7 * odds) * bad / max(1, good)
-        model.near[term] = max(0.0, math.log(((toxic + prior) / (clean + 1)) * max(1, good) / max(1, bad)))
+        for term, word in {(h[0], h[3]) for h in hits if h[1]}:
+            near[term, word][toxic] += 1
+    for (term, word), (clean, toxic) in near.items():
+        # Evidence moves a spelling away from what it is worth without any.
+        prior = math.exp(UNSEEN * exact[term]) * bad / max(1, good)
+        model.near[term, word] = max(0.0, math.log(((toxic + prior) / (clean + 1)) * max(1, good) / max(1, bad)))
     x = np.array([model.features(h) for _, h in seen])
     y = np.array([t for t, _ in seen], float)
     model.weights = _logistic(x, y).tolist()
@@ -313,7 +317,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         for body in texts(cells):
             hits = kept[0].hits(body)
             score = shared.value.score(hits)
-            rows.append((score, int(score >= 0.5), len({t for t, _, _ in hits})))
+            rows.append((score, int(score >= 0.5), len({h[0] for h in hits})))
         return rows
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -256,6 +257,20 @@ def test_quotation_is_not_abuse():
     assert list(reader.hits('she wrote "what a moron" yesterday')) == [("moron", 0, True)]
 
 
+def test_a_harmless_neighbour_does_not_excuse_other_spellings(spark, make):
+    clean = [f"plain words of number{'abcdefghij'[i % 10]} about oron" for i in range(200)]
+    toxic = ["you moron"] * 60 + ["you morron"] * 3
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    rows = list(zip(ids, clean + toxic, [0] * len(clean) + [1] * len(toxic)))
+    model = toxicity.fit(make([r[:2] for r in rows]), spark.createDataFrame(
+        [(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.scored(make(
+        [(1, "see oron"), (2, "see morron"), (3, "see moroon"), (4, "see moron"), (5, "see")]), model).collect()}
+    assert score[1] < 0.1 and score[5] < 0.1
+    # 'moroon' stands in no labelled document.
+    assert score[2] > 0.5 and score[3] > 0.5 and score[4] > 0.5
+
+
 def test_toxicity_and_language_on_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
