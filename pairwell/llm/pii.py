@@ -33,7 +33,18 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\x00-\x20\"'<>\x7f-\xa0]++")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?: (?:no|number|nr)\.?)?[ :#]{1,3}([0-9][0-9-]{4,20}[0-9])")
+_ACCOUNT = re.compile(r"(?: (?i:no|number|nr)\.?)?[ :#]{1,3}([0-9][0-9-]{4,20}[0-9])")
+
+#: Lengths of account numbers by country, as registered for ISO 13616.
+IBAN_LENGTHS = {
+    country: size for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
 
 #: Anchors and the parser each one calls.
 CUES = {
@@ -72,6 +83,19 @@ def _mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _iban_size(given: str) -> int:
+    """How many characters of ``given``, blanks included, are an account; 0 if none are.
+
+    An account of a country with a registered length ends there, if the check
+    digits hold, and otherwise where the whole of ``given`` ends; that of
+    another country at the last place where they hold.
+    """
+    ends = [i + 1 for i, c in enumerate(given) if c != " "]
+    registered = IBAN_LENGTHS.get(given[:2])
+    sizes = [registered, len(ends)] if registered else range(len(ends), 14, -1)
+    return next((ends[n - 1] for n in sizes if n <= len(ends) and _mod97(given[:ends[n - 1]].replace(" ", ""))), 0)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind as listed, then start."""
     found: list[tuple[str, int, int]] = []
@@ -115,9 +139,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     done["url"] = stop
         elif cue == "iban":
             if at >= done["iban"] and (m := _IBAN.match(text, end + 1)):
-                done["iban"] = m.end()
-                if _mod97(m[1].replace(" ", "")):
-                    found.append(("iban", m.start(1), m.end(1)))
+                # What fails is not passed over: another cue may stand within it.
+                if size := _iban_size(m[1]):
+                    done["iban"] = m.start(1) + size
+                    found.append(("iban", m.start(1), done["iban"]))
         elif at >= done["account"] and (m := _ACCOUNT.match(text, end + 1)):
             found.append(("account", m.start(1), m.end(1)))
             done["account"] = m.end()

@@ -170,6 +170,24 @@ def test_added_kinds_and_redaction():
     assert "b.example" not in clean and "[URL]." in clean and "[IBAN]" in clean and "[ACCOUNT]" in clean
 
 
+@pytest.mark.parametrize(("text", "clean"), [
+    ("IBAN DE89370400440532013000 Please pay", "IBAN [IBAN] Please pay"),
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "IBAN [IBAN] BIC COBADEFF"),
+    ("IBAN: GB82 WEST 1234 5698 7654 32 5 days", "IBAN: [IBAN] 5 days"),
+    ("IBAN NO9386011117947 A", "IBAN [IBAN] A"),
+    ("IBAN DE89370400440532013000", "IBAN [IBAN]"),
+    # No registered length: the last end at which the check digits hold.
+    ("IBAN ZZ22370400440532013000 Y", "IBAN [IBAN] Y"),
+    ("IBAN DE00 3704 0044 IBAN DE89370400440532013000", "IBAN DE00 3704 0044 IBAN [IBAN]"),
+    ("IBAN DE88370400440532013000 Please pay", None),
+    ("Account Number: 12345678", "Account Number: [ACCOUNT]"),
+    ("ACCOUNT NO. 12345678", "ACCOUNT NO. [ACCOUNT]"),
+    ("account Nr 12345678", "account Nr [ACCOUNT]"),
+])
+def test_accounts_end_where_they_end(text, clean):
+    assert pii.redact(text, pii.find(text)) == (clean or text)
+
+
 def test_ledger_scans_each_blob_once_per_rules(spark, make):
     key = "password = hunter2hunter2"
     docs = make([(1, key), (2, key), (3, "nothing"), (4, None)])
