@@ -15,8 +15,9 @@ The last three are sums of text posteriors by declaration, suffix, host and
 domain: grouped aggregations that combine before the shuffle, joined back to
 narrow rows.  A row's own text is taken out of the sums it is judged by.
 
-A text's likelihood table is fitted on at most ``sample`` labelled texts, chosen
-by hash; all else reads all rows.
+A text's likelihood table is fitted on at most ``sample`` labelled texts, or one
+of each language if those are more: the first by hash of each language.  All
+else reads all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +36,6 @@ from pairwell.llm.common import text_of, written
 
 #: Labelled texts the likelihoods are fitted on, at most.
 SAMPLE = 20_000
-#: Languages told apart, at most; the most frequent ones.
-LANGUAGES = 200
 BUCKETS = 1 << 16
 REACH = 300.0
 #: Rows that a smoothing prior weighs as much as.
@@ -68,34 +67,65 @@ class Likelihoods:
         return total / (1.0 + len(at) / REACH)
 
 
+def _quota(counts: list[int], sample: int) -> int:
+    """The most texts a language may give for all together to be at most ``sample``; one at least."""
+    left, quota = sample, 0
+    for i, n in enumerate(sorted(counts)):
+        quota = max(quota, left // (len(counts) - i))
+        if n > quota:
+            break
+        left -= n
+    return max(1, quota)
+
+
+def _drawn(labels: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """(id, lang) of the first rows by hash of each language."""
+    quota = _quota(list(counts.values()), sample)
+    # Rows whose hash is beyond twice what the quota asks for cannot be among the
+    # first, so no task sorts all rows of a frequent language.
+    share = [(name, min(1.0, (2 * quota + 100) / n)) for name, n in counts.items()]
+    shares = labels.sparkSession.createDataFrame(share, "lang string, share double")
+    order = F.xxhash64("id")
+    near = labels.join(F.broadcast(shares), "lang").filter(
+        (F.col("share") >= 1) | (order / 2.0**64 + 0.5 < F.col("share"))).select("id", "lang").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
+    return near.withColumn("first", first).filter(F.col("first") <= quota).select("id", "lang")
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Likelihoods:
-    """Likelihoods from labelled texts; rows without a label or text do not count."""
+    """Likelihoods of all languages with a labelled text; rows without a label or text do not count."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
-        "id is not null and lang is not null and text is not null")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    names = sorted(r.lang for r in found.collect())
-    # At most ``sample`` rows of two columns.
-    chosen = rows.select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(sample).dropDuplicates(["id"])
+        "id is not null and lang is not null and text <> ''")
+    # One number per language.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(counts)
+    if not names:
+        return Likelihoods(names, np.zeros((BUCKETS, 0), np.float32))
+    chosen = _drawn(rows.select("id", "lang"), counts, sample)
     number = {name: i for i, name in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(names), BUCKETS), np.int64)
+        tables: dict[str, np.ndarray] = {}
         for batch in batches:
             for body, name in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if name in number:
-                    table[number[name]] += np.bincount(_buckets(body), minlength=BUCKETS)
-        which, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(which), pa.array(bucket), pa.array(table[which, bucket])], ["lang", "bucket", "n"])
-
-    learned = rows.select("id", "text").join(F.broadcast(chosen), "id").select("text", "lang").mapInArrow(
+                if name not in tables:
+                    tables[name] = np.zeros(BUCKETS, np.int64)
+                tables[name] += np.bincount(_buckets(body), minlength=BUCKETS)
+        for name, table in tables.items():
+            bucket = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(bucket), number[name])), pa.array(bucket), pa.array(table[bucket])], ["lang", "bucket", "n"])
+
+    learned = rows.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang").mapInArrow(
         count, "lang long, bucket long, n long")
     table = np.full((BUCKETS, len(names)), 0.5)
     # One number per bucket and language.
     for r in learned.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         table[r.bucket, r.lang] += r.n
-    logs = np.log(table / table.sum(axis=0)) if names else table
-    return Likelihoods(names, (logs - logs.mean(axis=1, keepdims=True) if names else logs).astype(np.float32))
+    table /= table.sum(axis=0)
+    np.log(table, out=table)
+    table -= table.mean(axis=1, keepdims=True)
+    return Likelihoods(names, table.astype(np.float32))
 
 
 def page_rows(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

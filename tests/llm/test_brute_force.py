@@ -302,6 +302,19 @@ def test_toxicity_and_language_on_held_out_documents(spark):
     assert right.filter("lang = label").count() / right.count() > 0.97
 
 
+def test_every_labelled_language_gives_texts(spark):
+    rows = [(i, "the house and the tree", "en") for i in range(1000)] + [(1000 + i, f"qx{i} zq{i}", f"l{i:03}") for i in range(210)]
+    rows.append((2000, "", "none"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample=250)
+    assert model.languages == ["en", *(f"l{i:03}" for i in range(210))]
+    assert all(model.languages[model.evidence(t.encode()).argmax()] == lang for _, t, lang in rows[999:-1])
+    drawn = language_id._drawn(docs.filter("text <> ''").select("doc_id", "lang").toDF("id", "lang"),
+                               {"en": 1000} | {f"l{i:03}": 1 for i in range(210)}, 250).collect()
+    assert collections.Counter(r.lang for r in drawn) == {"en": 40} | {f"l{i:03}": 1 for i in range(210)}
+    assert language_id._quota([3, 1, 9], 7) == 3 and language_id._quota([5] * 9, 4) == 1
+
+
 def test_hosts_and_declarations_decide_where_the_text_does_not(spark):
     likelihoods = language_id.fit(spark.createDataFrame(
         [(i, t * 20, l) for i, (t, l) in enumerate([("the house and the tree ", "en"), ("das haus und der baum ", "de")] * 5)],
