@@ -176,7 +176,10 @@ def _(t: Tables) -> DataFrame:
     select code, description, case
         when description like '%Emergency Room%' then 'ER' when description like '%Urgent Care%' then 'UC'
         when description like '%Screening Mammography%' then 'Mammogram'
-        when description like '%Room & Board%' then 'Inpatient' when description like '%Intensive Care%' then 'Inpatient'
+        when description like '%Room & Board%' or description like '%room and board%'
+          or description like '%Labor Room%' or description like '%Inpatient Renal Dialysis%'
+          or description like '%Hospital Visit%' or description like '%Intensive Care%'
+          or description like '%Coronary Care%' then 'Inpatient'
         when description like '%Operating Room Services%' then 'Surgery' else 'x' end as category
     from x_revenue""")
 def _(t: Tables) -> DataFrame:

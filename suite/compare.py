@@ -7,12 +7,15 @@ import decimal
 import math
 import sys
 import time
+from typing import TYPE_CHECKING
 
-import duckdb
 from pyspark.sql import SparkSession
 
 from suite import registry
 
+if TYPE_CHECKING:
+    import duckdb
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -31,6 +34,8 @@ def session(cores: int = 8) -> SparkSession:
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    import duckdb  # only the comparison needs it, not the sessions
+
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")

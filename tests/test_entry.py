@@ -25,6 +25,6 @@ def test_python_workers_get_the_package(tmp_path):
 
 def test_entry_without_the_optional_parts(tmp_path):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
     out = run("import __spark_entry__ as e\nprint('N', len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())", tmp_path, str(copy))
     assert out.split("N ")[1].split()[2] == "False"

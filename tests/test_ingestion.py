@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from pairwell.functions import fixed_values, labels
 from pairwell.operators import code_lists, conditions, extracts, visits
 from pairwell.sources import sinks, tenants
 from pairwell.session import new_path
@@ -115,7 +116,19 @@ def test_funnel_keeps_both_labels(spark):
     customers = spark.createDataFrame([("ORG",)], "edw_cust string")
     out = extracts.events_funnel(funnel, plans, done, customers, 2020, case_system="s")
     assert sorted((r.person_id, r.sub_category) for r in out.collect()) == [
-        (1, "jiva_close"), (1, "no_jiva"), (2, "no_jiva"), (3, "no_jiva")]
+        (1, "case closed"), (1, "no closed case"), (2, "no closed case"), (3, "no closed case")]
+
+
+def test_every_revenue_rule_names_its_category(spark):
+    names = {
+        "Emergency Room Services": "ER", "Urgent Care Clinic": "UC", "Screening Mammography": "Mammogram",
+        "Room & Board Private": "Inpatient", "All-inclusive room and board": "Inpatient", "Labor Room": "Inpatient",
+        "Inpatient Renal Dialysis": "Inpatient", "Hospital Visit": "Inpatient", "Intensive Care": "Inpatient",
+        "Coronary Care": "Inpatient", "Operating Room Services": "Surgery", "Laboratory": "x", "labor room": "x",
+        "Emergency Room Urgent Care": "ER"}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = df.select("name", labels.like_classify(F.col("name"), fixed_values.REVENUE_RULES).alias("category"))
+    assert {r.name: r.category for r in got.collect()} == names
 
 
 def test_versions_stay_readable(spark):
