@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontaminate, language_id, minmax, piece_sampling, pii, quality_ledger, secret_ledger, sql, suffix_dedup, toxicity
+from pairwell.llm import (
+    chat, decontaminate, hard_negatives, language_id, minmax, ngram_join, piece_sampling, pii, quality_ledger,
+    secret_ledger, spelling, sql, suffix_dedup, toxicity,
+)
 from pairwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +87,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(given.unionByName(extra)))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    points = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(points, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -95,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 

@@ -212,7 +212,67 @@ near as (
 
 NEAR_COPIES = f"with recursive {near_copies(2, 80)} select * from near"
 
+NGRAM_JOIN = f"with recursive {near_copies(5, 80)} select doc_id, n_shingles, component_id from near"
+
+# CRC-32 bit by bit: each step shifts, and adds the polynomial if the lowest bit and the message's differ.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(4 * length(x)), lambda i:
+    ((instr('0123456789ABCDEF', x[2 * (i // 8) + if(i % 8 < 4, 2, 1)]) - 1) >> (i % 4)) & 1)),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+SPELLING = f"""
+with recursive runs as (
+  select doc_id, run, count(*) as k from (
+    select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_UPPER.lower()}') as run
+    from documents) where length(run) >= 6 group by all),
+hashed as (
+  select run, k, {_CRC} as h from (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs)),
+words as (
+  select word, sum(k)::bigint as n from (
+    select k, case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word from hashed)
+  where length(word) >= 6 group by 1 having sum(k) >= 5),
+cut as (
+  select word, i, word[:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+shorter as (select distinct c.word as a, w.word as b from cut c join words w on w.word = c.rest),
+near as (
+  select a, b from shorter union select b, a from shorter
+  union select x.word, y.word from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word),
+best as (
+  select a, count(*) as n_near, arg_min(b, struct_pack(less := -w.n, b := b)) as form, max(w.n) as form_n
+  from near join words w on w.word = b group by a),
+formed as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * n then form end as form,
+         case when form_n >= 5 * n then form_n end as form_n
+  from words left join best on a = word),
+walk as (
+  select word, word as last, 0 as steps from formed
+  union all
+  select k.word, f.form, k.steps + 1 from walk k join formed f on f.word = k.last where f.form is not null)
+select word, form, root, n, n_near, form_n from formed join (select word, arg_max(last, steps) as root from walk group by 1) using (word)"""
+
+HARD_NEGATIVES = """
+with points as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score
+  from points a join points b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positive as (
+  select anchor_id, other as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+ranked as (
+  select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other)::int as rank,
+         other as negative_id, positive_score, score as negative_score
+  from positive p join scored s on s.anchor_id = p.anchor_id and not same
+  where 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from ranked where rank <= 10"""
+
 ORACLE = {
+    "op11_ngram_join": NGRAM_JOIN,
+    "op12_spelling_variants": SPELLING,
+    "op13_hard_negatives": HARD_NEGATIVES,
     "op5_minhash_near_dedup": NEAR_COPIES,
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op9_pii": PII,
