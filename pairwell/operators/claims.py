@@ -33,6 +33,18 @@ def spend_by_month(
     )
 
 
+def spend_of_days(days: DataFrame) -> DataFrame:
+    """Medical spend by member and month from :func:`pairwell.operators.visits.member_days`."""
+    return (
+        days.filter("paid_lines > 0")
+        .groupBy("member_id", dates.format_yyyymm(F.col("svc_start")).alias("service_month"))
+        .agg(
+            F.sum("med_total").cast("double").alias("med_total"),
+            F.sum("med_total_net").cast("double").alias("med_total_net"),
+        )
+    )
+
+
 def join_spend(medical: DataFrame, pharmacy: DataFrame) -> DataFrame:
     """Medical and pharmacy spend side by side, absent ones 0, with totals.
 

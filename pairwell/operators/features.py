@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import labels
+from pairwell.session import materialize
 
 
 def assemble_vector(df: DataFrame, columns: Sequence[str], out: str = "vector") -> DataFrame:
@@ -55,6 +57,19 @@ def one_hot(
     ])
 
 
+def distinct_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df.distinct()`` for wide rows of which few share a key.
+
+    The keys that stand more than once are found on the narrow columns and
+    written; only their rows are then compared as a whole.  A written table has
+    a known size, so as a rule the wide rows are not shuffled.
+    """
+    again = materialize(
+        df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), "repeated")
+    same = reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(again[f"`{k}`"]) for k in keys])
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").distinct())
+
+
 def full_transformation(
     df: DataFrame,
     id_columns: Sequence[str],
@@ -65,7 +80,8 @@ def full_transformation(
 ) -> DataFrame:
     """Ids, 0/1 columns for the exact variables, and scaled, weighted columns.
 
-    One projection over the input: nothing is joined back.
+    One projection over the input.  Repeated rows count once; they are looked
+    for by the ids.
     """
     names = list(scale)
     scaled = scale_columns(df.na.fill(0, names), names)
@@ -78,7 +94,7 @@ def full_transformation(
         (F.col(c) * F.lit(float((weights or {}).get(c, 1)))).alias(c) for c in names
     ]
     filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in binary]
-    return scaled.select(*id_columns, *filled, *flags, *weighted).distinct()
+    return distinct_by_key(scaled.select(*id_columns, *filled, *flags, *weighted), id_columns)
 
 
 def stratum_label(columns: Sequence[str]) -> Column:

@@ -1,10 +1,10 @@
 """Nearest controls of exposed rows, within strata.
 
-Controls of a stratum are divided into cells around centroids.  An exposed row
+Controls of a stratum lie in a tree of cells (``cells``).  An exposed row
 searches its nearest cells; that is the approximate search.  The exact search
-then visits every other cell that could still hold a nearer control: a cell
-whose members lie within ``radius`` of its centroid cannot contain a point
-nearer than ``distance to centroid - radius``.
+then visits every other cell that could still hold a nearer control: a node
+whose members lie within ``radius`` of its center cannot contain a point
+nearer than ``distance to center - radius``, and nor can what is below it.
 
 Work is spread by (stratum, cell, block of controls, block of exposed rows): a
 group is two blocks however large a stratum or cell is, and the groups of a
@@ -16,47 +16,17 @@ the running, and identical exposed rows are searched once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwell.operators.matching.blocks import block_of, blocks, chunks, matrix
+from pairwell.operators.matching.cells import CellIndex, build, given_cells, place, route, search_nodes
 from pairwell.session import materialize
 
-# Distances are told apart to nine decimals of their square, plus float error.
-_ROUNDING, _FLOAT = 1e-9, 1e-9
-# Elements of the largest distance matrix held at once (32 MB).
-_CHUNK = 4_000_000
-# Controls a cell is meant to hold.
-_CELL_ROWS = 2048
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
-
-
-def _centers(nested) -> np.ndarray:
-    return np.array([np.asarray(c, dtype=np.float64) for c in nested])
-
-
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared L2 between all rows of two blocks."""
-    out = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        diff = a[:, d, None] - b[None, :, d]
-        out += diff * diff
-    return out
-
-
-def _chunks(rows: int, width: int) -> Iterator[slice]:
-    step = max(1, _CHUNK // max(1, width))
-    for start in range(0, rows, step):
-        yield slice(start, min(rows, start + step))
-
 
 def nearest_in_block(
     exposed: np.ndarray, controls: np.ndarray, k: int, limit: np.ndarray
@@ -74,7 +44,7 @@ def nearest_in_block(
     error = 2e-9 + 1e-12 * (a2.max() + b2.max())
     nth = min(k, len(b)) - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for part in _chunks(len(a), len(b)):
+    for part in chunks(len(a), len(b)):
         near = a2[part, None] + b2[None, :] - 2 * (a[part] @ b.T)
         bound = np.partition(near, nth, axis=1)[:, nth]
         bound = np.minimum(bound, limit[part])
@@ -91,187 +61,6 @@ def nearest_in_block(
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
-def nearest_center(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Nearest center of each point, up to float error."""
-    half = (centers * centers).sum(axis=1) / 2
-    out = np.empty(len(points), dtype=np.int64)
-    for part in _chunks(len(points), len(centers)):
-        out[part] = (half[None, :] - points[part] @ centers.T).argmin(axis=1)
-    return out
-
-
-def _blocks(size: str, rows: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col(size) / rows)).cast("int")
-
-
-def _block_of(col: str, blocks: str) -> Column:
-    return F.pmod(F.xxhash64(col), F.col(blocks)).cast("int")
-
-
-def _first_centroids(controls: DataFrame, n_list: int | None) -> DataFrame:
-    """(stratum, rows, centroids): distinct controls chosen by hash.
-
-    Without ``n_list`` there is a cell for every ``_CELL_ROWS`` controls.
-    """
-    sized = controls.groupBy("stratum").agg(F.count("*").alias("rows")).withColumn(
-        "cells", F.lit(n_list) if n_list else F.ceil(F.col("rows") / _CELL_ROWS).cast("int")
-    )
-    kinds = controls.groupBy("stratum", "vec").agg(F.min("key").alias("key"))
-    order = W.partitionBy("stratum").orderBy(F.xxhash64("key"), "key")
-    chosen = kinds.withColumn("place", F.row_number().over(order)).join(sized, "stratum").filter(
-        F.col("place") <= F.col("cells")
-    )
-    return chosen.groupBy("stratum").agg(
-        F.first("rows").alias("rows"),
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "vec"))), lambda x: x["vec"])
-        .alias("centroids"),
-    )
-
-
-def _by_block(
-    controls: DataFrame, centroids: DataFrame, block_rows: int, work, schema: T.StructType
-) -> DataFrame:
-    """``work(points, centers)`` for every block of controls of every stratum."""
-    sized = centroids.withColumn("blocks", _blocks("rows", block_rows))
-    left = controls.join(sized.select("stratum", "blocks"), "stratum").withColumn(
-        "block", _block_of("key", "blocks")
-    )
-    right = sized.select(
-        "stratum", "centroids", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    )
-
-    def run(points: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(cells):
-            return pd.DataFrame({f.name: [] for f in schema})
-        return work(points, _centers(cells["centroids"].iloc[0]))
-
-    return left.groupBy("stratum", "block").cogroup(
-        right.groupBy("stratum", "block")
-    ).applyInPandas(run, schema)
-
-
-def _moved(controls: DataFrame, centroids: DataFrame, block_rows: int) -> DataFrame:
-    """Centroids at the mean of all their controls; empty cells stay."""
-    def sums(points: pd.DataFrame, centers: np.ndarray) -> pd.DataFrame:
-        vectors = _matrix(points["vec"])
-        cell = nearest_center(vectors, centers)
-        total = np.zeros_like(centers)
-        np.add.at(total, cell, vectors)
-        n = np.bincount(cell, minlength=len(centers))
-        used = np.flatnonzero(n)
-        return pd.DataFrame({
-            "stratum": points["stratum"].iloc[0], "cell": used, "n": n[used],
-            "total": total[used].tolist(),
-        })
-
-    schema = T.StructType([
-        controls.schema["stratum"], T.StructField("cell", T.IntegerType()),
-        T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType())),
-    ])
-    parts = _by_block(controls, centroids, block_rows, sums, schema)
-    means = parts.select("stratum", "cell", "n", F.posexplode("total").alias("d", "x")).groupBy(
-        "stratum", "cell", "d"
-    ).agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("stratum", "cell").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda v: v["x"]).alias("mean")
-    )
-    old = centroids.select("stratum", "rows", F.posexplode("centroids").alias("cell", "center"))
-    return old.join(means, ["stratum", "cell"], "left").groupBy("stratum").agg(
-        F.first("rows").alias("rows"),
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("cell", F.coalesce("mean", "center").alias("c")))),
-            lambda x: x["c"],
-        ).alias("centroids"),
-    )
-
-
-def fit_centroids(
-    controls: DataFrame, n_list: int | None, *, rounds: int = 2, block_rows: int = 8192
-) -> DataFrame:
-    """(stratum, rows, centroids): k-means over all controls of each stratum."""
-    centroids = materialize(_first_centroids(controls, n_list), "centroids")
-    for _ in range(rounds):
-        centroids = materialize(_moved(controls, centroids, block_rows), "centroids")
-    return centroids
-
-
-def _assign_cells(controls: DataFrame, centroids: DataFrame, block_rows: int) -> DataFrame:
-    """Controls with their nearest centroid's cell and the distance to it."""
-    def assign(points: pd.DataFrame, centers: np.ndarray) -> pd.DataFrame:
-        vectors = _matrix(points["vec"])
-        cell = nearest_center(vectors, centers)
-        dist = np.sqrt(((vectors - centers[cell]) ** 2).sum(axis=1))
-        return points[["stratum", "key", "vec"]].assign(cell=cell, dist=dist)
-
-    schema = T.StructType([
-        controls.schema["stratum"], controls.schema["key"], controls.schema["vec"],
-        T.StructField("cell", T.LongType()), T.StructField("dist", T.DoubleType()),
-    ])
-    return _by_block(controls, centroids, block_rows, assign, schema)
-
-
-def _route(
-    exposed: DataFrame, cells: DataFrame, n_probe: int, block_rows: int, *, rest: bool
-) -> DataFrame:
-    """(stratum, cell, e_key, vec, bound): the cells each exposed row has to search.
-
-    Without ``rest`` the ``n_probe`` nearest; with it those of the others that
-    can hold a control within the row's ``bound`` of the squared distance.
-    """
-    sizes = exposed.groupBy("stratum").agg(F.count("*").alias("n")).select(
-        "stratum", _blocks("n", block_rows).alias("blocks")
-    )
-    left = exposed.join(sizes, "stratum").withColumn("block", _block_of("e_key", "blocks"))
-    lists = cells.groupBy("stratum").agg(
-        F.sort_array(F.collect_list(F.struct("cell", "centroid", "radius"))).alias("cells")
-    )
-    right = lists.join(sizes, "stratum").select(
-        "stratum", F.col("cells.cell").alias("cell"), F.col("cells.centroid").alias("centroid"),
-        F.col("cells.radius").alias("radius"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-
-    def route(points: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"stratum": [], "cell": [], "e_key": [], "vec": [], "bound": []})
-        if not len(points) or not len(listed):
-            return empty
-        ids = np.array(listed["cell"].iloc[0], dtype=np.int64)
-        centers = _centers(listed["centroid"].iloc[0])
-        radius = np.array(listed["radius"].iloc[0], dtype=np.float64)
-        vectors = _matrix(points["vec"])
-        # A control tied with the bound may be farther by the rounding.
-        reach = np.sqrt(points["bound"].to_numpy() + _ROUNDING)
-        rows_out, cells_out = [], []
-        for part in _chunks(len(points), len(ids)):
-            d2 = squared_distances(vectors[part], centers)
-            rank = np.round(d2, 9).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            if rest:
-                away = np.sqrt(d2)
-                nearest = away - radius[None, :] - _FLOAT * (1 + away + radius[None, :])
-                wanted = (rank >= n_probe) & (nearest <= reach[part, None])
-            else:
-                wanted = rank < n_probe
-            rows, cols = np.nonzero(wanted)
-            rows_out.append(rows + part.start)
-            cells_out.append(ids[cols])
-        rows = np.concatenate(rows_out)
-        return pd.DataFrame({
-            "stratum": points["stratum"].to_numpy()[rows],
-            "cell": np.concatenate(cells_out),
-            "e_key": points["e_key"].to_numpy()[rows],
-            "vec": points["vec"].to_numpy()[rows],
-            "bound": points["bound"].to_numpy()[rows],
-        })
-
-    schema = T.StructType([
-        exposed.schema["stratum"], T.StructField("cell", T.LongType()),
-        T.StructField("e_key", T.LongType()), exposed.schema["vec"],
-        T.StructField("bound", T.DoubleType()),
-    ])
-    return left.groupBy("stratum", "block").cogroup(
-        right.groupBy("stratum", "block")
-    ).applyInPandas(route, schema)
-
-
 def _search(
     routed: DataFrame, controls: DataFrame, k: int, block_rows: int
 ) -> DataFrame:
@@ -281,14 +70,14 @@ def _search(
     n_controls = controls.groupBy(*place).agg(F.count("*").alias("nc"))
     n_exposed = routed.groupBy(*place).agg(F.count("*").alias("ne"))
     grid = n_controls.join(n_exposed, place).select(
-        *place, _blocks("nc", block_rows).alias("cb"), _blocks("ne", block_rows).alias("eb")
+        *place, blocks("nc", block_rows).alias("cb"), blocks("ne", block_rows).alias("eb")
     )
     left = routed.join(grid, place).withColumns({
-        "e_block": _block_of("e_key", "eb"),
+        "e_block": block_of("e_key", "eb"),
         "c_block": F.explode(F.sequence(F.lit(0), F.col("cb") - 1)),
     }).drop("cb", "eb")
     right = controls.select(*place, "key", "vec").join(grid, place).withColumns({
-        "c_block": _block_of("key", "cb"),
+        "c_block": block_of("key", "cb"),
         "e_block": F.explode(F.sequence(F.lit(0), F.col("eb") - 1)),
     }).drop("cb", "eb")
 
@@ -297,7 +86,7 @@ def _search(
             return pd.DataFrame({"stratum": [], "e_key": [], "control_key": [], "d2": []})
         ctl = ctl.sort_values("key")
         rows, cols, d2 = nearest_in_block(
-            _matrix(exp["vec"]), _matrix(ctl["vec"]), k, exp["bound"].to_numpy())
+            matrix(exp["vec"]), matrix(ctl["vec"]), k, exp["bound"].to_numpy())
         return pd.DataFrame({
             "stratum": exp["stratum"].to_numpy()[rows],
             "e_key": exp["e_key"].to_numpy()[rows],
@@ -322,67 +111,46 @@ def top_k(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest_controls(
-    points: DataFrame,
+def search(
+    index: CellIndex,
+    exposed: DataFrame,
     *,
     k: int = 10,
-    n_list: int | None = None,
     n_probe: int = 10,
     exact: bool = True,
     max_distance_sq: float | None = None,
     block_rows: int = 8192,
-    rounds: int | None = None,
-    centroids: DataFrame | None = None,
 ) -> DataFrame:
-    """Edges (stratum, exposed_key, control_key, d2, rank) to the k nearest
-    controls of the same stratum.
+    """Edges (stratum, exposed_key, control_key, d2, rank) from ``exposed``
+    (stratum, key, vec) to the k nearest controls of an index.
 
-    ``points`` has ``stratum``, ``key`` (long, ascending in order of
-    preference), ``is_control`` and ``vec`` (array of double).  With
-    ``max_distance_sq`` farther controls are left out, which changes no match.
-    ``exact=False`` searches ``n_probe`` cells only.  ``centroids`` (stratum,
-    centroids) reuses cells fitted before.
+    With ``max_distance_sq`` farther controls are left out, which changes no
+    match.  ``exact=False`` searches ``n_probe`` cells only.
     """
-    controls = points.filter("is_control").select("stratum", "key", "vec")
-    exposed = points.filter(~F.col("is_control"))
     limit = F.lit(float("inf") if max_distance_sq is None else float(max_distance_sq))
-    searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key")).withColumn(
-        "bound", limit
+    searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key")).withColumns(
+        {"bound": limit, "probed": F.array().cast("array<long>")}
     )
-    if centroids is None:
-        # Exact results do not depend on how well the cells fit, only their cost does.
-        rounds = (1 if exact else 4) if rounds is None else rounds
-        centroids = fit_centroids(controls, n_list, rounds=rounds, block_rows=block_rows)
-    else:
-        rows = controls.groupBy("stratum").agg(F.count("*").alias("rows"))
-        centroids = materialize(rows.join(centroids, "stratum"), "centroids")
     # Of controls with one vector, only the k first can be among k nearest.
     copies = W.partitionBy("stratum", "cell", "vec").orderBy("key")
     placed = materialize(
-        _assign_cells(controls, centroids, block_rows)
-        .withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy"),
+        index.members.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy"),
         "cells",
     )
-    cells = (
-        placed.groupBy("stratum", "cell").agg(F.max("dist").alias("radius"))
-        .join(
-            centroids.select("stratum", F.posexplode("centroids").alias("pos", "centroid"))
-            .select("stratum", F.col("pos").cast("long").alias("cell"), "centroid"),
-            ["stratum", "cell"],
-        )
-    )
-    routed = materialize(_route(searched, cells, n_probe, block_rows, rest=False), "routed")
+    nodes = materialize(search_nodes(index.cells, placed), "nodes")
+    placed = placed.drop("nodes", "dists")
+    routed = route(searched, nodes, index.levels, n_probe, block_rows, rest=False)
     best = top_k(_search(routed, placed, k, block_rows), ["stratum", "e_key"], k)
     if exact:
         best = materialize(best, "probed")
         farthest = best.groupBy("stratum", "e_key").agg(
             F.count("*").alias("found"), F.max("d2").alias("kth")
         )
-        bounded = searched.drop("bound").join(farthest, ["stratum", "e_key"], "left").select(
-            "stratum", "vec", "e_key",
-            F.when(F.col("found") >= k, F.col("kth")).otherwise(limit).alias("bound"),
-        )
-        rest = materialize(_route(bounded, cells, n_probe, block_rows, rest=True), "routed")
+        probed = routed.groupBy("stratum", "e_key").agg(F.collect_list("cell").alias("probed"))
+        bounded = searched.drop("bound", "probed").join(farthest, ["stratum", "e_key"], "left").join(
+            probed, ["stratum", "e_key"]
+        ).withColumn("bound", F.when(F.col("found") >= k, F.col("kth")).otherwise(limit))
+        rest = route(bounded, nodes, index.levels, n_probe, block_rows, rest=True)
         more = _search(rest, placed, k, block_rows)
         best = top_k(best.drop("rank").unionByName(more), ["stratum", "e_key"], k)
 
@@ -394,6 +162,40 @@ def nearest_controls(
     )
 
 
+def nearest_controls(
+    points: DataFrame,
+    *,
+    k: int = 10,
+    n_list: int | None = None,
+    n_probe: int = 10,
+    exact: bool = True,
+    max_distance_sq: float | None = None,
+    block_rows: int = 8192,
+    rounds: int | None = None,
+    centroids: DataFrame | None = None,
+    **tree: int,
+) -> DataFrame:
+    """Edges (stratum, exposed_key, control_key, d2, rank) to the k nearest
+    controls of the same stratum.
+
+    ``points`` has ``stratum``, ``key`` (long, ascending in order of
+    preference), ``is_control`` and ``vec`` (array of double).  ``centroids``
+    (stratum, centroids) gives the cells, of one level; else they are fitted,
+    ``tree`` naming ``fanout`` and ``cell_rows``.
+    """
+    controls = points.filter("is_control").select("stratum", "key", "vec")
+    exposed = points.filter(~F.col("is_control")).select("stratum", "key", "vec")
+    if centroids is not None:
+        cells = materialize(given_cells(centroids), "centers")
+        index = CellIndex(cells, place(controls, cells, 1, block_rows), 1)
+    else:
+        # Exact results do not depend on how well the cells fit, only their cost does.
+        rounds = (2 if exact else 4) if rounds is None else rounds
+        index = build(controls, n_list=n_list, rounds=rounds, block_rows=block_rows, **tree)
+    return search(
+        index, exposed, k=k, n_probe=n_probe, exact=exact, max_distance_sq=max_distance_sq, block_rows=block_rows)
+
+
 def self_neighbours(points: DataFrame, **options) -> DataFrame:
     """Search every control among the controls: the nearest is at distance 0."""
     controls = points.filter("is_control")

@@ -70,7 +70,6 @@ def pair_points(
     n_probe: int = 10,
     exact: bool = True,
     max_distance_sq: float | None = 50.0,
-    task_edges: int = 500_000,
 ) -> DataFrame:
     """Pairs for all cohorts and strata of ``points`` in one go.
 
@@ -84,7 +83,7 @@ def pair_points(
     cohorts = usable.filter(~F.col("is_control")).select(
         F.col("key").alias("exposed_key"), F.col("category").alias("cohort")
     )
-    return greedy_match(edges.join(cohorts, "exposed_key"), n_final=n_final, task_edges=task_edges)
+    return greedy_match(edges.join(cohorts, "exposed_key"), n_final=n_final)
 
 
 def main_match(

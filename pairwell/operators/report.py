@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.functions import labels, measures
+from pairwell.operators.features import distinct_by_key
 
 
 def cohort_stats(df: DataFrame, spend: str = "total_claims_p0") -> DataFrame:
@@ -126,7 +127,7 @@ def full_vs_matched(
     keep = ["member_id", "utc_period", "category", *columns]
     def part(df: DataFrame, label: str) -> DataFrame:
         named = labels.label_concat(label, F.col("category"))
-        return df.select(*keep).distinct().withColumn("category", named)
+        return distinct_by_key(df.select(*keep), keep[:3]).withColumn("category", named)
 
     return mean_by_offset(part(details, "full").unionByName(part(matched_details, "matched")), columns)
 

@@ -104,9 +104,14 @@ def visits(
     take no part.  After the reduction to days everything stays within one
     partitioning by member.
     """
+    return visits_of_days(_days(lines, categories), categories)
+
+
+def visits_of_days(days: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """Visits from rows (member_id, svc_start, svc_end, one flag per category)."""
     flags = [labels.snake_name(c) for c in categories]
     return (
-        visit_islands(_days(lines, categories))
+        visit_islands(days)
         .groupBy("member_id", "util_id")
         .agg(
             F.min("svc_start").alias("visit_start"), F.max("svc_end").alias("visit_end"),
@@ -121,20 +126,115 @@ def visits(
     )
 
 
+# Spend and visits from one pass over the lines
+
+def member_days(
+    lines: DataFrame,
+    util_codes: DataFrame,
+    avoidable: DataFrame,
+    categories: Sequence[str] = fixed.VISIT_CATEGORIES,
+    *,
+    positive_only: bool = True,
+) -> DataFrame:
+    """One row per member and start day: what was paid, and what visits need.
+
+    ``paid_lines``, ``med_total`` and ``med_total_net`` cover the lines with an
+    amount; ``coded_lines``, ``svc_end`` and the flags those with a category.
+    The code lists are reduced to one row per code first, so a code of several
+    categories repeats no line and no amount.
+    """
+    def by_code(df: DataFrame, code: str, line_col: str, name: str) -> DataFrame:
+        return df.filter(F.col(code) != "").groupBy(F.col(code).alias(line_col)).agg(
+            F.collect_set("category").alias(name))
+
+    coded = (
+        lines.join(by_code(util_codes, "p_code", "code_pos", "p_category"), "code_pos", "left")
+        .join(by_code(util_codes, "o_code", "code_rev", "o_category"), "code_rev", "left")
+        .join(by_code(avoidable, "ms_joiner", "dx1", "er_category"), "dx1", "left")
+    )
+    named = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in LINE_CATEGORIES]))
+    rows = coded.select("member_id", "svc_start", "svc_end", "pay", "netpay", named.alias("named"))
+    paid = F.col("pay") > 0 if positive_only else F.col("pay") != 0
+    found = F.size("named") > 0
+    return rows.groupBy("member_id", "svc_start").agg(
+        F.count_if(paid).alias("paid_lines"),
+        F.sum(F.when(paid, F.col("pay"))).alias("med_total"),
+        F.sum(F.when(paid, F.col("netpay"))).alias("med_total_net"),
+        F.count_if(found).alias("coded_lines"),
+        F.max(F.when(found, F.greatest("svc_start", "svc_end"))).alias("svc_end"),
+        *[F.max(F.array_contains("named", c).cast("int")).alias(labels.snake_name(c)) for c in categories],
+    )
+
+
+def coded_days(days: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """The days of :func:`member_days` that visits are made of."""
+    return days.filter("coded_lines > 0").select(
+        "member_id", "svc_start", "svc_end", *[labels.snake_name(c) for c in categories])
+
+
+# Year by year
+
+def no_carried(days: DataFrame) -> DataFrame:
+    """The state before the first year."""
+    return days.limit(0).select(
+        "member_id", F.lit(0).cast("long").alias("visits_before"), F.col("svc_end").alias("last_inpatient_end"),
+        *days.drop("member_id").columns)
+
+
+def year_of_visits(
+    days: DataFrame, carried: DataFrame, year: int | None, categories: Sequence[str] = fixed.VISIT_CATEGORIES
+) -> tuple[DataFrame, DataFrame]:
+    """(visits closed in ``year``, state for the next) from the days of one year and the state before.
+
+    ``days`` has (member_id, svc_start, svc_end, flags), ``svc_start`` within the
+    year.  A visit that lasts into the next year stays open and is carried: its
+    start, its end so far and its flags, beside the number of visits closed
+    and the end of the last inpatient one.  ``year`` None closes everything.
+    All years one after another give the visits of all days at once, with
+    ``avoidable_er`` and ``readmission`` as :func:`add_util` has them.
+    """
+    flags = [labels.snake_name(c) for c in categories]
+    ongoing = carried.filter("svc_start is not null").select(*days.columns)
+    state = carried.select("member_id", "visits_before", "last_inpatient_end")
+    found = visits_of_days(days.unionByName(ongoing), categories).join(state, "member_id", "left")
+    found = found.withColumn("util_id", F.col("util_id") + F.coalesce("visits_before", F.lit(0)))
+    marked = mark_readmission(mark_avoidable_er(found), before=F.col("last_inpatient_end"))
+    stays_open = F.lit(False) if year is None else F.col("visit_end") >= F.make_date(F.lit(year + 1), F.lit(1), F.lit(1))
+    closed = marked.filter(~stays_open).drop("visits_before", "last_inpatient_end")
+
+    still = [F.max(F.when(stays_open, F.col(c))).alias(c) for c in flags]
+    after = found.groupBy("member_id").agg(
+        F.max(F.when(~stays_open, F.col("util_id"))).alias("closed"),
+        F.max(F.when(~stays_open & (F.col("inpatient") == 1), F.col("visit_end"))).alias("inpatient_end"),
+        F.max(F.when(stays_open, F.col("visit_start"))).alias("svc_start"),
+        F.max(F.when(stays_open, F.col("visit_end"))).alias("svc_end"), *still,
+    )
+    following = state.join(after, "member_id", "full_outer").select(
+        "member_id", F.coalesce("closed", "visits_before", F.lit(0)).cast("long").alias("visits_before"),
+        F.coalesce("inpatient_end", "last_inpatient_end").alias("last_inpatient_end"), *days.drop("member_id").columns)
+    return closed, following
+
+
 def mark_avoidable_er(visit_rows: DataFrame) -> DataFrame:
     """An avoidable diagnosis counts only for an ER visit without admission."""
     counts = (F.col("avoidable_er") == 1) & (F.col("er") == 1) & (F.col("inpatient") == 0)
     return visit_rows.withColumn("avoidable_er", counts.cast("int"))
 
 
-def mark_readmission(visit_rows: DataFrame, min_gap: int = 1, max_gap: int = 30) -> DataFrame:
+def mark_readmission(
+    visit_rows: DataFrame, min_gap: int = 1, max_gap: int = 30, before: Column | None = None
+) -> DataFrame:
     """Inpatient visits that start more than ``min_gap`` and fewer than
-    ``max_gap`` days after the member's previous inpatient visit ended."""
+    ``max_gap`` days after the member's previous inpatient visit ended.
+
+    ``before`` is the end of the last one before these rows, if there was one.
+    """
     earlier = W.partitionBy("member_id").orderBy("visit_start").rowsBetween(
         W.unboundedPreceding, -1
     )
     last_end = F.last(F.when(F.col("inpatient") == 1, F.col("visit_end")), ignorenulls=True)
-    gap = F.datediff("visit_start", last_end.over(earlier))
+    previous = last_end.over(earlier)
+    gap = F.datediff("visit_start", previous if before is None else F.coalesce(previous, before))
     back = (F.col("inpatient") == 1) & (gap > min_gap) & (gap < max_gap)
     return visit_rows.withColumn("readmission", F.coalesce(back, F.lit(False)).cast("int"))
 

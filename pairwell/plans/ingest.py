@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.operators import claims, conditions, visits
+from pairwell.session import materialize
+from pairwell.sources.readers import year_slice
 
 
 def build_claims(
@@ -19,14 +21,46 @@ def build_claims(
     categories: Sequence[str] = fixed.VISIT_CATEGORIES,
     positive_only: bool = True,
 ) -> DataFrame:
-    """Spend and utilization per member and month."""
+    """Spend and utilization per member and month.
+
+    The medical lines are read once, into a written table by member and day;
+    spend and visits both come from that.
+    """
+    days = materialize(
+        visits.member_days(med_lines, util_codes, avoidable, categories, positive_only=positive_only), "member_days")
     spend = claims.join_spend(
-        claims.spend_by_month(med_lines, "svc_start", "med", positive_only=positive_only),
+        claims.spend_of_days(days),
         claims.spend_by_month(rx_lines, "svcdate", "pharma", positive_only=positive_only),
     )
-    coded = visits.code_lookup_3way(med_lines, util_codes, avoidable)
-    utilization = visits.count_util(visits.add_util(visits.visits(coded, categories)))
-    return claims.join_utilization(spend, utilization)
+    found = visits.visits_of_days(visits.coded_days(days, categories), categories)
+    return claims.join_utilization(spend, visits.count_util(visits.add_util(found)))
+
+
+def visits_by_year(
+    med_lines: DataFrame,
+    util_codes: DataFrame,
+    avoidable: DataFrame,
+    years: Sequence[int],
+    *,
+    categories: Sequence[str] = fixed.VISIT_CATEGORIES,
+) -> Iterator[tuple[int | None, DataFrame]]:
+    """(year, visits closed in it), one service year after another, then (None, those still open).
+
+    ``years`` follow one another.  Each year reads its own lines and the state
+    that the year before left (:func:`pairwell.operators.visits.year_of_visits`),
+    which is written, so a run can stop after any year and memory holds one.
+    """
+    carried = None
+    for year in years:
+        days = visits.coded_days(visits.member_days(
+            year_slice(med_lines, "svc_start", year), util_codes, avoidable, categories), categories)
+        days = materialize(days, f"days-{year}")
+        closed, after = visits.year_of_visits(
+            days, visits.no_carried(days) if carried is None else carried, year, categories)
+        carried = materialize(after, f"carried-{year}")
+        yield year, closed
+    if carried is not None:
+        yield None, visits.year_of_visits(days.limit(0), carried, None, categories)[0]
 
 
 def build_chronic_flags(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder name of a batch of :func:`append_batch`.
+BATCH = "append_batch"
+
 
 def write_parquet_versioned(df: DataFrame, path: str, *, year: int, version: int) -> None:
     """One directory per service year and export version.
@@ -26,11 +29,20 @@ def write_overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Append a named batch; columns the table lacks so far are added when it is read.
+
+    A batch has a folder of its own, so one that is written again, after a
+    failure or with corrections, replaces itself and no row stands twice.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{BATCH}={batch}")
+
+
 def append_rows(df: DataFrame, path: str) -> None:
-    """Append; columns the table lacks so far are added when it is read."""
+    """Append rows for good: repeated, they stand twice.  :func:`append_batch` can be repeated."""
     df.write.mode("append").parquet(path)
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """Read a table whose files hold different sets of columns."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """Read a table whose files hold different sets of columns, or whose batches do."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(BATCH)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairwell.functions import fixed_values as fixed
 from pairwell.functions import labels
@@ -16,11 +18,40 @@ REQUIRED_TABLES = ("eligibility", "medical", "pharmacy", "utilization")
 
 
 def union_sources(parts: dict[str, DataFrame], tag: str = "table_schema") -> DataFrame:
-    """Concatenate the same table of several tenants, each row tagged."""
+    """Concatenate a table that several tenants hold in different places, each row tagged.
+
+    For tenants that are folders beside each other :func:`scan_tenants` reads all at once.
+    """
     tagged = [df.withColumn(tag, F.lit(name)) for name, df in parts.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def scan_tenants(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    *,
+    schemas: Sequence[str] | None = None,
+    columns: StructType | None = None,
+    tag: str = "table_schema",
+) -> DataFrame:
+    """The same table of many tenants in one scan, each row tagged with its tenant.
+
+    Tenants are the folders of ``root``, the table a folder or file within each;
+    ``schemas`` names those to read, else all that hold the table.  The tenant
+    comes from the path of the file a row was read from, so the plan has one
+    scan however many there are.  Columns that some tenants lack are null.
+    Without ``columns`` Spark merges the schemas of all files, in parallel.
+    """
+    base = root.rstrip("/")
+    paths = [f"{base}/{s}/{table}" for s in (["*"] if schemas is None else schemas)]
+    reader = spark.read.schema(columns) if columns is not None else spark.read.option("mergeSchema", "true")
+    folder = F.regexp_extract(
+        F.col("_metadata.file_path"), f"/([^/]+)/{re.escape(table)}(/.*)?$", 1)
+    rows = reader.parquet(*paths)
+    return rows.select("*", F.url_decode(folder).alias(tag))
+
+
 def sources_with_all_tables(
     catalog: DataFrame,
     required: Sequence[str] = REQUIRED_TABLES,

@@ -129,7 +129,7 @@ def _(t: Tables) -> DataFrame:
 @case("greedy_match_1to1_steps", greedy_sql(_COHORT_EDGES + " where d2 <= 1.9", """
     select p.*, 1 as n, e.d2 from pairs p join x_edges e using (stratum, exposed_key, control_key)"""))
 def _(t: Tables) -> DataFrame:
-    return assign.greedy_match(cohort_edges(t, max_distance_sq=1.9), task_edges=0)
+    return assign.greedy_match(cohort_edges(t, max_distance_sq=1.9), shrink=1.0)
 
 
 # Two controls each: turn after turn, carrying who holds what and who has left.
@@ -163,7 +163,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("greedy_match_1tok_steps", _SEVERAL)
 def _(t: Tables) -> DataFrame:
-    return assign.greedy_match(cohort_edges(t), n_final=2, task_edges=0)
+    return assign.greedy_match(cohort_edges(t), n_final=2, shrink=0.0)
 
 
 # Cohort rows

@@ -3,11 +3,11 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.matching import assign, candidates, strata
+from pairwell.operators.matching import assign, candidates, cells, components, strata
+from pairwell.session import new_path
 
 
 def brute(points, k, limit=None):
@@ -110,25 +110,32 @@ def random_edges(seed, groups=6):
     return out
 
 
-COLUMNS = ["cohort", "stratum", "exposed_key", "control_key", "d2", "rank"]
+COLUMNS = ["cohort", "stratum", "exposed_key", "control_key"]
 
 
 @pytest.mark.parametrize("n_final", [1, 2, 3])
-@pytest.mark.parametrize("task_edges", [0, 20, 10**6])
-def test_assignment_equals_one_by_one(spark, n_final, task_edges):
+@pytest.mark.parametrize("shrink", [0.0, 0.5, 1.0])
+def test_assignment_equals_one_by_one(spark, n_final, shrink):
     edges = random_edges(n_final)
     df = spark.createDataFrame(edges, "cohort string, stratum string, exposed_key long, control_key long, d2 double, rank int")
-    got = assign.greedy_match(df, n_final=n_final, task_edges=task_edges)
-    assert sorted(tuple(r) for r in got.select(*COLUMNS[:4], "n").collect()) == one_by_one(edges, n_final)
+    got = assign.greedy_match(df, n_final=n_final, shrink=shrink)
+    assert sorted(tuple(r) for r in got.select(*COLUMNS, "n").collect()) == one_by_one(edges, n_final)
 
 
 def test_choice_in_tasks_on_many_random_lists():
     for seed in range(300):
         edges = random_edges(seed, groups=1)
-        for n_final in (1, 2, 3):
-            pdf = pd.DataFrame(edges, columns=COLUMNS).sort_values(["exposed_key", "rank"])
-            got = sorted((*edges[0][:2], e, c, n) for e, c, n, _ in assign.choose_in_order(pdf, n_final))
-            assert got == one_by_one(edges, n_final)
+        wishes = {}
+        for e in sorted(edges, key=lambda x: (x[2], x[5])):
+            wishes.setdefault(e[2], []).append((e[3], e[4]))
+        held, got = {e: [] for e in wishes}, []
+        for n in (1, 2, 3):
+            holder = {c: e for e, cs in held.items() for c in cs}
+            rows = [(e, [w for w in wishes[e] if holder.get(w[0], -1) < e], held[e]) for e in sorted(held)]
+            picks = list(assign.choose_in_order(rows))
+            held = {e: [*held[e], p[0]] for e, p in picks if p}
+            got = sorted((*edges[0][:2], e, c, i) for e, cs in held.items() for i, c in enumerate(cs, 1))
+            assert got == one_by_one(edges, n)
 
 
 def test_no_edges_give_no_pairs(spark):
@@ -139,8 +146,8 @@ def test_no_edges_give_no_pairs(spark):
 def test_controls_are_used_once_per_cohort(spark):
     edges = [(c, "s", e, 5, 1.0, 1) for c in ("x", "y") for e in (1, 2)]
     df = spark.createDataFrame(edges, "cohort string, stratum string, exposed_key long, control_key long, d2 double, rank int")
-    for task_edges in (0, 100):
-        got = assign.greedy_match(df, task_edges=task_edges)
+    for shrink in (0.0, 0.5, 1.0):
+        got = assign.greedy_match(df, shrink=shrink)
         assert sorted((r.cohort, r.exposed_key) for r in got.collect()) == [("x", 1), ("y", 1)]
 
 
@@ -157,20 +164,97 @@ def test_blocks_of_a_large_stratum_spread_over_tasks(spark, partitions):
     rows = spark.range(4000).select(
         F.when(F.col("id") % 5 == 0, F.concat(F.lit("small"), F.col("id") % 7)).otherwise("large").alias("stratum"),
         F.col("id").alias("key"), F.array(F.rand(1), F.rand(2)).alias("vec"))
-    centroids = candidates.fit_centroids(rows, 4, rounds=1, block_rows=64)
-    placed = candidates._assign_cells(rows, centroids, 64).filter("stratum = 'large'")
-    per_task = placed.groupBy(F.spark_partition_id()).count().collect()
+    index = cells.build(rows, n_list=4, rounds=1, block_rows=64)
+    step = cells._step_down(cells._at_root(rows), index.cells, 64).filter("stratum = 'large'")
+    per_task = step.groupBy(F.spark_partition_id()).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(per_task) == int(partitions)
 
 
-def test_proposals_settle_a_chain_in_few_rounds(spark, monkeypatch):
-    rounds = []
+def chain_rounds(spark, monkeypatch, edges, **options):
+    """(pairs, written rounds) of the assignment of ``edges``."""
+    written = []
     kept = assign.materialize
-    monkeypatch.setattr(assign, "materialize", lambda df, name: rounds.append(name) or kept(df, name))
-    n = 500
-    edges = [("c", "s", e, c, 0.0, i + 1) for e in range(n) for i, c in enumerate((e, e + 1))]
+    for module in (assign, components):
+        monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or kept(df, name))
     got = assign.greedy_match(spark.createDataFrame(
-        edges, "cohort string, stratum string, exposed_key long, control_key long, d2 double, rank int"))
-    assert {(r.exposed_key, r.control_key) for r in got.collect()} == {(e, e) for e in range(n)}
-    assert rounds.count("holders") == 1
+        edges, "cohort string, stratum string, exposed_key long, control_key long, d2 double, rank int"), **options)
+    pairs = sorted((r.exposed_key, r.control_key, r.n) for r in got.collect())
+    return pairs, written.count("rows") + written.count("components")
+
+
+def test_rounds_settle_a_chain_at_once(spark, monkeypatch):
+    edges = [("c", "s", e, c, 0.0, i + 1) for e in range(500) for i, c in enumerate((e, e + 1))]
+    pairs, rounds = chain_rounds(spark, monkeypatch, edges)
+    assert pairs == [(e, e, 1) for e in range(500)] and rounds == 1
+
+
+@pytest.mark.parametrize("n_final, most", [(1, 20), (2, 40)])
+def test_a_chain_in_which_each_row_displaces_the_next_needs_few_rounds(spark, monkeypatch, n_final, most):
+    edges = [("c", "s", e, c, 0.0, i + 1) for e in range(1000) for i, c in enumerate((e - 1, e, e + 1))]
+    pairs, rounds = chain_rounds(spark, monkeypatch, edges, n_final=n_final)
+    assert pairs == [(e, c, n) for _, _, e, c, n in one_by_one_fast(edges, n_final)] and rounds <= most
+
+
+def one_by_one_fast(edges, n_final):
+    """``one_by_one`` for one group, with the wishes of each row at hand."""
+    wishes = {}
+    for x in sorted(edges, key=lambda x: (x[2], x[5])):
+        wishes.setdefault(x[2], []).append(x[3])
+    taken, held = set(), {e: [] for e in wishes}
+    for _ in range(n_final):
+        for e in list(held):
+            choice = next((c for c in wishes[e] if c not in taken), None)
+            if choice is None:
+                taken -= set(held.pop(e))
+            else:
+                taken.add(choice)
+                held[e].append(choice)
+    return sorted((*edges[0][:2], e, c, n) for e, got in held.items() for n, c in enumerate(got, 1))
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(8)
+    links = [(g, rng.randrange(60), rng.randrange(60)) for g in "ab" for _ in range(40)]
+    links += [("c", i, i + 1) for i in range(200)]
+    least = {(g, x): x for g, a, b in links for x in (a, b)}
+    for _ in range(250):
+        for g, a, b in links:
+            least[g, a] = least[g, b] = min(least[g, a], least[g, b])
+    got = components.components(spark.createDataFrame(links, "g string, a long, b long"), ["g"]).collect()
+    assert {(r.g, r.node): r.component for r in got} == least and len(got) == len(least)
+
+
+def test_a_tree_of_three_levels_finds_what_brute_force_finds(spark):
+    data = make_points(3)
+    want = brute(data, 5)
+    df = frame(spark, data)
+    controls, exposed = (df.filter(f"is_control = {x}").select("stratum", "key", "vec") for x in ("true", "false"))
+    index = cells.build(controls, fanout=3, cell_rows=5, block_rows=16)
+    placed = index.members.collect()
+    assert index.levels >= 3 and max(len(r.nodes) for r in placed) == index.levels
+    assert sorted((r.stratum, r.key) for r in placed) == sorted((p[0], p[1]) for p in data if p[2])
+    per_parent = index.cells.groupBy("stratum", "parent").count().collect()
+    assert max(r["count"] for r in per_parent) <= 3
+    for n_probe in (1, 4):
+        assert found(candidates.search(index, exposed, k=5, n_probe=n_probe, block_rows=16)) == want
+    assert found(candidates.search(index, exposed, k=5, n_probe=10**6, exact=False)) == want
+    assert found(candidates.search(index, exposed, k=5, n_probe=2, max_distance_sq=3.0)) == brute(data, 5, 3.0)
+
+
+def test_a_stored_index_takes_further_controls(spark):
+    data = make_points(4)
+    df = frame(spark, data)
+    controls, exposed = (df.filter(f"is_control = {x}").select("stratum", "key", "vec") for x in ("true", "false"))
+    path = new_path(spark, "index")
+    cells.build(controls.filter("key % 3 > 0"), fanout=4, cell_rows=8).save(path)
+    stored = cells.CellIndex.load(spark, path)
+    before = found(candidates.search(stored, exposed, k=5, n_probe=2))
+    assert before == brute([p for p in data if not p[2] or p[1] % 3 > 0], 5)
+    for _ in range(2):  # a batch written again after a failure replaces itself
+        grown = cells.CellIndex.extend(spark, path, controls.filter("key % 3 = 0"), 1)
+    assert grown.members.count() == controls.count()
+    whole = cells.CellIndex(stored.cells, cells.place(controls, stored.cells, stored.levels, 8192), stored.levels)
+    for options in ({"exact": True}, {"exact": False}, {"exact": False, "n_probe": 1}):
+        assert found(candidates.search(grown, exposed, k=5, **options)) == found(candidates.search(whole, exposed, k=5, **options))
+    assert found(candidates.search(grown, exposed, k=5, n_probe=2)) == brute(data, 5)
