@@ -49,9 +49,9 @@ def main() -> None:
         "clean_window": lambda: cohorts.clean_exposed(t.events, EXPOSED, EXCLUDE, 3, 0),
         "control_month_grid": lambda: control(t),
         "claims_panel_control": lambda: claims.claims_panel(
-            control(t).select("member_id", "utc_period"), stored_claims(t), LEADING, TRAILING, PRE, POST),
+            control(t).select("member_id", "utc_period"), stored_claims(t), LEADING, TRAILING, PRE, POST, buckets=t.buckets),
         "spend_around_events": lambda: report_cohorts.spend_around_events(
-            t.events, t.members, stored_claims(t), EXPOSED, EXCLUDE),
+            t.events, t.members, stored_claims(t), EXPOSED, EXCLUDE, buckets=t.buckets),
         "build_cohorts": lambda: build_cohorts(t),
         "store_cohorts": lambda: cohort_rows(t),
         # Matching and reporting

@@ -125,6 +125,11 @@ def pivot_claims(
     )
 
 
+def by_member(df: DataFrame, buckets: int | None) -> DataFrame:
+    """Rows laid out like tables stored in ``buckets`` of the member, if there are any."""
+    return df if buckets is None else df.repartition(buckets, "member_id")
+
+
 def claims_panel(
     periods: DataFrame,
     claims: DataFrame,
@@ -132,6 +137,8 @@ def claims_panel(
     trailing: Sequence[str],
     pre: int,
     post: int,
+    *,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The same wide rows as merging and pivoting, without multiplying rows.
 
@@ -139,10 +146,11 @@ def claims_panel(
     reduced to one row per member and month, which also bounds every member by
     the calendar; then each offset is one range frame of a single window.  Cost:
     two shuffles of the input size, where a join writes each period once per
-    month of its window.
+    month of its window.  Where the claims are stored in ``buckets`` of the
+    member (:func:`pairwell.sources.sinks.write_by_member`) only the periods move.
     """
     names = list(dict.fromkeys([*leading, *trailing]))
-    wanted = periods.select(
+    wanted = by_member(periods, buckets).select(
         "member_id", F.col("utc_period").alias("month"), F.lit(True).alias("wanted")
     )
     spent = claims.select("member_id", F.col("service_month").alias("month"), *names)

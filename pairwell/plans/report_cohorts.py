@@ -28,13 +28,17 @@ def compare(
 def spend_around_events(
     events: DataFrame, members: DataFrame, claims: DataFrame,
     exposed: Sequence[str], exclude: Sequence[str], windows: Windows = Windows(),
-    measure: str = "total_claims",
+    measure: str = "total_claims", *, buckets: int | None = None,
 ) -> DataFrame:
-    """What exposed members cost per month around the event, per category."""
-    rows = select_exposed(events, members, claims, exposed, exclude, windows)
+    """What exposed members cost per month around the event, per category.
+
+    ``buckets`` is the number in which the claims are stored by member, if they are.
+    """
+    rows = claim_ops.by_member(
+        select_exposed(events, members, claims, exposed, exclude, windows), buckets)
     pre, post = windows.match_pre, windows.match_post
     wide = claim_ops.claims_panel(
-        rows.select("member_id", "utc_period"), claims, [measure], [measure], pre, post
+        rows.select("member_id", "utc_period"), claims, [measure], [measure], pre, post, buckets=buckets
     )
     columns = claim_ops.wide_columns([measure], [measure], pre, post)
     joined = rows.join(claim_ops.remove_negatives(wide, columns), ["member_id", "utc_period"])

@@ -49,16 +49,18 @@ def select_exposed(
 def add_claims(
     rows: DataFrame, claims: DataFrame, flags: DataFrame, windows: Windows = Windows(),
     leading: Sequence[str] = LEADING, trailing: Sequence[str] = TRAILING,
+    *, buckets: int | None = None,
 ) -> DataFrame:
     """Wide claims features (required, none negative) and chronic flags.
 
     Overlapping profiles can repeat a row; repeats are dropped here, while rows
-    are narrow.  The features are unique per member and month.
+    are narrow.  The features are unique per member and month.  With claims and
+    flags stored in ``buckets`` of the member, the rows are the only thing moved.
     """
-    rows = rows.distinct()
+    rows = claim_ops.by_member(rows, buckets).distinct()
     wide = claim_ops.claims_panel(
         rows.select("member_id", "utc_period"), claims, leading, trailing,
-        windows.match_pre, windows.match_post,
+        windows.match_pre, windows.match_post, buckets=buckets,
     )
     names = claim_ops.wide_columns(leading, trailing, windows.match_pre, windows.match_post)
     return cohorts.features_join(rows, claim_ops.remove_negatives(wide, names), flags)
@@ -92,20 +94,22 @@ def build_cohorts(
     exposed: DataFrame, control: DataFrame, claims: DataFrame, control_claims: DataFrame,
     flags: DataFrame, control_flags: DataFrame, windows: Windows = Windows(),
     leading: Sequence[str] = LEADING, trailing: Sequence[str] = TRAILING,
+    *, buckets: int | None = None,
 ) -> DataFrame:
     """Exposed and control rows with features, outliers removed.
 
     The control side may come from another source with tables of its own; the
     columns both have are kept.  Where both sides read the same claims and
-    flags, one panel serves both.
+    flags, one panel serves both.  ``buckets`` is the number in which all of
+    these tables are stored by member, if they are.
     """
     if claims is control_claims and flags is control_flags:
         shared = [c for c in exposed.columns if c in control.columns]
         rows = exposed.select(*shared).unionByName(control.select(*shared))
-        both = add_claims(rows, claims, flags, windows, leading, trailing)
+        both = add_claims(rows, claims, flags, windows, leading, trailing, buckets=buckets)
     else:
-        a = add_claims(exposed, claims, flags, windows, leading, trailing)
-        b = add_claims(control, control_claims, control_flags, windows, leading, trailing)
+        a = add_claims(exposed, claims, flags, windows, leading, trailing, buckets=buckets)
+        b = add_claims(control, control_claims, control_flags, windows, leading, trailing, buckets=buckets)
         shared = [c for c in a.columns if c in b.columns]
         both = a.select(*shared).unionByName(b.select(*shared))
     rows = derive_features(both, windows, leading, trailing)

@@ -24,6 +24,20 @@ def write_parquet_versioned(df: DataFrame, path: str, *, year: int, version: int
     )
 
 
+def write_by_member(df: DataFrame, table: str, buckets: int, *, path: str | None = None) -> DataFrame:
+    """Write a table in buckets of the member, and return it.
+
+    Tables stored with one number of buckets join on the member without being
+    shuffled.  A bucket should fit a task's memory several times over; each is
+    one file.
+    """
+    writer = df.repartition(buckets, "member_id").write.bucketBy(buckets, "member_id").sortBy("member_id").mode("overwrite")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_overwrite(df: DataFrame, path: str) -> None:
     """Replace a table, whatever its former schema."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -18,11 +18,11 @@ TOTALS = [measures.offset_name("total_claims", n) for n in range(-PRE, POST + 1)
 
 
 def stored_claims(t: Tables) -> DataFrame:
-    return t.stored("claims", lambda: t.claims)
+    return t.stored_by_member("claims", lambda: t.claims)
 
 
 def stored_flags(t: Tables) -> DataFrame:
-    return t.stored("flags", lambda: t.flags)
+    return t.stored_by_member("flags", lambda: t.flags)
 
 
 def exposed(t: Tables) -> DataFrame:
@@ -42,7 +42,7 @@ def wide_exposed(t: Tables) -> DataFrame:
 def build_cohorts(t: Tables) -> DataFrame:
     claim_rows, flags = stored_claims(t), stored_flags(t)
     return select_cohorts.build_cohorts(
-        exposed(t), control(t), claim_rows, claim_rows, flags, flags, WINDOWS, LEADING, TRAILING)
+        exposed(t), control(t), claim_rows, claim_rows, flags, flags, WINDOWS, LEADING, TRAILING, buckets=t.buckets)
 
 
 def cohort_rows(t: Tables) -> DataFrame:
@@ -253,7 +253,7 @@ SPEND_SQL = f"""
 @case("spend_around_events", SPEND_SQL)
 def spend_around_events(t: Tables) -> DataFrame:
     return report_cohorts.spend_around_events(
-        t.events, t.members, stored_claims(t), EXPOSED, EXCLUDE, WINDOWS)
+        t.events, t.members, stored_claims(t), EXPOSED, EXCLUDE, WINDOWS, buckets=t.buckets)
 
 
 @case("pmpm", f"""

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pairwell.functions import dates
 from pairwell.operators import visits
 from pairwell.plans import ingest
-from pairwell.session import materialize
+from pairwell.session import materialize, new_path
+from pairwell.sources import sinks
 from pairwell.sources.readers import month_table
 from suite.oracle import PARTNER_NAMES, PLACE_NAMES, REVENUE_NAMES, TERM_SETS
 
@@ -49,6 +50,20 @@ class Tables:
             _STORED[key] = materialize(build(), name)
         return _STORED[key]
 
+    @property
+    def buckets(self) -> int:
+        """Buckets of the member in which derived tables are stored."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stored_by_member(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The same, in buckets of the member."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"{name}-{self.buckets}")
+        if key not in _STORED:
+            path = new_path(self.spark, name)
+            table = path.rsplit("/", 1)[1].replace("-", "_")
+            _STORED[key] = sinks.write_by_member(build(), table, self.buckets, path=path)
+        return _STORED[key]
+
     # Events and members
 
     @cached_property

@@ -1,11 +1,14 @@
 """Visits, readmissions, conditions, code lists."""
 
+import random
 from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values, labels
-from pairwell.operators import code_lists, conditions, extracts, visits
+from pairwell.operators import code_lists, conditions, extracts, features, visits
+from pairwell.plans import ingest
 from pairwell.sources import sinks, tenants
 from pairwell.session import new_path
 
@@ -145,3 +148,81 @@ def test_schema_needs_every_table(spark):
     catalog = spark.createDataFrame(
         [("s_x_a_e", t) for t in tenants.REQUIRED_TABLES] + [("s_x_b_e", "medical")], "table_schema string, table_name string")
     assert [tuple(r) for r in tenants.sources_with_all_tables(catalog).collect()] == [("s_x_a_e", "a")]
+
+
+def test_a_batch_written_again_replaces_itself(spark):
+    path = new_path(spark, "batches")
+    sinks.append_batch(spark.createDataFrame([(1, "a")], "x int, y string"), path, "1")
+    for _ in range(2):
+        sinks.append_batch(spark.createDataFrame([(2,), (2,)], "x int"), path, "2")
+    rows = sinks.read_merged(spark, path)
+    assert rows.columns == ["x", "y"] and sorted(map(tuple, rows.collect())) == [(1, "a"), (2, None), (2, None)]
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_two_hundred_tenants_are_one_scan(spark):
+    root = new_path(spark, "tenants")
+    rows = spark.range(400).select("id", (F.col("id") % 200).alias("n"), F.lit("x").alias("extra"))
+    for part in (rows.filter("n < 7").drop("extra"), rows.filter("n >= 7")):
+        part.withColumn("tenant", F.format_string("s%03d", "n")).drop("n").write.mode("append").partitionBy("tenant").parquet(root)
+    spark.range(3).write.parquet(f"{root}/other/place")
+    for schemas in (None, [f"tenant=s{i:03d}" for i in range(200)]):
+        # Folders of the layout <tenant>/<table>; here each tenant folder is written as its own table.
+        got = tenants.scan_tenants(spark, root, "*.parquet" if schemas is None else "", schemas=schemas)
+        assert scans(got) == 1 and got.count() == 400
+        assert got.filter("extra is null").count() == 14
+
+
+def test_years_one_by_one_equal_all_lines_at_once(spark):
+    rng = random.Random(6)
+    new_year = date(2021, 1, 1)
+    data = []
+    for member in range(60):
+        for _ in range(rng.randint(1, 12)):
+            first = rng.choice([date(2020, 1, 1), new_year - timedelta(days=40), date(2022, 1, 1) - timedelta(days=20)])
+            start = first + timedelta(days=rng.randint(0, 60))
+            data.append((member, start, start + timedelta(days=rng.choice([-1, 0, 0, 1, 3, 10, 45, 500])), "P" if rng.random() < .6 else "Q"))
+    lines = spark.createDataFrame(data, "member_id int, svc_start date, svc_end date, code_pos string").withColumns({
+        "code_rev": F.lit("r"), "dx1": F.when(F.col("member_id") % 3 == 0, "a"), "pay": F.lit(1.5), "netpay": F.lit(1.0)})
+    codes = spark.createDataFrame([("P", "", "Inpatient"), ("P", "", "ER"), ("Q", "", "ER"), ("", "", "ER")],
+                                  "p_code string, o_code string, category string")
+    avoidable = spark.createDataFrame([("a", "Avoidable ER"), ("", "Avoidable ER")], "ms_joiner string, category string")
+    want = visits.add_util(visits.visits(visits.code_lookup_3way(lines, codes, avoidable), CATS))
+    parts = list(ingest.visits_by_year(lines, codes, avoidable, [2020, 2021, 2022], categories=CATS))
+    assert [year for year, _ in parts] == [2020, 2021, 2022, None]
+    got = [tuple(r) for _, rows in parts for r in rows.select(*want.columns).collect()]
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+    # Some visits last over one turn of the year, some over two, and some inpatients come back after one.
+    assert parts[1][1].filter("visit_start < '2021-01-01'").count() and parts[2][1].filter("visit_start < '2021-01-01'").count()
+    assert want.filter("readmission = 1 and visit_start >= '2021-01-01' and visit_start < '2021-01-20'").count()
+    for year, rows in parts[:3]:
+        assert rows.filter(F.year("visit_end") != year).count() == 0
+
+
+def test_claims_read_the_medical_lines_once(spark, monkeypatch):
+    path = new_path(spark, "lines")
+    spark.createDataFrame(
+        [(1, date(2020, 1, 3), date(2020, 1, 4), "P", "r", "a", Decimal("2.50"), Decimal("2.00")),
+         (1, date(2020, 1, 3), date(2020, 1, 3), "x", "r", "a", Decimal("-1.00"), Decimal("-1.00")),
+         (2, date(2020, 2, 3), None, "x", "r", "b", Decimal("4.00"), Decimal("3.00"))],
+        "member_id int, svc_start date, svc_end date, code_pos string, code_rev string, dx1 string, pay decimal(12,2), netpay decimal(18,4)",
+    ).write.parquet(path)
+    codes = spark.createDataFrame([("P", "", "Inpatient"), ("P", "", "ER")], "p_code string, o_code string, category string")
+    avoidable = spark.createDataFrame([], "ms_joiner string, category string")
+    rx = spark.createDataFrame([], "member_id int, svcdate date, pay decimal(12,2), netpay decimal(18,4)")
+    written = []
+    kept = ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df, name: written.append(df) or kept(df, name))
+    claims = ingest.build_claims(spark.read.parquet(path), rx, codes, avoidable, categories=CATS)
+    assert len(written) == 1 and scans(written[0]) == 1 and path not in claims._jdf.queryExecution().toString()
+    rows = {(r.member_id, r.service_month): (r.med_total, r.med_total_net, r.er, r.inpatient) for r in claims.collect()}
+    assert rows == {(1, "202001"): (2.5, 2.0, 1, 1), (2, "202002"): (4.0, 3.0, 0, 0)}
+
+
+def test_distinct_by_key_equals_distinct(spark):
+    rows = [(1, "a", 1.0), (1, "a", 1.0), (1, "a", 2.0), (2, None, None), (2, None, None), (3, "c", 0.0)]
+    df = spark.createDataFrame(rows, "k int, c string, v double")
+    assert sorted(map(str, features.distinct_by_key(df, ["k", "c"]).collect())) == sorted(map(str, df.distinct().collect()))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import labels, measures
 from pairwell.operators import claims, cohorts, features, report
+from suite import cases_selection
+from suite.tables import Tables
 
 
 def rows(df, *columns):
@@ -158,3 +160,40 @@ def test_sample_brings_its_controls(spark, partitions):
         "match_key string, member_id int, category string")
     keys = [sorted(r[0] for r in report.sample_matches(matched, 3, seed=1).select("match_key").collect())]
     assert len(keys[0]) == 6 and keys[0][::2] == keys[0][1::2]
+
+
+def ancestors_of_scans(df, name: str) -> list[list[str]]:
+    """For every scan of a stored table in the plan, outside subqueries, the operators above it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above, out = [], []
+    for line in plan.splitlines():
+        text = line.lstrip(" :+-")
+        depth = len(line) - len(text)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        above.append((depth, text))
+        if text.startswith("FileScan") and f".{name}[" in text and not any(t.startswith("Subquery") for _, t in above):
+            out.append([t for _, t in above])
+    return out
+
+
+def test_stored_sides_are_not_shuffled(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    t = Tables(spark, sf_dir)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        claims_table = cases_selection.stored_claims(t)
+        flags_table = cases_selection.stored_flags(t)
+        names = [next(iter(x.inputFiles())).split("/")[-2].replace("-", "_") for x in (claims_table, flags_table)]
+        plans = [(cases_selection.build_cohorts(t), names), (cases_selection.spend_around_events(t), names[:1])]
+        for df, stored in plans:
+            for name in stored:
+                found = ancestors_of_scans(df, name)
+                assert found and all("Bucketed: true" in path[-1] for path in found)
+                for path in found:
+                    # The statistics of a report may gather its few rows once the joins are done.
+                    last_join = max(i for i, x in enumerate(path) if "Join" in x)
+                    assert not any(x.startswith("Exchange") for x in path[last_join:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
