@@ -162,6 +162,31 @@ def search(
     )
 
 
+def recall(index: CellIndex, exposed: DataFrame, *, k: int = 10, n_probe: int = 10, block_rows: int = 8192) -> float:
+    """Share of the exact k nearest that a search of ``n_probe`` cells finds; 1.0 if there are none."""
+    exact = search(index, exposed, k=k, block_rows=block_rows).select("stratum", "exposed_key", "control_key")
+    some = search(index, exposed, k=k, n_probe=n_probe, exact=False, block_rows=block_rows)
+    both = exact.join(
+        some.select("stratum", "exposed_key", "control_key", F.lit(True).alias("hit")),
+        ["stratum", "exposed_key", "control_key"], "left")
+    wanted, hit = both.agg(F.count("*"), F.count("hit")).first()
+    return hit / wanted if wanted else 1.0
+
+
+def probes_for(
+    index: CellIndex, exposed: DataFrame, *, k: int = 10, target: float = 0.9, block_rows: int = 8192
+) -> int:
+    """Cells to search for a recall of ``target``, measured on ``exposed``: 8, and half as many again until it is reached.
+
+    ``exposed`` may be a sample of the rows to search later.  With all cells of
+    the largest stratum the search is exact, so this ends.
+    """
+    n_probe = 8
+    while recall(index, exposed, k=k, n_probe=n_probe, block_rows=block_rows) < target:
+        n_probe += n_probe // 2
+    return n_probe
+
+
 def nearest_controls(
     points: DataFrame,
     *,

@@ -149,6 +149,53 @@ def match_and_compare(t: Tables) -> DataFrame:
     return report_cohorts.compare(matched_rows(t), cohort_rows(t), ID)
 
 
+# The same on the pairs that the matching found.
+
+def _on_matches(sql: str) -> str:
+    return greedy_sql(_NEAR.format(""), MATCHED + sql)
+
+
+@case("matched_retention", _on_matches("""
+    , kept as (select category, count(*) as n from matched where category not like '%control%' group by 1)
+    select c.category, c.record_count, coalesce(k.n, 0)::bigint as matched_count
+    from (select category, count(*) as record_count from x_cohorts where category <> 'control' group by 1) c
+    left join kept k using (category)"""))
+def _(t: Tables) -> DataFrame:
+    full = cohort_rows(t).filter("category <> 'control'").groupBy("category").agg(F.count("*").alias("record_count"))
+    kept = matched_rows(t).filter(~F.col("category").contains("control")).groupBy("category").agg(F.count("*").alias("n"))
+    return full.join(kept, "category", "left").select(
+        "category", "record_count", F.coalesce("n", F.lit(0).cast("long")).alias("matched_count"))
+
+
+@case("matched_details", _on_matches("""
+    select m.member_id, m.utc_period, m.category, m.category as category_long, match_key, c.sex, c.age_band, c.total_claims_m1
+    from matched m left join x_cohorts c on c.member_id = m.member_id and c.utc_period = m.utc_period
+    and c.category = case when m.category like '%control%' then 'control' else m.category end"""))
+def _(t: Tables) -> DataFrame:
+    details = cohort_rows(t).select(*ID, "sex", "age_band", "total_claims_m1")
+    pairs = matched_rows(t).select("match_key", "member_id", "category", "utc_period")
+    return report.attach_details(pairs, details, ID)
+
+
+@case("matched_discarded", _on_matches("""
+    select member_id, category, utc_period from x_cohorts c where not exists (
+        select 1 from matched m where m.member_id = c.member_id and m.utc_period = c.utc_period
+        and case when m.category like '%control%' then 'control' else m.category end = c.category)"""))
+def _(t: Tables) -> DataFrame:
+    return report.discarded(cohort_rows(t), matched_rows(t), ID).select(*ID)
+
+
+@case("matched_sample", _on_matches("""
+    , drawn as (
+        select * from matched where category = '1-URGENT'
+        order by md5(concat_ws('|', 7, match_key, member_id, category)), match_key limit 3)
+    select * from drawn
+    union all
+    select m.* from matched m join drawn d on d.match_key = m.match_key and m.category = d.category || ' control'"""))
+def _(t: Tables) -> DataFrame:
+    return report.sample_matches(matched_rows(t), 3, category="1-URGENT", seed=7)
+
+
 @case("only_category", f"with {_NEXT} select * from matched where category in ('2-HIGH', '2-HIGH control')")
 def _(t: Tables) -> DataFrame:
     return report.only_category(neighbours(t), "2-HIGH")

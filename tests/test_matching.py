@@ -258,3 +258,14 @@ def test_a_stored_index_takes_further_controls(spark):
     for options in ({"exact": True}, {"exact": False}, {"exact": False, "n_probe": 1}):
         assert found(candidates.search(grown, exposed, k=5, **options)) == found(candidates.search(whole, exposed, k=5, **options))
     assert found(candidates.search(grown, exposed, k=5, n_probe=2)) == brute(data, 5)
+
+
+def test_probes_reach_the_recall_asked_for_on_embeddings(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(
+        F.col("label").cast("string").alias("stratum"), F.col("vec_id").alias("key"),
+        F.col("embedding").cast("array<double>").alias("vec"))
+    index = cells.build(vectors.filter("key % 5 <> 0"), n_list=20, rounds=4)
+    exposed = vectors.filter("key % 5 = 0")
+    n_probe = candidates.probes_for(index, exposed, target=0.9)
+    assert candidates.recall(index, exposed, n_probe=n_probe) >= 0.9
+    assert n_probe <= 20 and candidates.recall(index, exposed, n_probe=1) < 0.9
