@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +39,12 @@ from pairwell.llm.shingles import mixed, shingle_set
 #: Links need ``100 * intersection >= PERCENT * union``.
 WORDS, PERCENT = 5, 80
 #: A head is at least one in so many tokens of a set.
-HEAD = 3
+HEAD = 4
 #: Token orders by rarity, each with a hash of its own for ties.
 ORDERS = 3
 _TURN = [np.uint64(int(x)) for x in np.random.Generator(np.random.Philox(11)).integers(1, 2**63, ORDERS)]
-#: Shared tokens before a place that a row of a prefix carries, to count a pair where it first meets.
-BEFORE = 16
+#: Tokens before a place that a row of a prefix carries, to count a pair where it first meets.
+BEFORE = 64
 #: Size classes grow by this share.
 CLASS = 1.05
 
@@ -74,26 +74,29 @@ def heads(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Dat
     return added(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", fields, work, ["id"])
 
 
-def possible(first: DataFrame) -> DataFrame:
-    """(id) of the sets whose heads share enough tokens with other heads."""
-    tokens = first.select("id", "least", F.explode("head").alias("token"))
+def possible(made: DataFrame) -> DataFrame:
+    """(id) of the sets whose heads share enough tokens with other heads, or with their copies."""
+    tokens = made.select("id", F.explode("head").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("token")
-    return tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("id")
+    counts = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    needed = made.groupBy("id").agg(F.min("least").alias("least"))
+    return counts.join(needed, "id").filter("shared >= least").select("id")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, codes) of the classes of the documents named in ``ids``; id is the class's number."""
-    wanted = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
-        ids.hint("shuffle_hash"), "id", "left_semi")
+def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(id, codes) of the classes in ``wanted`` (first, set_id, node); id is the class's number.
+
+    Rows of one key come together in the join, where repeats go.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("first"), F.col(f"`{text}`").alias("text")).join(
+        wanted.hint("shuffle_hash"), "first").distinct()
 
     def work(cells: pa.Array) -> list[tuple]:
         made = (shingle_set(body, words) for body in byte_texts(cells))
         return [(_digest(codes), codes.view(np.int64)) for codes in made]
 
-    sets = added(wanted, "text", [("set_id", T.StringType()), ("codes", T.ArrayType(T.LongType()))], work, [])
-    return sets.groupBy("set_id").agg(F.first("codes").alias("codes")).join(
-        classes.select("set_id", "node"), "set_id").select(F.col("node").alias("id"), "codes")
+    sets = added(rows, "text", [("digest", T.StringType()), ("codes", T.ArrayType(T.LongType()))], work, ["set_id", "node"])
+    return sets.filter("digest = set_id").select(F.col("node").alias("id"), "codes")
 
 
 def ordered(tokens: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
@@ -103,7 +106,7 @@ def ordered(tokens: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
     return [np.lexsort((ties[i], size if i else often)) for i in range(ORDERS)]
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
     """(id, n, alone, most, orders) of the sets that can still have a partner.
 
     ``alone`` counts the tokens of no other set: they come first in every order
@@ -115,19 +118,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     shared = tokens.join(often, "token").groupBy("id", "n").agg(F.collect_list(F.struct("token", "often")).alias("shared"))
     able = shared.filter(100 * F.size("shared") >= percent * F.col("n"))
     plain = able.select(
-        "id", "n", (F.col("n") - F.size("shared")).alias("alone"),
-        F.transform("shared", lambda s: s["token"]).alias("tokens"), F.transform("shared", lambda s: s["often"]).alias("often"))
+        "id", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), F.transform("shared", lambda s: s["often"]).alias("often"))
     fields = T.StructType([plain.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "alone", "most")),
                            T.StructField("orders", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def run(batches):
         for batch in batches:
             rows = {c: [] for c in ("n", "alone", "most", "orders")}
-            for n, alone, mine, counts in zip(*(batch.column(c) for c in ("n", "alone", "tokens", "often")), strict=True):
-                n, alone = n.as_py(), alone.as_py()
-                tokens = np.asarray(mine.values).astype(np.int64).view(np.uint64)
+            for n, mine, counts in zip(*(batch.column(c) for c in ("n", "tokens", "often")), strict=True):
+                n = n.as_py()
+                # A set given twice has each token twice.
+                tokens, one = np.unique(np.asarray(mine.values).astype(np.int64).view(np.uint64), return_index=True)
+                alone = n - len(tokens)
                 length = max(prefix_length(n, percent) - alone, 0)
-                places = ordered(tokens, np.asarray(counts.values))
+                places = ordered(tokens, np.asarray(counts.values)[one])[:orders]
                 rows["n"].append(n)
                 rows["alone"].append(alone)
                 rows["most"].append((n - alone) * (100 + percent) // percent - n)
@@ -159,14 +163,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def stars(filters: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each token's smallest set with the token's others, under every order."""
-    rows = filters.select("id", "n", F.posexplode("orders").alias("order", "tokens")).select(
-        "id", "n", "order", F.explode("tokens").alias("token"))
-    lead = rows.groupBy("order", "token").agg(F.min(F.struct("id", "n")).alias("lead"))
+    """Pairs (a, b) of each token's most central set with the token's others, under every order.
+
+    The fewer tokens a set has to itself, the more of the others are like it:
+    the text that copies were made from leads its copies.
+    """
+    rows = filters.select("id", "n", "alone", F.posexplode("orders").alias("order", "tokens")).select(
+        "id", "n", "alone", "order", F.explode("tokens").alias("token"))
+    lead = rows.groupBy("order", "token").agg(F.min(F.struct("alone", "id", "n")).alias("lead"))
     met = rows.join(lead, ["order", "token"]).filter(
-        (F.col("lead.id") < F.col("id"))
+        (F.col("lead.id") != F.col("id"))
         & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    return met.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    return met.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
 
 
 def _size_class(n: Column) -> Column:
@@ -181,28 +189,37 @@ def across(filters: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     serves partners of its own size or more.
     """
     n = F.col("n")
-    tokens = F.col("orders")[0]
-    steps = F.transform(tokens, lambda c, i: F.struct(
-        (F.col("alone") + i).alias("place"), c.alias("token"),
-        F.slice(tokens, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(F.lit(BEFORE), i)).alias("before")))
     placed = filters.join(component, "id", "left").select(
-        "id", "n", "alone", "most", F.coalesce("component", "id").alias("component"), F.explode(steps).alias("step"),
-    ).select("id", "n", "alone", "most", "component", "step.*")
+        "id", "n", "alone", "most", F.coalesce("component", "id").alias("component"),
+        F.posexplode(F.col("orders")[0]).alias("at", "token"))
     # Tokens whose sets are of one component already have nothing to add.
     sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
     main = sizes.groupBy("token").agg(
         F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("spans")
     ).filter("spans > 1").select("token", F.col("main.component").alias("main"))
-    spread = written(placed.join(main, "token"), "spread")
+    mine = placed.join(main, "token").groupBy("id", "n", "alone", "most", "component").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("alone") + F.col("at")).alias("place"), "token", (F.col("component") == F.col("main")).alias("in_main")))).alias("steps"))
+    steps = F.transform("steps", lambda c, i: F.struct(
+        c["place"].alias("place"), c["token"].alias("token"), c["in_main"].alias("in_main"), (i <= BEFORE).alias("all_seen"),
+        F.transform(F.slice("steps", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(F.lit(BEFORE), i)), lambda x: x["token"])
+        .alias("before")))
+    spread = written(mine.withColumn("step", F.explode(steps)).select("id", "n", "alone", "most", "component", "step.*"), "spread")
     short = n - F.ceil(2 * percent * n / (100 + percent)) + 1
     smaller = spread.filter((F.col("most") >= n) & (F.col("place") < short)).withColumn("class", _size_class(n))
     least = F.ceil(percent * n / 100)
     larger = spread.filter(F.col("most") >= least).withColumn(
         "class", F.explode(F.sequence(_size_class(least), _size_class(F.least(n, F.col("most"))))))
+    # Sets of a token's largest component need not be held against each other: of a pair one is of another.
+    pairs = _met(smaller.filter("not in_main"), larger, percent).unionByName(
+        _met(smaller.filter("in_main"), larger.filter("not in_main"), percent))
+    return pairs.distinct()
+
+
+def _met(smaller: DataFrame, larger: DataFrame, percent: int) -> DataFrame:
     s, g = smaller.alias("s"), larger.alias("g")
     # What may be common: nothing before this place if all of that was seen to differ, this, and what follows.
     behind = [F.col(f"{x}.place") - F.col(f"{x}.alone") for x in "sg"]
-    unseen = F.when(F.greatest(*behind) <= BEFORE, F.lit(0)).otherwise(F.least(*behind))
+    unseen = F.when(F.col("s.all_seen") & F.col("g.all_seen"), F.lit(0)).otherwise(F.least(*behind))
     common = unseen + F.least(F.col("s.n") - F.col("s.place"), F.col("g.n") - F.col("g.place"))
     met = s.join(g, (
         (F.col("s.token") == F.col("g.token")) & (F.col("s.class") == F.col("g.class"))
@@ -212,7 +229,16 @@ def across(filters: DataFrame, component: DataFrame, percent: int) -> DataFrame:
         & (F.col("s.n") <= F.col("g.most")) & (F.col("g.n") <= F.col("s.most"))
         & ((100 + percent) * common >= percent * (F.col("s.n") + F.col("g.n")))
         & ~F.arrays_overlap("s.before", "g.before")))
-    return met.select(F.least("s.id", "g.id").alias("a"), F.greatest("s.id", "g.id").alias("b")).distinct()
+    return met.select(F.least("s.id", "g.id").alias("a"), F.greatest("s.id", "g.id").alias("b"))
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of the steps written so far go: the driver's plans go in one collection, what they hold in the next.
+
+    Without it the two passes over tokens and the texts of the candidates lie on disk together, about 1.6 times the input.
+    """
+    release(spark)
+    release(spark)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -231,14 +257,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     classes = written(full.groupBy("set_id").agg(F.min("id").alias("first")).withColumn(
         "node", F.monotonically_increasing_id()), "classes")
     # One document stands for its class.
-    nodes = full.join(classes.select("set_id", F.col("first").alias("id")), ["set_id", "id"], "left_semi")
-    ids = written(possible(nodes), "possible")
-    release(spark)
-    sets = written(full_sets(docs, ids, classes, key, text, words), "sets")
+    wanted = written(classes.join(possible(full).withColumnRenamed("id", "first"), "first", "left_semi"), "possible")
+    _let_go(spark)
+    sets = written(full_sets(docs, wanted, key, text, words), "sets")
+    _let_go(spark)
     filters = written(prefixes(sets, percent), "filters")
     links = written(verified(passing(stars(filters, percent), filters), sets, percent), "stars")
     component = components(links).select(F.col("node").alias("id"), "component")
-    release(spark)
     met = written(across(filters, component, percent), "met")
     more = written(verified(passing(met, filters), sets, percent), "more")
     linked = components(links.union(more))
