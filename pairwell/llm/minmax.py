@@ -8,8 +8,10 @@ documents of similarity 0.8 together with all but one chance in ten million.
 Equal sets are one class from the start.  Within a band, members are linked to
 the band's first by their true similarity, which costs one comparison a member.
 Where a band still spans several components after that, its members are joined
-exactly: shingles are ordered by rarity and the necessary prefixes meet, so no
-link between different texts is lost and no band is expanded into pairs.
+exactly (``ngram_join.across``): shingles are ordered by rarity and the necessary
+prefixes meet within size classes, so no link between different texts is lost, no
+band is expanded into pairs, and documents of one template that are not similar
+enough do not meet.
 
 Every step is keyed by band, class, shingle or component.  No step gathers a
 group in one place, and there are no caps.
@@ -21,13 +23,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.llm.batches import added, byte_texts
 from pairwell.llm.common import fresh, written
 from pairwell.llm.components import components
+from pairwell.llm.ngram_join import across, prefixes
 from pairwell.llm.shingles import mixed, shingle_set
 
 PERMUTATIONS, BANDS = 64, 32
@@ -37,8 +40,6 @@ WORDS, PERCENT = 5, 80
 _SEED = np.random.Generator(np.random.Philox(7))
 _FLIP = _SEED.integers(0, 2**64, (PERMUTATIONS, 1), np.uint64)
 _TIMES = _SEED.integers(0, 2**63, (PERMUTATIONS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shared shingles before a place that a row of a prefix carries.
-BEFORE = 16
 #: Shingles permuted at once.
 _STEP = 2048
 
@@ -98,64 +99,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * common >= percent * union).select("a", "b")
 
 
-def _prefix(n: Column, needed: Column) -> Column:
-    return (n - needed + 1).cast("int")
-
-
-def _ceil(value: Column, by: int) -> Column:
-    return F.floor((value + (by - 1)) / by)
-
-
-def _joined_exactly(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components that may be similar enough.
-
-    Of two similar sets, the smaller shows one of its first ``n - ceil(2tn / (1 + t)) + 1``
-    shingles, rarest first, among the first ``n - ceil(tn) + 1`` of the larger.
-    """
-    tokens = sets.select("id", F.size("codes").alias("n"), F.explode("codes").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    ranked = tokens.join(often, "token").groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct("often", "token"))).alias("codes"))
-    n = F.col("n")
-    probe = _prefix(n, _ceil(n * percent, 100))
-    index = _prefix(n, _ceil(2 * percent * n, 100 + percent))
-    alone = F.size(F.filter("codes", lambda c: c["often"] == 1))
-    placed = ranked.withColumn("alone", alone).filter(100 * (n - F.col("alone")) >= percent * n)
-    placed = placed.withColumn("tokens", F.transform("codes", lambda c: c["token"]))
-    steps = F.transform(F.slice("codes", F.lit(1), probe), lambda c, i: F.struct(
-        i.alias("place"), c["often"].alias("often"), c["token"].alias("token"),
-        F.slice("tokens", F.greatest(i - BEFORE, F.col("alone")) + 1,
-                F.greatest(F.least(F.lit(BEFORE), i - F.col("alone")), F.lit(0))).alias("before")))
-    placed = placed.join(component, "id", "left").select(
-        "id", "n", "alone", F.coalesce("component", "id").alias("component"), index.alias("index"),
-        F.explode(steps).alias("step")
-    ).filter("step.often > 1").select("id", "n", "alone", "component", "index", "step.place", "step.token", "step.before")
-    placed = written(placed, "prefixes")
-    # Rows of a token's largest component need not meet each other: the others
-    # look at all rows, so a group of copies costs nothing against itself.
-    sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    main = sizes.groupBy("token").agg(
-        F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("spans")
-    ).filter("spans > 1").select("token", F.col("main.component").alias("main"))
-    spread = placed.join(main, "token")
-    other = spread.filter("component <> main").alias("o")
-    every = spread.alias("e")
-    # A pair counts where it first meets.  What may be common: nothing before
-    # this place if all of that was seen to differ, this, and what follows.
-    behind = [F.col(f"{s}.place") - F.col(f"{s}.alone") for s in "oe"]
-    unseen = F.when(F.greatest(*behind) <= BEFORE, F.lit(0)).otherwise(F.least(*behind))
-    first = ~F.arrays_overlap("o.before", "e.before")
-    most = unseen + F.least(F.col("o.n") - F.col("o.place"), F.col("e.n") - F.col("e.place"))
-    smaller = F.struct("o.n", "o.id") < F.struct("e.n", "e.id")
-    return other.join(every, (
-        (F.col("o.token") == F.col("e.token")) & (F.col("o.component") != F.col("e.component"))
-        & (100 * F.least("o.n", "e.n") >= percent * F.greatest("o.n", "e.n"))
-        & ((100 + percent) * most >= percent * (F.col("o.n") + F.col("e.n")))
-        & ((F.col("e.component") == F.col("e.main")) | (F.col("o.id") < F.col("e.id")))
-        & first & F.when(smaller, F.col("o.place") < F.col("o.index")).otherwise(F.col("e.place") < F.col("e.index"))
-    )).select(F.least("o.id", "e.id").alias("a"), F.greatest("o.id", "e.id").alias("b")).distinct()
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                 percent: int = PERCENT) -> DataFrame:
     """One row per document: (key, n_shingles, component_id, kept).
@@ -188,7 +131,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     open_ids = written(named.join(spread, "band", "left_semi").select("id").distinct(), "open")
     rest = sets.join(open_ids, "id", "left_semi")
-    found = written(_joined_exactly(rest, component, percent), "found")
+    found = written(across(prefixes(rest, percent, orders=1), component, percent), "found")
     more = written(_confirmed(found, sets, percent), "more")
     linked = components(links.union(more)).select(F.col("node").alias("first"), "component")
 
