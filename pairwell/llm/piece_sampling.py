@@ -9,7 +9,9 @@ row gets the same pieces in any batch, partition or run.
 
 No piece has a blank after another character, so every segmentation cuts before
 each run of blanks.  The lattice therefore factors into segments: equal segments
-of a batch are filtered once, and all of them advance together in arrays.
+of a batch are filtered once, and all of them advance together in arrays.  A long
+segment, as of a script without blanks, factors further where no piece found in
+it goes across.
 
 Weights: a piece of rank r (the negated score of a merge vocabulary, at most its size) has
 weight ``(1 + r) ** -sharpness``.  Greater sharpness brings samples nearer to the best
@@ -39,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _BLANK, _NONE = 0x2581, 0xFFFFFFFF
 #: Characters worked on at once; longer texts are cut between segments.
 _CHUNK = 1 << 19
-#: Longer segments are filtered one by one, rescaled at every place.
+#: Longer segments are cut where no piece goes across; what is longer still is filtered one by one, rescaled on the way.
 _SHORT = 48
 #: Filtered segments a worker keeps for later batches; beyond that it starts anew.
 _KEPT = 120_000
@@ -123,8 +125,8 @@ class Pieces:
 
     # Segments side by side -------------------------------------------------
 
-    def _filtered(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first edge of each place, cumulated posterior, length and piece of each edge).
+    def _edges(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first edge of each place, number of edges, length and piece of each edge).
 
         ``codes`` holds the segments end to end.  The edges of place ``i`` are
         the pieces that end with character ``i``, shortest first.
@@ -150,6 +152,26 @@ class Pieces:
             slot = filled[rows]
             length[slot], pieces[slot] = max(k, 1), piece
             filled[rows] += 1
+        return first, degree, length, pieces
+
+    def _cut(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of long segments cut wherever no piece that stands there goes across."""
+        taken = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        _, degree, length, _ = self._edges(codes[taken], size)
+        end = np.repeat(np.arange(len(taken)), degree)
+        across = np.zeros(len(taken) + 1, np.int64)
+        np.add.at(across, end - length + 2, 1)  # the boundary behind a piece's first character
+        np.add.at(across, end + 1, -1)
+        open_at = np.cumsum(across)[:-1] == 0
+        open_at[np.cumsum(size) - size] = True
+        at = np.flatnonzero(open_at)
+        return taken[at], np.diff(np.append(at, len(taken)))
+
+    def _filtered(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first edge of each place, cumulated posterior, length and piece of each edge)."""
+        begin = np.cumsum(size) - size
+        first, degree, length, pieces = self._edges(codes, size)
+        edges = len(length)
         weight = np.where(pieces >= 0, self.scaled[pieces], 1.0)
         # One sum of weights per place, and one before each segment.
         total = np.zeros(len(codes) + len(size))
@@ -225,32 +247,29 @@ class Pieces:
             *(np.concatenate([a, b.astype(a.dtype)]) for a, b in zip((share, length, piece), more[1:], strict=True)))
 
     def _sampled_alone(self, codes: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        """One long segment; sums are rescaled at every place."""
-        n, text = len(codes), "".join(chr(c) if c != _NONE else "\0" for c in codes.tolist())
-        total, scale, edges = [1.0], [0.0], []
+        """One long segment that pieces hold together everywhere; sums are rescaled on the way."""
+        n = len(codes)
+        first, degree, length, pieces = self._edges(codes, np.array([n]))
+        weight = np.where(pieces >= 0, self.weight[pieces], 1.0).tolist()
+        begin, count, length = first.tolist(), degree.tolist(), length.tolist()
+        total, upto = [1.0], [0.0] * len(weight)
         for j in range(n):
-            if codes[j] == _NONE:
-                found = [(1, -2, total[j])]
-            else:
-                found = []
-                for k in range(1, min(self.longest, j + 1) + 1):
-                    i = self.ids.get(text[j + 1 - k:j + 1]) if "\0" not in text[j + 1 - k:j + 1] else None
-                    if i is not None:
-                        found.append((k, i, self.weight[i] * total[j + 1 - k] * np.exp(scale[j + 1 - k] - scale[j])))
-            whole = sum(f[2] for f in found)
-            # ``total`` stays at 1; its logarithm moves into ``scale``.
-            edges.append([(k, i, w / whole) for k, i, w in found])
-            total.append(1.0)
-            scale.append(scale[j] + float(np.log(whole)))
+            summed = 0.0
+            for e in range(begin[j], begin[j] + count[j]):
+                summed += weight[e] * total[j + 1 - length[e]]
+                upto[e] = summed
+            total.append(summed)
+            if not 1e-150 < summed < 1e150:  # only ratios within the reach of a piece matter
+                for i in range(max(0, j + 2 - self.longest), j + 2):
+                    total[i] /= summed
         out, end = np.full(n, -1, np.int32), n
         while end > 0:
-            upto, u = 0.0, float(draw[end - 1])
-            for k, i, w in edges[end - 1]:
-                upto += w
-                if u < upto:
-                    break
-            out[end - 1] = i
-            end -= k
+            e, last = begin[end - 1], begin[end - 1] + count[end - 1] - 1
+            bound = float(draw[end - 1]) * upto[last]
+            while e < last and upto[e] <= bound:
+                e += 1
+            out[end - 1] = pieces[e]
+            end -= length[e]
         return out
 
     def encode(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
@@ -301,6 +320,12 @@ class Pieces:
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(codes)))
         short = size <= self.short
+        if not short.all():
+            more, sizes_of_more = self._cut(codes, start[~short], size[~short])
+            start, size = np.append(start[short], more), np.append(size[short], sizes_of_more)
+            order = np.argsort(start)
+            start, size = start[order], size[order]
+            short = size <= self.short
         out = np.full(len(codes), -1, np.int32)
         if short.any():
             out = self._sampled(codes, start[short], size[short], draw)
