@@ -11,13 +11,14 @@ places, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwell.llm.common import text_of
+from pairwell.llm.common import text_of, written
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,8 @@ def update(docs: DataFrame, ledger: DataFrame | None, kinds: tuple[Kind, ...] =
     """What to append to the two tables: (ledger entries, findings).
 
     Blobs without findings get a ledger entry too, so they are not scanned again.
+    A null text is the empty blob; an empty or missing ledger has seen nothing;
+    an empty delivery adds nothing.  Repeated rows are one blob.
     """
     entries = docs.select(blob_of(text).alias("blob")).distinct().select("blob", F.lit(rules).alias("rules"))
     if ledger is not None:
@@ -119,6 +122,25 @@ def update(docs: DataFrame, ledger: DataFrame | None, kinds: tuple[Kind, ...] =
     return entries, scan(unseen(docs, ledger, rules, key, text), kinds, rules)
 
 
+def deliver(deliveries: Iterable[DataFrame], ledger: DataFrame | None = None, findings: DataFrame | None = None,
+            kinds: tuple[Kind, ...] = KINDS, rules: str = RULES_VERSION, key: str = "doc_id",
+            text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ledger, findings) after one delivery of texts after another.
+
+    Each delivery is scanned for the (blob, rules) pairs that the ledger has not
+    yet, and both tables grow by a written part: a delivery sent again, or texts
+    known from earlier ones, cost no scan and give no finding twice.
+    """
+    for number, docs in enumerate(deliveries):
+        entries, found = update(docs, ledger, kinds, rules, key, text)
+        # Findings first: a ledger entry promises that its findings are there.
+        found = written(found, f"findings-{number}")
+        entries = written(entries, f"ledger-{number}")
+        ledger = entries if ledger is None else ledger.unionByName(entries)
+        findings = found if findings is None else findings.unionByName(found)
+    return ledger, findings
+
+
 def digests(findings: DataFrame, kinds: tuple[Kind, ...] = KINDS, base: tuple[Kind, ...] = BASE) -> DataFrame:
     """One row per blob with findings: counts, and the spans joined in order."""
     order = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k.name, i))), F.col("kind"))
