@@ -196,6 +196,20 @@ def _(t: Tables) -> DataFrame:
     return report.sample_matches(matched_rows(t), 3, category="1-URGENT", seed=7)
 
 
+@case("report_overview", _on_matches(f"""
+    , kept as (select category, count(*) as record_count from matched where category not like '%control%' group by 1),
+    gone as (select category, count(*) as n from x_cohorts c where not exists (
+        select 1 from matched m where m.member_id = c.member_id and m.utc_period = c.utc_period
+        and case when m.category like '%control%' then 'control' else m.category end = c.category) group by 1)
+    select s.*, {r2("cast(k.record_count as double) / s.record_count * 100")} as cohort_percent, coalesce(g.n, 0)::bigint as n_discarded
+    from ({_STATS} from x_cohorts group by category) s left join kept k using (category) left join gone g using (category)"""))
+def _(t: Tables) -> DataFrame:
+    tables = report_cohorts.report(matched_rows(t), cohort_rows(t), ID)
+    gone = tables["discarded"].groupBy("category").agg(F.count("*").alias("n_discarded"))
+    return tables["statistics"].join(tables["retention"].select("category", "cohort_percent"), "category", "left").join(
+        gone, "category", "left").withColumn("n_discarded", F.coalesce("n_discarded", F.lit(0).cast("long")))
+
+
 @case("only_category", f"with {_NEXT} select * from matched where category in ('2-HIGH', '2-HIGH control')")
 def _(t: Tables) -> DataFrame:
     return report.only_category(neighbours(t), "2-HIGH")
