@@ -50,7 +50,7 @@ def examples(conversations: DataFrame) -> DataFrame:
 
     Null roles and texts are empty.  Turns are ordered by turn (null first),
     then role and text; repeated rows are turns of their own.  A null conv_id
-    is a conversation.  Other columns are not read.  The last example of a
+    is a conversation; an empty table gives an empty one.  Other columns are not read.  The last example of a
     conversation is one row holding all of it, so a conversation is gathered
     into one row, and each example then made from that by itself.
     """

@@ -108,8 +108,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Null, empty and wordless texts have no shingles and are linked with
     nothing.  Rows that share a key count as one document.  A null key cannot
-    be linked: its component is null, and it is kept.  Columns other than the
-    two named are not read.
+    be linked: its component is null, and it is kept; its copies with keys are
+    grouped among themselves.  An empty table gives an empty one.  Very long texts
+    are hashed in pieces between words.  Columns other than the two named are not read.
     """
     made = written(sketches(docs, key, text, words), "sketches")
     full = made.filter("n > 0 and id is not null")

@@ -390,7 +390,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
 
     A null text has null pieces; the empty text has the leading blank alone.
     Rows with one key and text get the same pieces; a null key is a key like
-    others.  The new column's name avoids those of ``docs``.
+    others; an empty table gives an empty one.  Very long texts are worked on in
+    chunks between segments.  The new column's name avoids those of ``docs``.
     """
     out, shared = fresh(docs.columns, "pieces"), _model(docs, model)
     names = [*docs.columns, out]

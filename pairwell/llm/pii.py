@@ -172,8 +172,9 @@ SPANS = T.ArrayType(T.StructType([
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """``docs`` (columns ``keep``, all by default) with an array of spans, and its name.
 
-    Null and empty texts have no spans; repeated rows are scanned each; the new
-    column's name avoids those of ``docs``.
+    Null and empty texts have no spans; repeated rows are scanned each; an empty
+    table gives an empty one.  The parsers only go forward, so a very long text
+    costs in proportion.  The new column's name avoids those of ``docs``.
     """
     out = fresh(docs.columns, "spans")
 
@@ -184,7 +185,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts of the base kinds, and all spans as text."""
+    """One row per row of ``docs``: counts of the base kinds, and all spans as text; odd rows as in :func:`scan`."""
     found, out = scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", ["key"])
     named = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -199,7 +200,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced; a null text stays null."""
+    """``docs`` with personal data in ``text`` replaced; a null text stays null, an empty table empty."""
     out = fresh(docs.columns, "redacted")
 
     def work(cells: pa.Array) -> list[tuple]:

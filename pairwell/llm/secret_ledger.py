@@ -161,8 +161,8 @@ def digests(findings: DataFrame, kinds: tuple[Kind, ...] = KINDS, base: tuple[Ki
 def by_path(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Findings joined back: one row per row of ``docs``, copies included.
 
-    A null or empty text has no findings.  Repeated rows give repeated rows;
-    other columns are not read, so names cannot clash.
+    A null or empty text has no findings.  Repeated rows give repeated rows, an
+    empty table none; other columns are not read, so names cannot clash.
     """
     paths = docs.select(F.col(key).alias("path"), blob_of(text).alias("blob"))
     joined = paths.join(digests(findings), "blob", "left")

@@ -308,7 +308,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int =
     kept (the remaining bytes; cuts may fall inside a character) and spans.
     Null and empty texts, and those under ``LENGTH`` bytes, lose nothing.
     Repeated rows are documents of their own: the first in order (key, then
-    text; null keys first) stays.  Other columns are not read.
+    text; null keys first) stays.  An empty table gives an empty one.  Very long
+    texts are cut into strings of windows, so no row of a shuffle outgrows its
+    text.  Other columns are not read.
     """
     rows, same = identified(docs, key, text)
     spans = covered(rows.select("id", "text"), group).groupBy("id").agg(

@@ -48,6 +48,9 @@ _SAYING = frozenset(
     "dit disait écrit appelé citation dijo dice escribió llamó cita".split())
 
 
+_FOREIGN = ""
+
+
 def _edits(term: str) -> int:
     return 1 if len(term) >= 5 else 0
 
@@ -74,6 +77,8 @@ class Automaton:
                     node = self.children[node][letter]
                     self.allowed[node] = max(self.allowed[node], edits)
                 table[node] = term
+        # Letters of no term act alike: one symbol for all of them keeps a state's steps within the alphabet of the terms.
+        self.letters = frozenset(c for node in self.children for c in node)
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
@@ -115,6 +120,8 @@ class Automaton:
         for letter in word:
             if self.prefixes[state]:
                 found += [(s + "*", 0) for s in self.prefixes[state]]
+            if letter not in self.letters:
+                letter = _FOREIGN
             following = self.steps[state].get(letter)
             state = self._step(state, letter) if following is None else following
             if not self.sets[state]:
@@ -265,7 +272,12 @@ def _hits_of(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE,
         terms: int = TERMS) -> Model:
-    """A model from labelled documents; without toxic ones, one that scores all alike."""
+    """A model from labelled documents; without toxic ones, one that scores all alike.
+
+    Rows without a key or a label do not count, nor do empty tables.  A null text
+    is an empty one.  Of several labels for a key the toxic one holds; rows that
+    share a key all take its label.
+    """
     rows = training(docs, labels, key, text, sample)
     exact, bad, good = _candidates(rows, terms)
     model = Model(exact)
@@ -305,7 +317,9 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """One row per document: (key, score, predicted, n_terms).
 
     Null and empty texts have no hits and get the score of a text without any.
-    Repeated rows are scored each; other columns are not read.
+    Repeated rows are scored each; an empty table gives an empty one.  A very long
+    text costs in proportion, for words read before are remembered.  Other columns
+    are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: list[Reader] = []
