@@ -45,6 +45,8 @@ ORDERS = 3
 _TURN = [np.uint64(int(x)) for x in np.random.Generator(np.random.Philox(11)).integers(1, 2**63, ORDERS)]
 #: Tokens before a place that a row of a prefix carries, to count a pair where it first meets.
 BEFORE = 64
+#: Rows of a narrow table that go to one file at least.
+FILE_ROWS = 1_000_000
 #: Size classes grow by this share.
 CLASS = 1.05
 
@@ -232,6 +234,11 @@ def _met(smaller: DataFrame, larger: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("s.id", "g.id").alias("a"), F.greatest("s.id", "g.id").alias("b"))
 
 
+def _files(rows: DataFrame) -> int:
+    """Files for a narrow table of no more rows than a written one; its footers tell their number."""
+    return 1 + rows.count() // FILE_ROWS
+
+
 def _let_go(spark: SparkSession) -> None:
     """Shuffle files of the steps written so far go: the driver's plans go in one collection, what they hold in the next.
 
@@ -253,9 +260,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     """
     spark = docs.sparkSession
     made = written(heads(docs, key, text, words, percent), "heads")
-    full = made.filter("n > 0 and id is not null")
+    full, files = made.filter("n > 0 and id is not null"), _files(made)
     classes = written(full.groupBy("set_id").agg(F.min("id").alias("first")).withColumn(
-        "node", F.monotonically_increasing_id()), "classes")
+        "node", F.monotonically_increasing_id()).coalesce(files), "classes")
     # One document stands for its class.
     wanted = written(classes.join(possible(full).withColumnRenamed("id", "first"), "first", "left_semi"), "possible")
     _let_go(spark)
@@ -263,10 +270,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     _let_go(spark)
     filters = written(prefixes(sets, percent), "filters")
     links = written(verified(passing(stars(filters, percent), filters), sets, percent), "stars")
-    component = components(links).select(F.col("node").alias("id"), "component")
+    component = components(links, _files(links)).select(F.col("node").alias("id"), "component")
     met = written(across(filters, component, percent), "met")
     more = written(verified(passing(met, filters), sets, percent), "more")
-    linked = components(links.union(more))
+    linked = components(links.union(more), _files(links) + _files(more))
 
     joined = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
