@@ -10,6 +10,7 @@ from pairwell.functions import fixed_values as fixed
 from pairwell.operators import claims, conditions, visits
 from pairwell.session import materialize
 from pairwell.sources.readers import year_slice
+from pairwell.sources.sinks import materialize_by_member
 
 
 def build_claims(
@@ -20,14 +21,16 @@ def build_claims(
     *,
     categories: Sequence[str] = fixed.VISIT_CATEGORIES,
     positive_only: bool = True,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Spend and utilization per member and month.
 
     The medical lines are read once, into a written table by member and day;
-    spend and visits both come from that.
+    spend and visits both come from that.  Written in ``buckets`` of the member
+    it is not shuffled again.
     """
-    days = materialize(
-        visits.member_days(med_lines, util_codes, avoidable, categories, positive_only=positive_only), "member_days")
+    days = visits.member_days(med_lines, util_codes, avoidable, categories, positive_only=positive_only)
+    days = materialize(days, "member_days") if buckets is None else materialize_by_member(days, "member_days", buckets)
     spend = claims.join_spend(
         claims.spend_of_days(days),
         claims.spend_by_month(rx_lines, "svcdate", "pharma", positive_only=positive_only),

@@ -5,8 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Compressed input for one shuffle partition or bucket; rows take about ten times as much in memory.
+_PARTITION_BYTES = 8 << 20
 
 _SETTINGS = {
     # Month keys and epoch seconds must not depend on where the driver runs.
@@ -16,6 +21,8 @@ _SETTINGS = {
     # A hot key may hold a third of all rows: split it even where that costs
     # one more shuffle further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sides laid out by the member join on (member, month) as they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Wide feature projections exceed what the JVM compiles as one method and
     # would run interpreted; past this size operators compile separately.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -29,6 +36,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def partitions_for(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Shuffle partitions for the files of ``paths``: the session's, or one for every ``_PARTITION_BYTES``.
+
+    What a task holds then stays the same however large the tables are.  The
+    files' lengths are listed, not their content.
+    """
+    sizes = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes // _PARTITION_BYTES))
+
+
+def raise_partitions(spark: SparkSession, number: int) -> None:
+    """Let shuffles start with ``number`` partitions at least; adaptive execution joins small ones."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    now = spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    if number > int(now):
+        spark.conf.set(name, str(number))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell.session import new_path
+
 #: Folder name of a batch of :func:`append_batch`.
 BATCH = "append_batch"
 
@@ -38,6 +40,12 @@ def write_by_member(df: DataFrame, table: str, buckets: int, *, path: str | None
     return df.sparkSession.table(table)
 
 
+def materialize_by_member(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Like :func:`pairwell.session.materialize`, in buckets of the member."""
+    path = new_path(df.sparkSession, name)
+    return write_by_member(df, path.rsplit("/", 1)[1].replace("-", "_"), buckets, path=path)
+
+
 def write_overwrite(df: DataFrame, path: str) -> None:
     """Replace a table, whatever its former schema."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pairwell.functions import dates
 from pairwell.operators import visits
 from pairwell.plans import ingest
-from pairwell.session import materialize, new_path
+from pairwell.session import materialize, partitions_for, raise_partitions
 from pairwell.sources import sinks
 from pairwell.sources.readers import month_table
 from suite.oracle import PARTNER_NAMES, PLACE_NAMES, REVENUE_NAMES, TERM_SETS
@@ -33,12 +33,14 @@ def pick(col: Column, names: list[str | None]) -> Column:
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_PARTITIONS: dict[tuple[str, str, str], int] = {}
 
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        raise_partitions(spark, self.buckets)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -52,16 +54,19 @@ class Tables:
 
     @property
     def buckets(self) -> int:
-        """Buckets of the member in which derived tables are stored."""
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Buckets of the member in which derived tables are stored; they grow with the star tables."""
+        at_least = self.spark.conf.get("spark.sql.shuffle.partitions")
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, at_least)
+        if key not in _PARTITIONS:
+            paths = [f"{self.sf_dir}/{name}.parquet" for name in ("customer", "part", "orders", "lineitem")]
+            _PARTITIONS[key] = partitions_for(self.spark, paths)
+        return _PARTITIONS[key]
 
     def stored_by_member(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The same, in buckets of the member."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, f"{name}-{self.buckets}")
         if key not in _STORED:
-            path = new_path(self.spark, name)
-            table = path.rsplit("/", 1)[1].replace("-", "_")
-            _STORED[key] = sinks.write_by_member(build(), table, self.buckets, path=path)
+            _STORED[key] = sinks.materialize_by_member(build(), name, self.buckets)
         return _STORED[key]
 
     # Events and members
@@ -176,7 +181,7 @@ class Tables:
         """Claims by member and month, the month as a date."""
         stored = ingest.build_claims(
             self.med_lines, self.rx_lines, self.util_codes, self.avoidable_codes,
-            categories=CATEGORIES,
+            categories=CATEGORIES, buckets=self.buckets,
         )
         return month_table(stored, "service_month")
 
