@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwell.functions import dates, measures
@@ -130,58 +129,78 @@ def by_member(df: DataFrame, buckets: int | None) -> DataFrame:
     return df if buckets is None else df.repartition(buckets, "member_id")
 
 
-def claims_panel(
-    periods: DataFrame,
+def _months_of_members(claims: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per member with claims: its months in order and where each one stands.
+
+    ``_spent`` lists the months with claims, amounts to two decimals; ``_place``
+    gives, for every month from ``_first`` on, the number from 1 of its entry in
+    ``_spent``, or 0.  Both are bounded by the calendar.
+    """
+    monthly = claims.filter("service_month is not null").groupBy(
+        "member_id", dates.month_index(F.col("service_month")).alias("idx")
+    ).agg(*[measures.round2(F.coalesce(F.sum(c).cast("double"), F.lit(0.0))).alias(c) for c in names])
+    listed = monthly.groupBy("member_id").agg(
+        F.sort_array(F.collect_list(F.struct("idx", *names))).alias("_spent"),
+        F.min("idx").alias("_first"), F.max("idx").alias("_last"),
+    )
+    place = F.transform(
+        F.sequence("_first", "_last"), lambda i: F.array_position(F.col("_spent.idx"), i).cast("int"))
+    return listed.select("member_id", "_spent", "_first", place.alias("_place"))
+
+
+def add_panel(
+    rows: DataFrame,
     claims: DataFrame,
     leading: Sequence[str],
     trailing: Sequence[str],
     pre: int,
     post: int,
-    *,
-    buckets: int | None = None,
 ) -> DataFrame:
-    """The same wide rows as merging and pivoting, without multiplying rows.
+    """``rows`` (member_id, utc_period, …) with the wide claims columns; rows without claims in the window go.
 
-    ``periods`` holds (member_id, utc_period).  Periods and claims are first
-    reduced to one row per member and month, which also bounds every member by
-    the calendar; then each offset is one range frame of a single window.  Cost:
-    two shuffles of the input size, where a join writes each period once per
-    month of its window.  Where the claims are stored in ``buckets`` of the
-    member (:func:`pairwell.sources.sinks.write_by_member`) only the periods move.
+    Claims become one row per member, to which rows are joined on the member
+    alone; each offset is then looked up by its place.  Rows are not multiplied,
+    and wide rows are neither sorted nor shuffled.  Rows without a member or a
+    period have no claims.
     """
     names = list(dict.fromkeys([*leading, *trailing]))
-    wanted = by_member(periods, buckets).select(
-        "member_id", F.col("utc_period").alias("month"), F.lit(True).alias("wanted")
-    )
-    spent = claims.select("member_id", F.col("service_month").alias("month"), *names)
-    by_month = (
-        wanted.unionByName(spent, allowMissingColumns=True)
-        .groupBy("member_id", "month")
-        .agg(F.max("wanted").alias("wanted"), *[F.sum(c).alias(c) for c in names],
-             F.max(F.when(F.col("wanted").isNull(), True)).alias("has_claim"))
-        .withColumn("idx", dates.month_index(F.col("month")))
-    )
-    member = W.partitionBy("member_id").orderBy("idx")
-    measured = F.struct(*names)
-    shifted = by_month.select(
-        "member_id", F.col("month").alias("utc_period"), "wanted",
-        F.max("has_claim").over(member.rangeBetween(-pre, post)).alias("has_claim"),
-        *[
-            F.first(measured).over(member.rangeBetween(n, n)).alias(f"at_{n}")
-            for n in range(-pre, post + 1)
-        ],
-    )
-    return shifted.filter(F.col("wanted") & F.col("has_claim")).select(
-        "member_id", "utc_period",
+    spent = _months_of_members(claims, names)
+    at = dates.month_index(F.col("utc_period")) - F.col("_first")
+
+    def place(n: int) -> Column:
+        return F.get("_place", at + n)
+
+    has_claim = reduce(
+        lambda a, b: a | b, [F.coalesce(place(n) > 0, F.lit(False)) for n in range(-pre, post + 1)])
+    return rows.join(spent, "member_id").filter(has_claim).select(
+        *rows.columns,
         *[
-            measures.round2(
-                F.coalesce(F.col(f"at_{n}").getField(m).cast("double"), F.lit(0.0))
-            ).alias(measures.offset_name(m, n))
+            F.coalesce(F.get("_spent", place(n) - 1).getField(m), F.lit(0.0)).alias(measures.offset_name(m, n))
             for m, n in _cells(leading, trailing, pre, post)
         ],
     )
 
 
+def claims_panel(
+    periods: DataFrame,
+    claims: DataFrame,
+    leading: Sequence[str],
+    trailing: Sequence[str],
+    pre: int,
+    post: int,
+    *,
+    buckets: int | None = None,
+) -> DataFrame:
+    """The same wide rows as merging and pivoting, without multiplying rows.
+
+    ``periods`` holds (member_id, utc_period), of which repeats count once.  Where
+    the claims are stored in ``buckets`` of the member
+    (:func:`pairwell.sources.sinks.write_by_member`) only the periods move.
+    """
+    wanted = by_member(periods.select("member_id", "utc_period"), buckets).distinct()
+    return add_panel(wanted, claims, leading, trailing, pre, post)
+
+
 def wide_columns(
     leading: Sequence[str], trailing: Sequence[str], pre: int, post: int
 ) -> list[str]:
@@ -197,17 +216,23 @@ def remove_negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in columns]))
 
 
+MIN_AGE, MAX_AGE = 18, 70
+
+
+def adults(df: DataFrame, min_age: int = MIN_AGE, max_age: int = MAX_AGE) -> DataFrame:
+    return df.filter(F.col("age").between(min_age, max_age))
+
+
 def outlier_filter(
     df: DataFrame,
     month_columns: Sequence[str],
     sum_columns: Sequence[str] = (),
     *,
     limit: float = 250_000,
-    min_age: int = 18,
-    max_age: int = 70,
+    min_age: int = MIN_AGE,
+    max_age: int = MAX_AGE,
 ) -> DataFrame:
     """Adults up to ``max_age`` with every month and sum below the limit."""
-    keep = F.col("age").between(min_age, max_age)
-    for c in [*month_columns, *sum_columns]:
-        keep = keep & (F.col(c) < limit)
-    return df.filter(keep)
+    columns = [*month_columns, *sum_columns]
+    return adults(df, min_age, max_age).filter(
+        reduce(lambda a, b: a & b, [F.col(c) < limit for c in columns], F.lit(True)))

@@ -158,7 +158,11 @@ def max_flags(flags: DataFrame, year_columns: Sequence[str] = ("cal_yr", "cal_ye
     return flags.groupBy("member_id").agg(*[F.max(c).alias(c) for c in names])
 
 
+def add_flags(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """Rows with the chronic flags of the member; members without any get 0, as all empty numbers do."""
+    return df.join(flags, "member_id", "left").na.fill(0)
+
+
 def features_join(exposed: DataFrame, wide: DataFrame, flags: DataFrame) -> DataFrame:
     """Cohort rows with claims features (required) and chronic flags (optional)."""
-    joined = exposed.join(wide, ["member_id", "utc_period"]).join(flags, "member_id", "left")
-    return joined.na.fill(0)
+    return add_flags(exposed.join(wide, ["member_id", "utc_period"]), flags)

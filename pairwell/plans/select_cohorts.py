@@ -54,30 +54,37 @@ def add_claims(
     """Wide claims features (required, none negative) and chronic flags.
 
     Overlapping profiles can repeat a row; repeats are dropped here, while rows
-    are narrow.  The features are unique per member and month.  With claims and
-    flags stored in ``buckets`` of the member, the rows are the only thing moved.
+    are narrow.  With claims and flags stored in ``buckets`` of the member, the
+    rows are the only thing moved, while they are narrow.
     """
     rows = claim_ops.by_member(rows, buckets).distinct()
-    wide = claim_ops.claims_panel(
-        rows.select("member_id", "utc_period"), claims, leading, trailing,
-        windows.match_pre, windows.match_post, buckets=buckets,
+    keys = ["member_id", "utc_period"]
+    wide = claim_ops.add_panel(
+        rows.select(*keys, *[c for c in rows.columns if c not in keys]), claims, leading, trailing,
+        windows.match_pre, windows.match_post,
     )
     names = claim_ops.wide_columns(leading, trailing, windows.match_pre, windows.match_post)
-    return cohorts.features_join(rows, claim_ops.remove_negatives(wide, names), flags)
+    return cohorts.add_flags(claim_ops.remove_negatives(wide, names), flags)
+
+
+def with_age(df: DataFrame) -> DataFrame:
+    return df.withColumn("age", measures.age_years(F.col("birth_year"), F.col("utc_period")))
 
 
 def derive_features(
     df: DataFrame, windows: Windows = Windows(),
     leading: Sequence[str] = LEADING, trailing: Sequence[str] = TRAILING,
 ) -> DataFrame:
-    """Age, sums before and after, date as number, shares of spend."""
+    """Age, sums before and after, date as number, shares of spend.
+
+    The wide columns have two decimals, as the claims panel gives them.
+    """
     pre = windows.match_pre
-    with_age = df.withColumn("age", measures.age_years(F.col("birth_year"), F.col("utc_period")))
     with_sums = measures.sum_periods(
         measures.sum_periods(
-            with_age.withColumn("age_band", measures.age_band(F.col("age"))), leading, -pre, 0
+            with_age(df).withColumn("age_band", measures.age_band(F.col("age"))), leading, -pre, 0, rounded=True
         ),
-        trailing, 0, windows.eval_post,
+        trailing, 0, windows.eval_post, rounded=True,
     )
     total = F.col(measures.sum_name("total_claims", -pre, 0))
     medical = F.col(measures.sum_name("med_total", -pre, 0))
@@ -100,9 +107,11 @@ def build_cohorts(
 
     The control side may come from another source with tables of its own; the
     columns both have are kept.  Where both sides read the same claims and
-    flags, one panel serves both.  ``buckets`` is the number in which all of
+    flags, one panel serves both.  Ages that the outlier filter drops go before
+    the panel is made.  ``buckets`` is the number in which all of
     these tables are stored by member, if they are.
     """
+    exposed, control = (claim_ops.adults(with_age(df)).drop("age") for df in (exposed, control))
     if claims is control_claims and flags is control_flags:
         shared = [c for c in exposed.columns if c in control.columns]
         rows = exposed.select(*shared).unionByName(control.select(*shared))

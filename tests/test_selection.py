@@ -4,8 +4,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from pairwell import session
 from pairwell.functions import labels, measures
 from pairwell.operators import claims, cohorts, features, report
+from pairwell.plans import select_cohorts
+from pairwell.sources import sinks
 from suite import cases_selection
 from suite.tables import Tables
 
@@ -197,3 +200,60 @@ def test_stored_sides_are_not_shuffled(spark):
                     assert not any(x.startswith("Exchange") for x in path[first_use:])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+# Growth: what a task holds does not grow with the tables, and wide rows stay where they are
+
+def test_partitions_follow_the_files(spark, tmp_path, monkeypatch):
+    for name in ("customer", "part", "orders", "lineitem"):
+        spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(session, "_PARTITION_BYTES", 4000)
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    try:
+        paths = [f"{tmp_path}/{t}.parquet" for t in ("customer", "part", "orders", "lineitem")]
+        few, many = session.partitions_for(spark, paths[:1]), session.partitions_for(spark, paths)
+        assert 8 <= few < many
+        assert Tables(spark, str(tmp_path)).buckets == many
+        assert int(spark.conf.get(name)) >= many
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_cohort_rows_move_once_and_narrow(spark, capsys):
+    spent = spark.createDataFrame(
+        [(m, date(2020, k, 1), float(m * k), 1.0 - (m == 3 and k == 4) * 2) for m in range(1, 9) for k in (2, 4, 5, 9)],
+        "member_id int, service_month date, x double, y double")
+    flags = spark.createDataFrame([(m, 1) for m in range(1, 5)], "member_id int, asthma int")
+    months = [(m, date(2020, k, 1), "a") for m in range(1, 12) for k in (1, 4, 7, 12)]
+    cohort = spark.createDataFrame(
+        [*months, *months[:3], (None, date(2020, 4, 1), "a"), (2, None, "a"), (2, date(2020, 4, 1), "b")],
+        "member_id int, utc_period date, category string")
+    by_member = [sinks.materialize_by_member(df, "test", 4) for df in (spent, flags)]
+    window = select_cohorts.Windows(match_pre=2, match_post=1)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = select_cohorts.add_claims(cohort, *by_member, window, ["x", "y"], ["x"], buckets=4)
+        names = claims.wide_columns(["x", "y"], ["x"], 2, 1)
+        wide = claims.pivot_claims(claims.merge_claims(
+            cohort.select("member_id", "utc_period").distinct(), spent, 2, 1), ["x", "y"], ["x"], 2, 1)
+        want = cohort.distinct().join(
+            claims.remove_negatives(wide, names), ["member_id", "utc_period"]).join(flags, "member_id", "left").na.fill(0)
+        columns = ["member_id", "utc_period", "category", *names, "asthma"]
+        assert got.columns == columns
+        assert 0 < len(rows(got, *columns)) and rows(got, *columns) == rows(want, *columns)
+        capsys.readouterr()
+        got.explain()
+        plan = capsys.readouterr().out
+        assert "Window" not in plan and plan.count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
+def test_sum_of_rounded_columns_needs_one_rounding(spark):
+    df = spark.range(3000).select(*[
+        measures.round2(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(10**9)) / 1000 - F.lit(2e5)).alias(measures.offset_name("x", n)) for n in range(-3, 5)])
+    once = measures.sum_periods(df, ["x"], -3, 5, rounded=True).select(F.col("x_m3_to_p5_sum").alias("once"))
+    step = measures.sum_periods(df, ["x"], -3, 5).select(F.col("x_m3_to_p5_sum").alias("step"))
+    assert sorted(r[0] for r in once.collect()) == sorted(r[0] for r in step.collect())
