@@ -21,8 +21,6 @@ _SETTINGS = {
     # A hot key may hold a third of all rows: split it even where that costs
     # one more shuffle further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Sides laid out by the member join on (member, month) as they lie.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Wide feature projections exceed what the JVM compiles as one method and
     # would run interpreted; past this size operators compile separately.
     "spark.sql.codegen.hugeMethodLimit": "8000",
