@@ -55,6 +55,21 @@ def join_spend(medical: DataFrame, pharmacy: DataFrame) -> DataFrame:
     return sum_measures(joined)
 
 
+def stack_spend(medical: DataFrame, pharmacy: DataFrame, buckets: int | None = None) -> DataFrame:
+    """:func:`join_spend` of inputs with one row per member and month each.
+
+    They are stacked and brought
+    together by one aggregation, laid out in ``buckets`` of the member if given.
+    Rows without a member or a month stay apart, as they would in a join.
+    """
+    keys = ["member_id", "service_month"]
+    apart = F.col("member_id").isNull() | F.col("service_month").isNull()
+    stacked = medical.withColumn("_side", F.when(apart, 0)).unionByName(
+        pharmacy.withColumn("_side", F.when(apart, 1)), allowMissingColumns=True)
+    joined = by_member(stacked, buckets).groupBy(*keys, "_side").agg(*[F.max(c).alias(c) for c in SPEND])
+    return sum_measures(joined.drop("_side").na.fill(0, list(SPEND)))
+
+
 def sum_measures(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "total_claims": F.col("med_total") + F.col("pharma_total"),
@@ -141,10 +156,11 @@ def _months_of_members(claims: DataFrame, names: Sequence[str]) -> DataFrame:
     ).agg(*[measures.round2(F.coalesce(F.sum(c).cast("double"), F.lit(0.0))).alias(c) for c in names])
     listed = monthly.groupBy("member_id").agg(
         F.sort_array(F.collect_list(F.struct("idx", *names))).alias("_spent"),
+        F.sort_array(F.collect_list("idx")).alias("_months"),
         F.min("idx").alias("_first"), F.max("idx").alias("_last"),
     )
     place = F.transform(
-        F.sequence("_first", "_last"), lambda i: F.array_position(F.col("_spent.idx"), i).cast("int"))
+        F.sequence("_first", "_last"), lambda i: F.array_position("_months", i).cast("int"))
     return listed.select("member_id", "_spent", "_first", place.alias("_place"))
 
 

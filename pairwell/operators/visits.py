@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import dates, labels
 from pairwell.functions import fixed_values as fixed
+from pairwell.operators.claims import by_member
 
 LINE_CATEGORIES = ("p_category", "o_category", "er_category")
 VISIT_KEYS = ("service_month", "member_id", "util_id", "visit_start", "visit_end", "visit_len")
@@ -135,13 +136,15 @@ def member_days(
     categories: Sequence[str] = fixed.VISIT_CATEGORIES,
     *,
     positive_only: bool = True,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per member and start day: what was paid, and what visits need.
 
     ``paid_lines``, ``med_total`` and ``med_total_net`` cover the lines with an
     amount; ``coded_lines``, ``svc_end`` and the flags those with a category.
     The code lists are reduced to one row per code first, so a code of several
-    categories repeats no line and no amount.
+    categories repeats no line and no amount.  With ``buckets`` lines are laid
+    out by member before they are aggregated, which is then their only shuffle.
     """
     def by_code(df: DataFrame, code: str, line_col: str, name: str) -> DataFrame:
         return df.filter(F.col(code) != "").groupBy(F.col(code).alias(line_col)).agg(
@@ -153,16 +156,22 @@ def member_days(
         .join(by_code(avoidable, "ms_joiner", "dx1", "er_category"), "dx1", "left")
     )
     named = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in LINE_CATEGORIES]))
-    rows = coded.select("member_id", "svc_start", "svc_end", "pay", "netpay", named.alias("named"))
     paid = F.col("pay") > 0 if positive_only else F.col("pay") != 0
     found = F.size("named") > 0
-    return rows.groupBy("member_id", "svc_start").agg(
-        F.count_if(paid).alias("paid_lines"),
-        F.sum(F.when(paid, F.col("pay"))).alias("med_total"),
-        F.sum(F.when(paid, F.col("netpay"))).alias("med_total_net"),
-        F.count_if(found).alias("coded_lines"),
-        F.max(F.when(found, F.greatest("svc_start", "svc_end"))).alias("svc_end"),
-        *[F.max(F.array_contains("named", c).cast("int")).alias(labels.snake_name(c)) for c in categories],
+    flags = [labels.snake_name(c) for c in categories]
+    rows = coded.withColumn("named", named).select(
+        "member_id", "svc_start",
+        paid.alias("paid"), F.when(paid, F.col("pay")).alias("pay"), F.when(paid, F.col("netpay")).alias("netpay"),
+        found.alias("found"), F.when(found, F.greatest("svc_start", "svc_end")).alias("svc_end"),
+        *[F.array_contains("named", c).cast("int").alias(f) for c, f in zip(categories, flags)],
+    )
+    return by_member(rows, buckets).groupBy("member_id", "svc_start").agg(
+        F.count_if("paid").alias("paid_lines"),
+        F.sum("pay").alias("med_total"),
+        F.sum("netpay").alias("med_total_net"),
+        F.count_if("found").alias("coded_lines"),
+        F.max("svc_end").alias("svc_end"),
+        *[F.max(f).alias(f) for f in flags],
     )
 
 

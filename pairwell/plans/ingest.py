@@ -26,14 +26,15 @@ def build_claims(
     """Spend and utilization per member and month.
 
     The medical lines are read once, into a written table by member and day;
-    spend and visits both come from that.  Written in ``buckets`` of the member
-    it is not shuffled again.
+    spend and visits both come from that.  With ``buckets`` of the member lines
+    are shuffled once, and what is made of them only to meet the other spend.
     """
-    days = visits.member_days(med_lines, util_codes, avoidable, categories, positive_only=positive_only)
+    days = visits.member_days(med_lines, util_codes, avoidable, categories, positive_only=positive_only, buckets=buckets)
     days = materialize(days, "member_days") if buckets is None else materialize_by_member(days, "member_days", buckets)
-    spend = claims.join_spend(
+    spend = claims.stack_spend(
         claims.spend_of_days(days),
         claims.spend_by_month(rx_lines, "svcdate", "pharma", positive_only=positive_only),
+        buckets,
     )
     found = visits.visits_of_days(visits.coded_days(days, categories), categories)
     return claims.join_utilization(spend, visits.count_util(visits.add_util(found)))

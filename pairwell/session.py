@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,28 @@ def raise_partitions(spark: SparkSession, number: int) -> None:
         spark.conf.set(name, str(number))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by ``keys`` over as many partitions as shuffles start with.
+
+    Adaptive execution joins partitions by their bytes; it leaves these alone.
+    For work in Python that takes long for its size.
+    """
+    conf = df.sparkSession.conf
+    number = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return df.repartition(int(number or conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for the queries that are run meanwhile."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.session import new_path
+from pairwell.session import new_path, setting
 
 #: Folder name of a batch of :func:`append_batch`.
 BATCH = "append_batch"
@@ -36,7 +36,9 @@ def write_by_member(df: DataFrame, table: str, buckets: int, *, path: str | None
     writer = df.repartition(buckets, "member_id").write.bucketBy(buckets, "member_id").sortBy("member_id").mode("overwrite")
     if path is not None:
         writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    # Laid out by member, rows join on the member and a month where they are.
+    with setting(df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        writer.saveAsTable(table)
     return df.sparkSession.table(table)
 
 

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from pairwell.functions import fixed_values, labels
-from pairwell.operators import code_lists, conditions, extracts, features, visits
+from pairwell.operators import claims, code_lists, conditions, extracts, features, visits
 from pairwell.plans import ingest
 from pairwell.sources import sinks, tenants
 from pairwell.session import new_path
@@ -226,3 +226,39 @@ def test_distinct_by_key_equals_distinct(spark):
     rows = [(1, "a", 1.0), (1, "a", 1.0), (1, "a", 2.0), (2, None, None), (2, None, None), (3, "c", 0.0)]
     df = spark.createDataFrame(rows, "k int, c string, v double")
     assert sorted(map(str, features.distinct_by_key(df, ["k", "c"]).collect())) == sorted(map(str, df.distinct().collect()))
+
+
+def test_stacked_spend_equals_joined_spend(spark):
+    keys = [(1, "202001"), (1, "202002"), (2, None), (None, "202001"), (None, None), (3, "202003")]
+    medical = spark.createDataFrame(
+        [(m, s, float(i), i / 2) for i, (m, s) in enumerate(keys[:5])],
+        "member_id long, service_month string, med_total double, med_total_net double")
+    pharmacy = spark.createDataFrame(
+        [(m, s, i / 4, None) for i, (m, s) in enumerate(keys[1:], 9)],
+        "member_id long, service_month string, pharma_total double, pharma_total_net double")
+    joined = claims.join_spend(medical, pharmacy)
+    for buckets in (None, 4):
+        stacked = claims.stack_spend(medical, pharmacy, buckets)
+        assert stacked.columns == joined.columns
+        assert sorted(map(str, stacked.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_lines_are_shuffled_once_to_days_in_buckets(spark):
+    codes = spark.createDataFrame([("R", "", "ER"), ("A", "", "Inpatient")], "p_code string, o_code string, category string")
+    avoidable = spark.createDataFrame([("X", "Avoidable ER")], "ms_joiner string, category string")
+    rows = [(i % 5, START + timedelta(days=i % 7), None, "RAN"[i % 3], "", "XY"[i % 2], Decimal(i % 4), Decimal(1)) for i in range(90)]
+    data = spark.createDataFrame(rows, (
+        "member_id long, svc_start date, svc_end date, code_pos string, code_rev string, dx1 string, "
+        "pay decimal(12,2), netpay decimal(18,4)"))
+    plain = visits.member_days(data, codes, avoidable, CATS)
+    laid_out = visits.member_days(data, codes, avoidable, CATS, buckets=4)
+    assert plain.schema == laid_out.schema
+    assert sorted(map(str, plain.collect())) == sorted(map(str, laid_out.collect()))
+    plan = laid_out.repartition(4, "member_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(member_id") == 1
+
+
+def test_setting_holds_for_the_write_only(spark, partitions):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    sinks.materialize_by_member(spark.range(20).select(F.col("id").alias("member_id")), "numbers", 3)
+    assert spark.conf.get(name) == "true"
