@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements of the largest distance matrix held at once (32 MB).
-_CHUNK = 4_000_000
+# Elements of the largest distance matrix held at once (2 MB, so that it stays in the cache).
+_CHUNK = 250_000
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
+    values = np.concatenate(vectors.to_numpy()).astype(np.float64, copy=False)
+    return values.reshape(len(vectors), -1)
 
 
 def centers_of(nested) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from pairwell.operators.matching.blocks import block_of, blocks, chunks, matrix
 from pairwell.operators.matching.cells import CellIndex, build, given_cells, place, route, search_nodes
-from pairwell.session import materialize
+from pairwell.session import materialize, spread
 
 
 def nearest_in_block(
@@ -44,11 +44,16 @@ def nearest_in_block(
     error = 2e-9 + 1e-12 * (a2.max() + b2.max())
     nth = min(k, len(b)) - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a1, b1 = np.column_stack([a, np.ones(len(a))]), np.column_stack([-2 * b, b2]).T
     for part in chunks(len(a), len(b)):
-        near = a2[part, None] + b2[None, :] - 2 * (a[part] @ b.T)
-        bound = np.partition(near, nth, axis=1)[:, nth]
-        bound = np.minimum(bound, limit[part])
-        rows, cols = np.nonzero(near <= bound[:, None] + error)
+        near = a1[part] @ b1  # less the row's own a2
+        bound = limit[part] - a2[part] + error
+        rows, cols = np.nonzero(near <= bound[:, None])
+        # Where no more than k are within the limit, the k-th need not be known.
+        many = np.bincount(rows, minlength=len(near)) > nth + 1
+        if many.any():
+            bound[many] = np.minimum(bound[many], np.partition(near[many], nth, axis=1)[:, nth] + error)
+            rows, cols = np.nonzero(near <= bound[:, None])
         diff = exposed[rows + part.start] - controls[cols]
         dist = np.round((diff * diff).sum(axis=1), 9)
         keep = dist <= limit[rows + part.start]
@@ -69,9 +74,10 @@ def _search(
     place = ["stratum", "cell"]
     n_controls = controls.groupBy(*place).agg(F.count("*").alias("nc"))
     n_exposed = routed.groupBy(*place).agg(F.count("*").alias("ne"))
-    grid = n_controls.join(n_exposed, place).select(
+    # Written, its size is known: vectors are not shuffled to learn the blocks of their cell.
+    grid = materialize(n_controls.join(n_exposed, place).select(
         *place, blocks("nc", block_rows).alias("cb"), blocks("ne", block_rows).alias("eb")
-    )
+    ), "grid")
     left = routed.join(grid, place).withColumns({
         "e_block": block_of("e_key", "eb"),
         "c_block": F.explode(F.sequence(F.lit(0), F.col("cb") - 1)),
@@ -99,7 +105,7 @@ def _search(
         T.StructField("control_key", T.LongType()), T.StructField("d2", T.DoubleType()),
     ])
     keys = [*place, "c_block", "e_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(search, schema)
 
 
 def top_k(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -132,7 +138,8 @@ def search(
         {"bound": limit, "probed": F.array().cast("array<long>")}
     )
     # Of controls with one vector, only the k first can be among k nearest.
-    copies = W.partitionBy("stratum", "cell", "vec").orderBy("key")
+    # Sorted by their hash, vectors need comparing in full only where hashes are equal.
+    copies = W.partitionBy(F.xxhash64("vec"), "stratum", "cell", "vec").orderBy("key")
     placed = materialize(
         index.members.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy"),
         "cells",

@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.operators.matching.blocks import block_of, blocks, centers_of, chunks, matrix, nearest_center, squared_distances
-from pairwell.session import materialize
+from pairwell.session import materialize, spread
 
 FANOUT, CELL_ROWS, SAMPLE = 256, 2048, 64
+#: Most rows routed at once: each may go on to all children of its node.
+_ROUTED = 1024
 #: A node is divided once it holds so many times the controls a cell is meant to hold.
 _FULL = 2
 # Distances are told apart to nine decimals of their square, plus float error.
@@ -124,7 +126,9 @@ def _children(cells: DataFrame, columns: list[str]) -> DataFrame:
 
 def _with_children(points: DataFrame, key: str, children: DataFrame, block_rows: int, work, schema: T.StructType) -> DataFrame:
     """``work(points, children row)`` for every block of points of every node."""
-    sizes = points.groupBy(*NODE).agg(F.count("*").alias("n")).select(*NODE, blocks("n", block_rows).alias("blocks"))
+    # Written, its size is known: points are not shuffled to learn the blocks of their node.
+    sizes = materialize(
+        points.groupBy(*NODE).agg(F.count("*").alias("n")).select(*NODE, blocks("n", block_rows).alias("blocks")), "sizes")
     left = points.join(sizes, NODE).withColumn("block", block_of(key, "blocks")).drop("blocks")
     right = children.join(sizes, NODE).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -135,7 +139,7 @@ def _with_children(points: DataFrame, key: str, children: DataFrame, block_rows:
         return work(block, listed.iloc[0])
 
     keys = [*NODE, "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def _step_down(points: DataFrame, cells: DataFrame, block_rows: int) -> DataFrame:
@@ -204,7 +208,8 @@ def build(
         children = F.least(F.lit(fanout), F.lit(n_list) if n_list and most == 1 else F.ceil(F.col("rows") / wanted)).cast("int")
         # Every stratum has a first level; further down only full nodes are divided.
         splits = sizes if level == 0 else sizes.filter(F.col("rows") > _FULL * wanted)
-        splits = splits.withColumn("children", children).select(*NODE, "rows", "children", "first")
+        splits = materialize(
+            splits.withColumn("children", children).select(*NODE, "rows", "children", "first"), "splits")
         fitted = materialize(_fit(points, splits, fanout, rounds), "centers")
         if level:
             # A node of one vector, or one that all go to again, stays as it is.
@@ -272,8 +277,13 @@ def route(
             found.append((rows + part.start, cols, np.round(d2[rows, cols], 9)))
         rows, cols, away = (np.concatenate(x) for x in zip(*found))
         if rest:
-            probed = [set(p) for p in block["probed"]]
-            keep = np.array([not leaf[c] or ids[c] not in probed[r] for r, c in zip(rows, cols)], dtype=bool)
+            done = np.zeros((len(block), len(ids)), dtype=bool)
+            cells, of = np.concatenate(block["probed"].to_numpy()), np.repeat(np.arange(len(block)), block["probed"].map(len))
+            by = ids.argsort()
+            at = by[np.minimum(np.searchsorted(ids, cells, sorter=by), len(ids) - 1)]
+            here = ids[at] == cells
+            done[of[here], at[here]] = True
+            keep = ~(leaf[cols] & done[rows, cols])
             rows, cols, away = rows[keep], cols[keep], away[keep]
         return block[carried].iloc[rows].assign(node=ids[cols], away=away, leaf=leaf[cols])
 
@@ -286,7 +296,7 @@ def route(
     best = W.partitionBy("stratum", "e_key").orderBy("away", "node")
     for level in range(1, levels + 1):
         here = _children(nodes.filter(F.col("level") == level), ["node", "center", "radius", "leaf"])
-        below = _with_children(at.filter(~F.col("leaf")), "e_key", here, block_rows, near, schema)
+        below = _with_children(at.filter(~F.col("leaf")), "e_key", here, min(block_rows, _ROUTED), near, schema)
         if level > 1:
             below = below.unionByName(at.filter("leaf"))
             if not rest:

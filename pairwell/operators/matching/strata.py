@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.operators.features import feature_vector, stratum_label
+from pairwell.session import materialize
 
 
 def with_keys(df: DataFrame, order: Sequence[str], name: str = "key") -> DataFrame:
@@ -67,4 +68,5 @@ def eligible_points(points: DataFrame, n_list: int) -> DataFrame:
         F.count_if("is_control").alias("controls"),
         F.count_if(~F.col("is_control")).alias("exposed"),
     ).filter((F.col("controls") > n_list) & (F.col("exposed") > 0))
-    return points.join(kept.select("stratum"), "stratum", "left_semi")
+    # Written, its size is known: points are not shuffled to be joined with it.
+    return points.join(materialize(kept.select("stratum"), "strata"), "stratum", "left_semi")

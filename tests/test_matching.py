@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwell.operators.matching import assign, candidates, cells, components, strata
-from pairwell.session import new_path
+from pairwell.session import new_path, spread
 
 
 def brute(points, k, limit=None):
@@ -269,3 +269,27 @@ def test_probes_reach_the_recall_asked_for_on_embeddings(spark):
     n_probe = candidates.probes_for(index, exposed, target=0.9)
     assert candidates.recall(index, exposed, n_probe=n_probe) >= 0.9
     assert n_probe <= 20 and candidates.recall(index, exposed, n_probe=1) < 0.9
+
+
+def test_work_in_python_keeps_its_partitions(spark, partitions):
+    assert spread(spark.range(10), "id").groupBy(F.spark_partition_id()).count().count() > 1
+    assert spread(spark.range(10), "id").rdd.getNumPartitions() == int(partitions)
+
+
+def test_points_are_not_shuffled_to_choose_strata(spark):
+    points = frame(spark, make_points()).select("key", "stratum", "is_control", "vec")
+    plan = strata.eligible_points(points, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("limit", [0.5, 3.0, float("inf")])
+def test_nearest_in_block_with_few_and_many_within_the_limit(limit):
+    rng = np.random.default_rng(5)
+    controls, exposed = rng.normal(size=(300, 4)).round(1), rng.normal(size=(90, 4)).round(1)
+    limits = np.where(np.arange(90) % 3 == 0, 0.0, limit)
+    rows, cols, d2 = candidates.nearest_in_block(exposed, controls, 7, limits)
+    want = []
+    for e, most in enumerate(limits):
+        dist = np.round(((exposed[e] - controls) ** 2).sum(axis=1), 9)
+        want += [(e, c, dist[c]) for c in np.lexsort((np.arange(300), dist))[:7] if dist[c] <= most]
+    assert list(zip(rows, cols, d2)) == want
