@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +19,17 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
-def centers_of(nested) -> np.ndarray:
-    return np.array([np.asarray(c, dtype=np.float64) for c in nested])
+def items(column: pa.ChunkedArray) -> pa.Array:
+    """All entries of a column of lists, one after another."""
+    return column.combine_chunks().flatten()
+
+
+def vectors_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """:func:`matrix` of an Arrow column, without an object per vector."""
+    if column.null_count:
+        raise ValueError("a vector is null")
+    flat = items(column) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -17,16 +17,20 @@ the running, and identical exposed rows are searched once.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairwell.operators.matching.blocks import block_of, blocks, chunks, matrix
+from pairwell.operators.matching.blocks import block_of, blocks, chunks, vectors_of
 from pairwell.operators.matching.cells import CellIndex, build, given_cells, place, route, search_nodes
 from pairwell.session import materialize, spread
 
+#: Groups of controls whose minima bound the k-th nearest.
+_GROUPS = 64
+
 
 def nearest_in_block(
     exposed: np.ndarray, controls: np.ndarray, k: int, limit: np.ndarray
@@ -36,7 +40,8 @@ def nearest_in_block(
     ``controls`` is in preference order: of equally near ones the first wins.
     Farther ones than a row's ``limit`` (of the squared distance) are left out.
     A matrix product gives distances up to float error; whatever is within that
-    error of the k-th is then computed exactly.
+    error of the k-th is then computed exactly.  With many controls the k-th
+    least of ``_GROUPS`` minima, which is no less than the k-th, stands for it.
     """
     center = controls.mean(axis=0)
     a, b = exposed - center, controls - center
@@ -44,14 +49,21 @@ def nearest_in_block(
     error = 2e-9 + 1e-12 * (a2.max() + b2.max())
     nth = min(k, len(b)) - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    a1, b1 = np.column_stack([a, np.ones(len(a))]), np.column_stack([-2 * b, b2]).T
+    grouped = k <= _GROUPS and len(b) >= 4 * _GROUPS
+    padding = -len(b) % _GROUPS if grouped else 0  # at no distance that counts
+    a1 = np.column_stack([a, np.ones(len(a))])
+    b1 = np.column_stack([
+        np.vstack([-2 * b, np.zeros((padding, b.shape[1]))]), np.append(b2, np.full(padding, np.inf))]).T
     for part in chunks(len(a), len(b)):
         near = a1[part] @ b1  # less the row's own a2
         bound = limit[part] - a2[part] + error
-        rows, cols = np.nonzero(near <= bound[:, None])
+        if grouped:
+            least = near.reshape(len(near), -1, _GROUPS).min(axis=1)
+            bound = np.minimum(bound, np.partition(least, nth, axis=1)[:, nth] + error)
+        rows, cols = np.nonzero(near[:, :len(b)] <= bound[:, None])
         # Where no more than k are within the limit, the k-th need not be known.
         many = np.bincount(rows, minlength=len(near)) > nth + 1
-        if many.any():
+        if not grouped and many.any():
             bound[many] = np.minimum(bound[many], np.partition(near[many], nth, axis=1)[:, nth] + error)
             rows, cols = np.nonzero(near <= bound[:, None])
         diff = exposed[rows + part.start] - controls[cols]
@@ -87,25 +99,26 @@ def _search(
         "e_block": F.explode(F.sequence(F.lit(0), F.col("eb") - 1)),
     }).drop("cb", "eb")
 
-    def search(exp: pd.DataFrame, ctl: pd.DataFrame) -> pd.DataFrame:
+    def search(exp: pa.Table, ctl: pa.Table) -> pa.Table:
         if not len(exp) or not len(ctl):
-            return pd.DataFrame({"stratum": [], "e_key": [], "control_key": [], "d2": []})
-        ctl = ctl.sort_values("key")
+            return none
+        ctl = ctl.select(["key", "vec"]).sort_by("key")
         rows, cols, d2 = nearest_in_block(
-            matrix(exp["vec"]), matrix(ctl["vec"]), k, exp["bound"].to_numpy())
-        return pd.DataFrame({
-            "stratum": exp["stratum"].to_numpy()[rows],
-            "e_key": exp["e_key"].to_numpy()[rows],
-            "control_key": ctl["key"].to_numpy()[cols],
+            vectors_of(exp["vec"]), vectors_of(ctl["vec"]), k, exp["bound"].to_numpy())
+        return pa.table({
+            "stratum": exp["stratum"].take(rows),
+            "e_key": exp["e_key"].take(rows).cast(pa.int64()),
+            "control_key": ctl["key"].take(cols).cast(pa.int64()),
             "d2": d2,
-        })
+        }).cast(none.schema)
 
     schema = T.StructType([
         routed.schema["stratum"], T.StructField("e_key", T.LongType()),
         T.StructField("control_key", T.LongType()), T.StructField("d2", T.DoubleType()),
     ])
+    none = to_arrow_schema(schema).empty_table()
     keys = [*place, "c_block", "e_block"]
-    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(search, schema)
+    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInArrow(search, schema)
 
 
 def top_k(edges: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -19,12 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairwell.operators.matching.blocks import block_of, blocks, centers_of, chunks, matrix, nearest_center, squared_distances
+from pairwell.operators.matching.blocks import (
+    block_of, blocks, chunks, items, matrix, nearest_center, squared_distances, vectors_of,
+)
 from pairwell.session import materialize, spread
 
 FANOUT, CELL_ROWS, SAMPLE = 256, 2048, 64
@@ -133,23 +137,26 @@ def _with_children(points: DataFrame, key: str, children: DataFrame, block_rows:
     right = children.join(sizes, NODE).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def run(block: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(listed):
-            return pd.DataFrame({f.name: [] for f in schema})
-        return work(block, listed.iloc[0])
+    none = to_arrow_schema(schema).empty_table()
+
+    def run(block: pa.Table, listed: pa.Table) -> pa.Table:
+        # The same types, up to whether the entries of a list may be null.
+        return work(block, listed).cast(none.schema) if len(block) and len(listed) else none
 
     keys = [*NODE, "block"]
-    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(run, schema)
+    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _step_down(points: DataFrame, cells: DataFrame, block_rows: int) -> DataFrame:
     """Points at nodes with children, moved to their nearest child."""
-    def nearest(block: pd.DataFrame, listed: pd.Series) -> pd.DataFrame:
-        vectors, centers = matrix(block["vec"]), centers_of(listed["c_center"])
+    carried = points.columns
+
+    def nearest(block: pa.Table, listed: pa.Table) -> pa.Table:
+        vectors, centers = vectors_of(block["vec"]), vectors_of(items(listed["c_center"]))
         child = nearest_center(vectors, centers)
         dist = np.sqrt(((vectors - centers[child]) ** 2).sum(axis=1))
-        ids = np.array(listed["c_node"], dtype=np.int64)
-        return block[[f.name for f in schema][:-2]].assign(child=ids[child], dist=dist)
+        ids = items(listed["c_node"]).to_numpy()
+        return block.select(carried).append_column("child", pa.array(ids[child])).append_column("dist", pa.array(dist))
 
     schema = T.StructType([*points.schema.fields, T.StructField("child", T.LongType()), T.StructField("dist", T.DoubleType())])
     moved = _with_children(points, "key", _children(cells, ["node", "center"]), block_rows, nearest, schema)
@@ -256,12 +263,12 @@ def route(
     many nodes.  With it every cell, but for those in the row's ``probed``, that
     can hold a control within the row's ``bound`` of the squared distance.
     """
-    def near(block: pd.DataFrame, listed: pd.Series) -> pd.DataFrame:
-        ids = np.array(listed["c_node"], dtype=np.int64)
-        centers = centers_of(listed["c_center"])
-        radius = np.array(listed["c_radius"], dtype=np.float64)
-        leaf = np.array(listed["c_leaf"], dtype=bool)
-        vectors = matrix(block["vec"])
+    def near(block: pa.Table, listed: pa.Table) -> pa.Table:
+        ids = items(listed["c_node"]).to_numpy()
+        centers = vectors_of(items(listed["c_center"]))
+        radius = items(listed["c_radius"]).to_numpy()
+        leaf = items(listed["c_leaf"]).to_numpy(zero_copy_only=False)
+        vectors = vectors_of(block["vec"])
         # A control tied with the bound may be farther by the rounding.
         reach = np.sqrt(block["bound"].to_numpy() + _ROUNDING)
         found = []
@@ -278,14 +285,18 @@ def route(
         rows, cols, away = (np.concatenate(x) for x in zip(*found))
         if rest:
             done = np.zeros((len(block), len(ids)), dtype=bool)
-            cells, of = np.concatenate(block["probed"].to_numpy()), np.repeat(np.arange(len(block)), block["probed"].map(len))
+            probed = block["probed"].combine_chunks()
+            cells, of = probed.flatten().to_numpy(), np.repeat(np.arange(len(block)), probed.value_lengths().to_numpy())
             by = ids.argsort()
             at = by[np.minimum(np.searchsorted(ids, cells, sorter=by), len(ids) - 1)]
             here = ids[at] == cells
             done[of[here], at[here]] = True
             keep = ~(leaf[cols] & done[rows, cols])
             rows, cols, away = rows[keep], cols[keep], away[keep]
-        return block[carried].iloc[rows].assign(node=ids[cols], away=away, leaf=leaf[cols])
+        out = block.select(carried).combine_chunks().take(pa.array(rows))
+        for name, values in (("node", ids[cols]), ("away", away), ("leaf", leaf[cols])):
+            out = out.append_column(name, pa.array(values))
+        return out
 
     carried = ["stratum", "e_key", "vec", "bound", "probed"]
     schema = T.StructType([

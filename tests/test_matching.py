@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.matching import assign, candidates, cells, components, strata
+from pairwell.operators.matching import assign, blocks, candidates, cells, components, strata
 from pairwell.session import new_path, spread
 
 
@@ -293,3 +294,26 @@ def test_nearest_in_block_with_few_and_many_within_the_limit(limit):
         dist = np.round(((exposed[e] - controls) ** 2).sum(axis=1), 9)
         want += [(e, c, dist[c]) for c in np.lexsort((np.arange(300), dist))[:7] if dist[c] <= most]
     assert list(zip(rows, cols, d2)) == want
+
+
+@pytest.mark.parametrize("limit", [np.inf, 30.0])
+def test_few_distances_are_looked_at_beside_the_nearest(monkeypatch, limit):
+    rng = np.random.default_rng(4)
+    controls = rng.normal(size=(1001, 5))
+    controls[300:330] = controls[7]
+    exposed = np.vstack([rng.normal(size=(40, 5)), controls[7]])
+    seen, nonzero = [], np.nonzero
+    monkeypatch.setattr(candidates.np, "nonzero", lambda mask: seen.append(mask.sum()) or nonzero(mask))
+    rows, cols, d2 = candidates.nearest_in_block(exposed, controls, 7, np.full(len(exposed), limit))
+    assert sum(seen) < 20 * len(exposed)
+    exact = np.round(((exposed[:, None] - controls[None]) ** 2).sum(axis=2), 9)
+    want = [(r, c, exact[r, c]) for r in range(len(exposed))
+            for c in np.lexsort((np.arange(len(controls)), exact[r]))[:7] if exact[r, c] <= limit]
+    assert list(zip(rows.tolist(), cols.tolist(), d2.tolist())) == want
+
+
+def test_vectors_are_read_from_arrow_as_one_block():
+    column = pa.chunked_array([[[1.0, 2.0]], [], [[3.0, None], [5.0, 6.0]]], pa.list_(pa.float64()))
+    assert np.array_equal(blocks.vectors_of(column.slice(1)), [[3.0, np.nan], [5.0, 6.0]], equal_nan=True)
+    with pytest.raises(ValueError):
+        blocks.vectors_of(pa.chunked_array([[[1.0, 2.0], None]], pa.list_(pa.float64())))
