@@ -120,8 +120,9 @@ def pivot_condition_flags(
     conditions: DataFrame, names: Sequence[str] = fixed.CHRONIC_CONDITIONS, *, year: int | None = None
 ) -> DataFrame:
     """One row per member with a 0/1 column per condition."""
-    flags = conditions.groupBy("member_id").agg(*[
-        F.max((F.lower("condition") == n.lower()).cast("int")).alias(labels.snake_name(n))
+    lowered = conditions.select("member_id", F.lower("condition").alias("condition"))
+    flags = lowered.groupBy("member_id").agg(*[
+        F.max((F.col("condition") == n.lower()).cast("int")).alias(labels.snake_name(n))
         for n in names
     ])
     return flags if year is None else flags.withColumn("cal_yr", F.lit(year))

@@ -262,3 +262,10 @@ def test_setting_holds_for_the_write_only(spark, partitions):
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     sinks.materialize_by_member(spark.range(20).select(F.col("id").alias("member_id")), "numbers", 3)
     assert spark.conf.get(name) == "true"
+
+
+def test_conditions_are_lowered_once(spark):
+    rows = [(1, "asthma"), (1, "COPD"), (2, "Copd"), (2, None), (None, "ASTHMA")]
+    flags = conditions.pivot_condition_flags(spark.createDataFrame(rows, "member_id int, condition string"), ["ASTHMA", "COPD"])
+    assert sorted(map(tuple, flags.collect()), key=str) == sorted([(1, 1, 1), (2, 0, 1), (None, 1, 0)], key=str)
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
