@@ -10,16 +10,16 @@ from pairwell.operators import report
 from pairwell.plans import report_cohorts
 from pairwell.session import materialize
 from suite.cases_matching import MATCHED, _NEAR, matched_rows
-from suite.cases_selection import ID, TOTALS, cohort_rows, stored_claims
+from suite.cases_selection import ID, TOTALS, cohort_columns, cohort_rows, stored_claims
 from suite.oracle import greedy_sql, mean2, r2
 from suite.registry import case
 from suite.tables import UTIL, Tables
 
 
-def neighbours(t: Tables) -> DataFrame:
+def neighbours(t: Tables, rows: DataFrame | None = None) -> DataFrame:
     """Rows shaped like a matching: each exposed row with the same month of the
     member whose number follows."""
-    rows = cohort_rows(t).select(*ID, "total_claims_p0", "age")
+    rows = (cohort_rows(t) if rows is None else rows).select(*ID, "total_claims_p0", "age")
     exposed = rows.filter("category <> 'control'").withColumn("match_key", labels.label_concat(
         F.col("category"), F.col("member_id"), F.date_format("utc_period", "yyyyMM"), sep="_"))
     partner = exposed.select(
@@ -123,7 +123,8 @@ def _(t: Tables) -> DataFrame:
         select 1 from matched m where m.member_id = c.member_id and m.utc_period = c.utc_period
         and case when m.category like '%control%' then 'control' else m.category end = c.category)""")
 def _(t: Tables) -> DataFrame:
-    return report.discarded(cohort_rows(t), neighbours(t), ID).select(*ID)
+    rows = cohort_columns(t)
+    return report.discarded(rows, neighbours(t, rows), ID).select(*ID)
 
 
 _DETAILS = f"""details as (

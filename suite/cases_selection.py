@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwell.functions import measures
 from pairwell.operators import claims, cohorts, features, report
 from pairwell.plans import report_cohorts, select_cohorts
-from suite.oracle import LEADING, POST, PRE, TRAILING, mean2, r2, wide_columns, wide_sql
+from suite.oracle import LEADING, POST, PRE, SCALED, TRAILING, mean2, r2, wide_columns, wide_sql
 from suite.registry import case
 from suite.tables import EXCLUDE, EXPOSED, Tables
 
@@ -49,6 +49,11 @@ def cohort_rows(t: Tables) -> DataFrame:
     return t.stored("cohorts", lambda: build_cohorts(t))
 
 
+def cohort_columns(t: Tables) -> DataFrame:
+    """All cohort rows with the columns that matching reads, for queries that need no others."""
+    return t.stored_part("cohorts", "matching", lambda: build_cohorts(t), [*ID, "age_band", "sex", *SCALED])
+
+
 @case("clean_window_anti_join", "select * from x_clean")
 def _(t: Tables) -> DataFrame:
     return cohorts.clean_exposed(t.events, EXPOSED, EXCLUDE, 3, 0)

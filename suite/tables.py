@@ -52,6 +52,12 @@ class Tables:
             _STORED[key] = materialize(build(), name)
         return _STORED[key]
 
+    def stored_part(self, name: str, part: str, build: Callable[[], DataFrame], columns: list[str]) -> DataFrame:
+        """Some columns of :meth:`stored`: of the table if it is written by now, else written as ``part`` without the others."""
+        if (self.spark.sparkContext.applicationId, self.sf_dir, name) in _STORED:
+            return self.stored(name, build).select(*columns)
+        return self.stored(f"{name}_{part}", lambda: build().select(*columns))
+
     @property
     def buckets(self) -> int:
         """Buckets of the member in which derived tables are stored; they grow with the star tables."""

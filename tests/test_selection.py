@@ -257,3 +257,21 @@ def test_sum_of_rounded_columns_needs_one_rounding(spark):
     once = measures.sum_periods(df, ["x"], -3, 5, rounded=True).select(F.col("x_m3_to_p5_sum").alias("once"))
     step = measures.sum_periods(df, ["x"], -3, 5).select(F.col("x_m3_to_p5_sum").alias("step"))
     assert sorted(r[0] for r in once.collect()) == sorted(r[0] for r in step.collect())
+
+
+def test_few_columns_are_stored_without_the_others(spark, tmp_path):
+    for name in ("customer", "part", "orders", "lineitem"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    t, built = Tables(spark, str(tmp_path)), []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([(1, "a", 2.0), (1, "a", 2.0), (None, "b", None)], "k int, c string, v double")
+
+    few = t.stored_part("wide", "few", build, ["k", "c"])
+    assert few.columns == ["k", "c"] and spark.read.parquet(*few.inputFiles()).columns == ["k", "c"]
+    t.stored_part("wide", "few", build, ["k", "c"])
+    assert len(built) == 1 and sorted(map(str, few.collect())) == sorted(map(str, build().select("k", "c").collect()))
+    wide = t.stored("wide", build)
+    again = t.stored_part("wide", "few", build, ["k", "c"])
+    assert len(built) == 3 and again.inputFiles() == wide.inputFiles()
