@@ -213,7 +213,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("only_category", f"with {_NEXT} select * from matched where category in ('2-HIGH', '2-HIGH control')")
 def _(t: Tables) -> DataFrame:
-    return report.only_category(neighbours(t), "2-HIGH")
+    return report.only_category(neighbours(t, cohort_columns(t)), "2-HIGH")
 
 
 @case("match_sample_join", f"""
