@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairwell.operators import features
 from pairwell.operators.matching import assign, candidates, detail, strata
 from pairwell.session import materialize
-from suite.cases_selection import ID, cohort_rows
+from suite.cases_selection import ID, cohort_columns, cohort_rows
 from suite.oracle import SCALED, WEIGHTS, greedy_sql
 from suite.registry import case
 from suite.tables import Tables
@@ -168,12 +168,17 @@ def _(t: Tables) -> DataFrame:
 
 # Cohort rows
 
-def ready(t: Tables) -> DataFrame:
-    return features.full_transformation(cohort_rows(t), ID, SCALED, EXACT, WEIGHTS)
+def ready(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    return features.full_transformation(cohort_rows(t) if rows is None else rows, ID, SCALED, EXACT, WEIGHTS)
 
 
 def _points(t: Tables) -> DataFrame:
-    return t.stored("points", lambda: strata.match_points(ready(t), ID, EXACT_COLUMNS, SCALED))
+    """Points as counted by stratum: without ids, key and vector."""
+    def build() -> DataFrame:
+        points = strata.match_points(ready(t, cohort_columns(t)), ID, EXACT_COLUMNS, SCALED)
+        return points.select("stratum", "category", "is_control")
+
+    return t.stored("counted_points", build)
 
 
 def match(t: Tables, only: list[str] | None = None) -> DataFrame:
