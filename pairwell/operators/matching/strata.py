@@ -50,13 +50,16 @@ def strata_counts(points: DataFrame, n_list: int) -> DataFrame:
     A stratum is matched if it has more controls than ``n_list``.  Strata
     without exposed rows do not occur; those without controls do.
     """
-    exposed = points.filter(~F.col("is_control")).groupBy(
-        F.col("category").alias("cohort"), "stratum"
-    ).agg(F.count("*").alias("exposed_count"))
-    control = points.filter("is_control").groupBy("stratum").agg(
-        F.count("*").alias("control_count")
-    )
-    return exposed.join(control, "stratum", "left").select(
+    # One pass over the points; a stratum then has no more rows than there are categories.
+    counted = points.groupBy("stratum", "category").agg(
+        F.count_if(~F.col("is_control")).alias("exposed_count"), F.count_if("is_control").alias("controls"))
+    strata = counted.groupBy("stratum").agg(
+        F.collect_list(F.struct(F.col("category").alias("cohort"), "exposed_count")).alias("cohorts"),
+        F.sum("controls").alias("controls"))
+    known = F.col("stratum").isNotNull() & (F.col("controls") > 0)
+    return strata.withColumn("control_count", F.when(known, F.col("controls"))).select(
+        F.inline("cohorts"), "stratum", "control_count"
+    ).filter("exposed_count > 0").select(
         "cohort", "stratum", "exposed_count", "control_count",
         F.coalesce(F.col("control_count") > n_list, F.lit(False)).alias("kept"),
     )

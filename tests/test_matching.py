@@ -317,3 +317,13 @@ def test_vectors_are_read_from_arrow_as_one_block():
     assert np.array_equal(blocks.vectors_of(column.slice(1)), [[3.0, np.nan], [5.0, 6.0]], equal_nan=True)
     with pytest.raises(ValueError):
         blocks.vectors_of(pa.chunked_array([[[1.0, 2.0], None]], pa.list_(pa.float64())))
+
+
+def test_strata_are_counted_in_one_pass(spark):
+    rows = [("a", "x", False)] * 2 + [("a", "control", True)] * 3 + [("b", "y", False), ("c", "control", True)]
+    rows += [(None, "x", False), (None, "control", True), ("a", None, False), ("a", "x", None), ("a", "y", True)]
+    points = spark.createDataFrame(rows, "stratum string, category string, is_control boolean")
+    counts = strata.strata_counts(points, 3)
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted([
+        ("x", "a", 2, 4, True), (None, "a", 1, 4, True), ("y", "b", 1, None, False), ("x", None, 1, None, False)], key=str)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
