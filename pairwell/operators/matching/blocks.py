@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements of the largest distance matrix held at once (2 MB, so that it stays in the cache).
@@ -19,6 +19,12 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
+def rows_of(vectors: DataFrame, values: int, least: int) -> int:
+    """Rows of ``vectors`` (vec) that hold about ``values`` numbers, ``least`` at least; any row tells the length."""
+    one = vectors.select(F.size("vec")).first()
+    return max(least, values // max(1, (one[0] if one else None) or 1))
+
+
 def items(column: pa.ChunkedArray) -> pa.Array:
     """All entries of a column of lists, one after another."""
     return column.combine_chunks().flatten()
@@ -56,6 +62,45 @@ def nearest_center(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
+def box_gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared L2 between all points and all boxes; 0 within a box."""
+    out = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        gap = np.maximum(low[None, :, d] - points[:, d, None], points[:, d, None] - high[None, :, d])
+        np.maximum(gap, 0, out=gap)
+        out += gap * gap
+    return out
+
+
+def halved(points: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Row numbers of ``points`` in parts of at most ``rows``: halved along the axis they vary most in, again and again."""
+    parts, rest = [], [np.arange(len(points))]
+    while rest:
+        part = rest.pop()
+        if len(part) <= rows:
+            parts.append(part)
+            continue
+        here = points[part]
+        middle = len(part) // 2
+        by = np.argpartition(here[:, here.var(axis=0).argmax()], middle)
+        rest += [part[by[:middle]], part[by[middle:]]]
+    return parts
+
+
+def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Ascending row numbers without those that have ``k`` rows of the same vector before them."""
+    bits = np.ascontiguousarray(vectors).view(np.uint64)
+    bits = bits ^ bits >> np.uint64(32)  # round numbers differ in their high bits only
+    odd = np.random.default_rng(0).integers(1 << 63, size=bits.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = (bits * odd).sum(axis=1)
+    by = sums.argsort(kind="stable")
+    start = np.maximum.accumulate(np.where(np.diff(sums[by], prepend=sums[by[:1]]) != 0, np.arange(len(by)), 0))
+    # Different vectors of one sum are not copies; of a run, those of its first row are counted.
+    same = (vectors[by] == vectors[by[start]]).all(axis=1)
+    before = same.cumsum()
+    return np.sort(by[~same | (before - before[start] < k)])
+
+
 def blocks(size: str, rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(size) / rows)).cast("int")
 

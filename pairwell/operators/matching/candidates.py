@@ -24,21 +24,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairwell.operators.matching.blocks import block_of, blocks, chunks, vectors_of
-from pairwell.operators.matching.cells import CellIndex, build, given_cells, place, route, search_nodes
+from pairwell.operators.matching.blocks import block_of, blocks, box_gaps, chunks, first_copies, halved, rows_of, vectors_of
+from pairwell.operators.matching.cells import CELL_ROWS, PLACED, CellIndex, build, given_cells, place, route, search_nodes
 from pairwell.session import materialize, spread
 
 #: Groups of controls whose minima bound the k-th nearest.
 _GROUPS = 64
+#: Fewer controls are not divided into boxes; controls in a box, exposed rows in a group, boxes visited first and at once after that.
+_FEW, _BOX, _ROWS, _FIRST, _STEP = 2048, 256, 64, 2, 8
+#: Pairs of a group that may wait for their exact distances.
+_PENDING = 250_000
+#: Levels up to which members are read as the index gives them.
+_DEEP = 3
+#: Numbers in the vectors of a block, if its rows are not given.
+_VALUES = 1 << 19
 
 
-def nearest_in_block(
+def _nearest_of_all(
     exposed: np.ndarray, controls: np.ndarray, k: int, limit: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exposed row, control row, d²) of the k nearest controls per exposed row.
+    """:func:`nearest_in_block` by all distances.
 
-    ``controls`` is in preference order: of equally near ones the first wins.
-    Farther ones than a row's ``limit`` (of the squared distance) are left out.
     A matrix product gives distances up to float error; whatever is within that
     error of the k-th is then computed exactly.  With many controls the k-th
     least of ``_GROUPS`` minima, which is no less than the k-th, stands for it.
@@ -66,18 +72,94 @@ def nearest_in_block(
         if not grouped and many.any():
             bound[many] = np.minimum(bound[many], np.partition(near[many], nth, axis=1)[:, nth] + error)
             rows, cols = np.nonzero(near <= bound[:, None])
-        diff = exposed[rows + part.start] - controls[cols]
-        dist = np.round((diff * diff).sum(axis=1), 9)
-        keep = dist <= limit[rows + part.start]
-        rows, cols, dist = rows[keep], cols[keep], dist[keep]
-        by = np.lexsort((cols, dist, rows))
-        rows, cols, dist = rows[by], cols[by], dist[by]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = place < k
-        found.append((rows[keep] + part.start, cols[keep], dist[keep]))
+        found.append(_first_k(exposed, controls, rows + part.start, cols, k, limit))
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
+def _first_k(
+    exposed: np.ndarray, controls: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, limit: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows, the k nearest per exposed row within its limit, by exact distances."""
+    diff = exposed[rows] - controls[cols]
+    dist = np.round((diff * diff).sum(axis=1), 9)
+    keep = dist <= limit[rows]
+    rows, cols, dist = rows[keep], cols[keep], dist[keep]
+    by = np.lexsort((cols, dist, rows))
+    rows, cols, dist = rows[by], cols[by], dist[by]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = place < k
+    return rows[keep], cols[keep], dist[keep]
+
+
+def nearest_in_block(
+    exposed: np.ndarray, controls: np.ndarray, k: int, limit: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exposed row, control row, d²) of the k nearest controls per exposed row.
+
+    ``controls`` is in preference order: of equally near ones the first wins.
+    Farther ones than a row's ``limit`` (of the squared distance) are left out.
+    Many controls are divided into boxes.  A group of like exposed rows visits
+    them from the nearest on, until no box is within the k-th nearest of one of
+    its rows.  Only what is within the k-th known so far is kept.
+    """
+    if len(controls) < _FEW or not len(exposed):
+        return _nearest_of_all(exposed, controls, k, limit)
+    center = controls.mean(axis=0)
+    a, b = exposed - center, controls - center
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    error = 2e-9 + 1e-12 * (a2.max() + b2.max())
+    kept = first_copies(b, k)
+    parts = [kept[part] for part in halved(b[kept], _BOX)]
+    low, high = (np.array([f(b[part], axis=0) for part in parts]) for f in (np.min, np.max))
+    # Boxes are filled up with what is at no distance that counts.
+    width = -(-max(map(len, parts)) // _GROUPS) * _GROUPS
+    ids = np.full((len(parts), width), -1)
+    boxes = np.zeros((len(parts), width, b.shape[1] + 1))
+    boxes[:, :, -1] = np.inf
+    for i, part in enumerate(parts):
+        ids[i, :len(part)] = part
+        boxes[i, :len(part), :-1], boxes[i, :len(part), -1] = -2 * b[part], b2[part]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for group in halved(a, _ROWS):
+        here = a[group]
+        gap = np.maximum(np.maximum(low - here.max(axis=0), here.min(axis=0) - high), 0)
+        gap = (gap * gap).sum(axis=1)
+        by = gap.argsort(kind="stable")
+        own, bound = a2[group], limit[group] + error
+        least = np.full((len(group), k), np.inf)
+        rows, cols = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        gaps = None
+        at, step = 0, _FIRST
+        while at < len(by):
+            visited, who = by[at:at + step], np.arange(len(group))
+            if gaps is None and at:
+                # With a bound for each row, its own distance to the boxes tells which it needs.
+                by = by[at:][gap[by[at:]] <= bound.max()]
+                gaps, at = box_gaps(here, low[by], high[by]), 0
+                continue
+            if gaps is not None:
+                needed = gaps[:, at:at + step] <= bound[:, None]
+                visited, who = visited[needed.any(axis=0)], needed.any(axis=1).nonzero()[0]
+            at, step = at + step, _STEP
+            if not len(who) or not len(visited):
+                continue
+            near = np.column_stack([here[who], np.ones(len(who))]) @ boxes[visited].reshape(-1, here.shape[1] + 1).T
+            # Less the row's own a2.  The k-th least of minima of groups is no less than the k-th.
+            minima = near.reshape(len(near), -1, _GROUPS).min(axis=1) if k <= _GROUPS else near
+            least[who] = np.partition(np.hstack([least[who], minima]), k - 1, axis=1)[:, :k]
+            bound[who] = np.minimum(bound[who], least[who].max(axis=1) + own[who] + error)
+            pairs = np.flatnonzero(near <= (bound[who] - own[who])[:, None])
+            c = ids[visited].ravel()[pairs % near.shape[1]]
+            r = group[who[pairs // near.shape[1]]]
+            rows, cols = np.append(rows, r[c >= 0]), np.append(cols, c[c >= 0])
+            if len(rows) > _PENDING:
+                rows, cols, _ = _first_k(exposed, controls, rows, cols, k, limit)
+        found.append(_first_k(exposed, controls, rows, cols, k, limit))
+    rows, cols, dist = (np.concatenate(x) for x in zip(*found))
+    by = rows.argsort(kind="stable")
+    return rows[by], cols[by], dist[by]
+
+
 def _search(
     routed: DataFrame, controls: DataFrame, k: int, block_rows: int
 ) -> DataFrame:
@@ -138,28 +220,27 @@ def search(
     n_probe: int = 10,
     exact: bool = True,
     max_distance_sq: float | None = None,
-    block_rows: int = 8192,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Edges (stratum, exposed_key, control_key, d2, rank) from ``exposed``
     (stratum, key, vec) to the k nearest controls of an index.
 
     With ``max_distance_sq`` farther controls are left out, which changes no
-    match.  ``exact=False`` searches ``n_probe`` cells only.
+    match.  ``exact=False`` searches ``n_probe`` cells only.  Blocks hold
+    ``block_rows`` rows, or as many as make a few MB.
     """
     limit = F.lit(float("inf") if max_distance_sq is None else float(max_distance_sq))
     searched = exposed.groupBy("stratum", "vec").agg(F.min("key").alias("e_key")).withColumns(
         {"bound": limit, "probed": F.array().cast("array<long>")}
     )
-    # Of controls with one vector, only the k first can be among k nearest.
-    # Sorted by their hash, vectors need comparing in full only where hashes are equal.
-    copies = W.partitionBy(F.xxhash64("vec"), "stratum", "cell", "vec").orderBy("key")
-    placed = materialize(
-        index.members.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy"),
-        "cells",
-    )
-    nodes = materialize(search_nodes(index.cells, placed), "nodes")
-    placed = placed.drop("nodes", "dists")
-    routed = route(searched, nodes, index.levels, n_probe, block_rows, rest=False)
+    searched = materialize(searched, "searched")
+    # Each level is a join more to read; those of a deep tree are read once.
+    members = index.members if index.levels <= _DEEP else materialize(index.members, "cells")
+    nodes = materialize(search_nodes(index.cells, members), "nodes")
+    placed = members.drop("nodes", "dists")
+    block_rows = block_rows or rows_of(placed, _VALUES, CELL_ROWS)
+    # What is exact visits all cells that count in any case; the nearest one bounds how far they may be.
+    routed = route(searched, nodes, index.levels, 1 if exact else n_probe, block_rows, rest=False)
     best = top_k(_search(routed, placed, k, block_rows), ["stratum", "e_key"], k)
     if exact:
         best = materialize(best, "probed")
@@ -182,7 +263,7 @@ def search(
     )
 
 
-def recall(index: CellIndex, exposed: DataFrame, *, k: int = 10, n_probe: int = 10, block_rows: int = 8192) -> float:
+def recall(index: CellIndex, exposed: DataFrame, *, k: int = 10, n_probe: int = 10, block_rows: int | None = None) -> float:
     """Share of the exact k nearest that a search of ``n_probe`` cells finds; 1.0 if there are none."""
     exact = search(index, exposed, k=k, block_rows=block_rows).select("stratum", "exposed_key", "control_key")
     some = search(index, exposed, k=k, n_probe=n_probe, exact=False, block_rows=block_rows)
@@ -194,7 +275,7 @@ def recall(index: CellIndex, exposed: DataFrame, *, k: int = 10, n_probe: int =
 
 
 def probes_for(
-    index: CellIndex, exposed: DataFrame, *, k: int = 10, target: float = 0.9, block_rows: int = 8192
+    index: CellIndex, exposed: DataFrame, *, k: int = 10, target: float = 0.9, block_rows: int | None = None
 ) -> int:
     """Cells to search for a recall of ``target``, measured on ``exposed``: 8, and half as many again until it is reached.
 
@@ -215,9 +296,10 @@ def nearest_controls(
     n_probe: int = 10,
     exact: bool = True,
     max_distance_sq: float | None = None,
-    block_rows: int = 8192,
+    block_rows: int | None = None,
     rounds: int | None = None,
     centroids: DataFrame | None = None,
+    written: bool = False,
     **tree: int,
 ) -> DataFrame:
     """Edges (stratum, exposed_key, control_key, d2, rank) to the k nearest
@@ -226,17 +308,20 @@ def nearest_controls(
     ``points`` has ``stratum``, ``key`` (long, ascending in order of
     preference), ``is_control`` and ``vec`` (array of double).  ``centroids``
     (stratum, centroids) gives the cells, of one level; else they are fitted,
-    ``tree`` naming ``fanout`` and ``cell_rows``.
+    ``tree`` naming ``fanout`` and ``cell_rows``.  ``written`` points come from
+    a stored table and are read from it again rather than copied.
     """
     controls = points.filter("is_control").select("stratum", "key", "vec")
     exposed = points.filter(~F.col("is_control")).select("stratum", "key", "vec")
     if centroids is not None:
         cells = materialize(given_cells(centroids), "centers")
-        index = CellIndex(cells, place(controls, cells, 1, block_rows), 1)
+        index = CellIndex(cells, place(controls, cells, 1, block_rows or PLACED), 1)
     else:
         # Exact results do not depend on how well the cells fit, only their cost does.
         rounds = (2 if exact else 4) if rounds is None else rounds
-        index = build(controls, n_list=n_list, rounds=rounds, block_rows=block_rows, **tree)
+        if exact and not n_list and "cell_rows" not in tree:
+            tree["cell_rows"] = rows_of(controls, _VALUES, CELL_ROWS)
+        index = build(controls, n_list=n_list, rounds=rounds, block_rows=block_rows or PLACED, written=written, **tree)
     return search(
         index, exposed, k=k, n_probe=n_probe, exact=exact, max_distance_sq=max_distance_sq, block_rows=block_rows)
 

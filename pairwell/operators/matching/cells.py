@@ -27,13 +27,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwell.operators.matching.blocks import (
-    block_of, blocks, chunks, items, matrix, nearest_center, squared_distances, vectors_of,
+    block_of, blocks, box_gaps, chunks, items, matrix, nearest_center, squared_distances, vectors_of,
 )
 from pairwell.session import materialize, spread
 
 FANOUT, CELL_ROWS, SAMPLE = 256, 2048, 64
 #: Most rows routed at once: each may go on to all children of its node.
 _ROUTED = 1024
+#: Rows in a block while controls are placed.
+PLACED = 8192
 #: A node is divided once it holds so many times the controls a cell is meant to hold.
 _FULL = 2
 # Distances are told apart to nine decimals of their square, plus float error.
@@ -55,7 +57,7 @@ class CellIndex:
     members: DataFrame
     levels: int
 
-    def add(self, controls: DataFrame, *, block_rows: int = 8192) -> CellIndex:
+    def add(self, controls: DataFrame, *, block_rows: int = PLACED) -> CellIndex:
         """The index with further ``controls`` (stratum, key, vec), the cells as they are.
 
         Controls of a stratum without cells are left out: build an index for it.
@@ -75,7 +77,7 @@ class CellIndex:
         return CellIndex(cells.drop("levels"), spark.read.parquet(f"{path}/members").drop("batch"), levels or 0)
 
     @staticmethod
-    def extend(spark: SparkSession, path: str, controls: DataFrame, batch: int, *, block_rows: int = 8192) -> CellIndex:
+    def extend(spark: SparkSession, path: str, controls: DataFrame, batch: int, *, block_rows: int = PLACED) -> CellIndex:
         """Place further controls in a stored index; a batch written again replaces itself."""
         stored = CellIndex.load(spark, path)
         placed = place(controls, stored.cells, stored.levels, block_rows)
@@ -196,17 +198,18 @@ def given_cells(centroids: DataFrame) -> DataFrame:
 
 
 def build(
-    controls: DataFrame, *, n_list: int | None = None, rounds: int = 2, block_rows: int = 8192,
-    fanout: int = FANOUT, cell_rows: int = CELL_ROWS,
+    controls: DataFrame, *, n_list: int | None = None, rounds: int = 2, block_rows: int = PLACED,
+    fanout: int = FANOUT, cell_rows: int = CELL_ROWS, written: bool = False,
 ) -> CellIndex:
     """An index of ``controls`` (stratum, key, vec).
 
     Without ``n_list`` cells are meant to hold ``cell_rows`` controls; with it
     each stratum gets about so many cells, at most one level for every power of
     ``fanout`` in it.  Equal vectors share a cell, however many they are.
+    Controls that are read from a ``written`` table are not written again.
     """
     most = math.ceil(math.log(max(n_list, 2), fanout)) if n_list else int(62 / math.log2(fanout + 1))
-    points = materialize(_at_root(controls), "placed")
+    points = _at_root(controls) if written else materialize(_at_root(controls), "placed")
     total = points.groupBy("stratum").agg(F.count("*").alias("total"))
     wanted = F.ceil(F.col("total") / n_list) if n_list else F.lit(cell_rows)
     all_cells, members, level = [], [], 0
@@ -221,14 +224,16 @@ def build(
         if level:
             # A node of one vector, or one that all go to again, stays as it is.
             several = fitted.groupBy("stratum", "parent").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-            fitted = fitted.join(several, ["stratum", "parent"], "left_semi")
+            fitted = materialize(fitted.join(several, ["stratum", "parent"], "left_semi"), "centers")
         if fitted.isEmpty():
             break
         level += 1
         here = fitted.select("stratum", F.lit(level).alias("level"), "parent", "node", "center")
         all_cells.append(here)
         parents = fitted.select("stratum", F.col("parent").alias("node")).distinct()
-        members.append(points.join(parents, NODE, "left_anti"))
+        resting = points.join(parents, NODE, "left_anti")
+        # As a rule nothing rests at the root; written, it is not looked for again.
+        members.append(resting if level > 1 else materialize(resting, "resting"))
         points = materialize(_step_down(points.join(parents, NODE, "left_semi"), here, block_rows), "placed")
     members.append(points)
     united = _united(members)
@@ -247,11 +252,17 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 # Searching
 
 def search_nodes(cells: DataFrame, members: DataFrame) -> DataFrame:
-    """Cells and inner nodes that hold members: center, the farthest member's distance, whether it has children."""
+    """Cells and inner nodes that hold members: center, the farthest member's distance, the box around the
+    members (``low``, ``high``), whether it has children."""
     radius = members.select("stratum", F.explode(F.arrays_zip("nodes", "dists")).alias("at")).groupBy(
         "stratum", F.col("at.nodes").alias("node")).agg(F.max("at.dists").alias("radius"))
+    sides = members.select("stratum", F.explode("nodes").alias("node"), "vec").select(
+        *NODE, F.posexplode("vec").alias("axis", "value")).groupBy(*NODE, "axis").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"))
+    box = sides.groupBy(*NODE).agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("sides")).select(
+        *NODE, F.col("sides.low").alias("low"), F.col("sides.high").alias("high"))
     leaves = members.select("stratum", F.col("cell").alias("node")).distinct().withColumn("leaf", F.lit(True))
-    return cells.join(radius, NODE).join(leaves, NODE, "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
+    return cells.join(radius, NODE).join(box, NODE).join(leaves, NODE, "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
 
 
 def route(
@@ -267,6 +278,7 @@ def route(
         ids = items(listed["c_node"]).to_numpy()
         centers = vectors_of(items(listed["c_center"]))
         radius = items(listed["c_radius"]).to_numpy()
+        low, high = (vectors_of(items(listed[f"c_{side}"])) for side in ("low", "high"))
         leaf = items(listed["c_leaf"]).to_numpy(zero_copy_only=False)
         vectors = vectors_of(block["vec"])
         # A control tied with the bound may be farther by the rounding.
@@ -277,7 +289,8 @@ def route(
             if rest:
                 away = np.sqrt(d2)
                 nearest = away - radius[None, :] - _FLOAT * (1 + away + radius[None, :])
-                rows, cols = np.nonzero(nearest <= reach[part, None])
+                beyond = np.sqrt(box_gaps(vectors[part], low, high)) > reach[part, None] * (1 + _FLOAT) + _FLOAT
+                rows, cols = np.nonzero((nearest <= reach[part, None]) & ~beyond)
             else:
                 rank = np.round(d2, 9).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
                 rows, cols = np.nonzero(rank < n_probe)
@@ -306,7 +319,7 @@ def route(
     at = points.select(*carried, F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("away"), F.lit(False).alias("leaf"))
     best = W.partitionBy("stratum", "e_key").orderBy("away", "node")
     for level in range(1, levels + 1):
-        here = _children(nodes.filter(F.col("level") == level), ["node", "center", "radius", "leaf"])
+        here = _children(nodes.filter(F.col("level") == level), ["node", "center", "radius", "low", "high", "leaf"])
         below = _with_children(at.filter(~F.col("leaf")), "e_key", here, min(block_rows, _ROUTED), near, schema)
         if level > 1:
             below = below.unionByName(at.filter("leaf"))

@@ -71,14 +71,14 @@ def pair_points(
     exact: bool = True,
     max_distance_sq: float | None = 50.0,
 ) -> DataFrame:
-    """Pairs for all cohorts and strata of ``points`` in one go.
+    """Pairs for all cohorts and strata of ``points``, a written table, in one go.
 
     Each cohort is matched by itself: it may use any control once.
     """
     usable = eligible_points(points, n_list)
     edges = nearest_controls(
         usable, k=k, n_list=n_list if not exact else None, n_probe=n_probe, exact=exact,
-        max_distance_sq=max_distance_sq,
+        max_distance_sq=max_distance_sq, written=True,
     )
     cohorts = usable.filter(~F.col("is_control")).select(
         F.col("key").alias("exposed_key"), F.col("category").alias("cohort")

@@ -327,3 +327,67 @@ def test_strata_are_counted_in_one_pass(spark):
     assert sorted(map(tuple, counts.collect()), key=str) == sorted([
         ("x", "a", 2, 4, True), (None, "a", 1, 4, True), ("y", "b", 1, None, False), ("x", None, 1, None, False)], key=str)
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("k", [1, 7, 70])
+def test_nearest_in_block_by_boxes_equals_all_distances(k):
+    rng = np.random.default_rng(6)
+    controls, exposed = rng.normal(size=(5000, 3)).round(1), rng.normal(size=(200, 3)).round(1)
+    controls[1000:1600] = controls[5]
+    exposed[:3] = controls[5]
+    limits = rng.choice([0.0, 0.02, 1.0, np.inf], len(exposed))
+    got = candidates.nearest_in_block(exposed, controls, k, limits)
+    want = candidates._nearest_of_all(exposed, controls, k, limits)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    none = candidates.nearest_in_block(exposed, controls, k, np.full(len(exposed), -1.0))
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_boxes_out_of_reach_are_not_visited(monkeypatch):
+    rng = np.random.default_rng(7)
+    controls, exposed = rng.normal(size=(20000, 4)), rng.normal(size=(640, 4))
+    compared, least = [], np.partition
+    monkeypatch.setattr(
+        candidates.np, "partition", lambda a, *at, **options: compared.append(a.shape[0]) or least(a, *at, **options))
+    rows, cols, _ = candidates.nearest_in_block(exposed, controls, 10, np.full(len(exposed), np.inf))
+    assert rows.tolist() == [r for r in range(len(exposed)) for _ in range(10)]
+    steps = len(exposed) * 20000 / (candidates._BOX * candidates._STEP)
+    assert 0 < sum(compared) < steps / 2
+
+
+def test_copies_are_counted_exactly():
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(0, 3, size=(500, 3)).astype(float)
+    seen, want = {}, []
+    for i, v in enumerate(map(tuple, vectors)):
+        seen[v] = seen.get(v, 0) + 1
+        if seen[v] <= 4:
+            want.append(i)
+    assert blocks.first_copies(vectors, 4).tolist() == want
+
+
+def test_a_cell_whose_box_is_out_of_reach_is_not_searched(spark):
+    points = [("s", i, [float(x), y]) for i, (x, y) in enumerate((x, y) for y in (0.0, 3.0) for x in range(-10, 11))]
+    controls = spark.createDataFrame(points, "stratum string, key long, vec array<double>")
+    centers = spark.createDataFrame([("s", [[0.0, 0.0], [0.0, 3.0]])], "stratum string, centroids array<array<double>>")
+    given = cells.given_cells(centers)
+    nodes = cells.search_nodes(given, cells.place(controls, given, 1, 16))
+    assert [(r.low, r.high) for r in nodes.sort("node").collect()] == [([-10.0, y], [10.0, y]) for y in (0.0, 3.0)]
+    row = spark.createDataFrame(
+        [("s", 1, [0.0, 3.0], 1.0, [])], "stratum string, e_key long, vec array<double>, bound double, probed array<long>")
+    assert [r.cell for r in cells.route(row, nodes, 1, 1, 16, rest=True).collect()] == [2]
+
+
+def test_written_points_are_not_copied(spark, monkeypatch):
+    data = make_points(3)
+    points = frame(spark, data)
+    sizes, kept = {}, cells.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "materialize", counted)
+    assert found(candidates.nearest_controls(points, k=5, written=True)) == brute(data, 5)
+    assert sizes["placed"] == [sum(p[2] for p in data)] and sizes["resting"] == [0]
