@@ -182,8 +182,9 @@ def _points(t: Tables) -> DataFrame:
 
 
 def match(t: Tables, only: list[str] | None = None) -> DataFrame:
+    rows = cohort_columns(t)
     matched, _ = detail.main_match(
-        cohort_rows(t), ready(t), ID, EXACT_COLUMNS, SCALED, FINAL, only=only, n_list=40,
+        rows, ready(t, rows), ID, EXACT_COLUMNS, SCALED, FINAL, only=only, n_list=40,
         k=10, max_distance_sq=50.0)
     return matched
 

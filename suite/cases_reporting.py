@@ -10,7 +10,7 @@ from pairwell.operators import report
 from pairwell.plans import report_cohorts
 from pairwell.session import materialize
 from suite.cases_matching import MATCHED, _NEAR, matched_rows
-from suite.cases_selection import ID, TOTALS, cohort_columns, cohort_rows, stored_claims
+from suite.cases_selection import ID, TOTALS, cohort_columns, cohort_rows, report_columns, stored_claims
 from suite.oracle import greedy_sql, mean2, r2
 from suite.registry import case
 from suite.tables import UTIL, Tables
@@ -147,7 +147,8 @@ def _(t: Tables) -> DataFrame:
 @case("match_and_compare", greedy_sql(_NEAR.format(""), MATCHED + f""", {_DETAILS}, {_BOTH}
     select *, {_PRE} as pmpm_pre, {_POST} as pmpm_post from (select category, {_MEANS} from both_sets group by category)"""))
 def match_and_compare(t: Tables) -> DataFrame:
-    return report_cohorts.compare(matched_rows(t), cohort_rows(t), ID)
+    details = report_columns(t).select(*ID, *TOTALS)
+    return report_cohorts.compare(matched_rows(t), details, ID)
 
 
 # The same on the pairs that the matching found.
@@ -162,7 +163,7 @@ def _on_matches(sql: str) -> str:
     from (select category, count(*) as record_count from x_cohorts where category <> 'control' group by 1) c
     left join kept k using (category)"""))
 def _(t: Tables) -> DataFrame:
-    full = cohort_rows(t).filter("category <> 'control'").groupBy("category").agg(F.count("*").alias("record_count"))
+    full = cohort_columns(t).filter("category <> 'control'").groupBy("category").agg(F.count("*").alias("record_count"))
     kept = matched_rows(t).filter(~F.col("category").contains("control")).groupBy("category").agg(F.count("*").alias("n"))
     return full.join(kept, "category", "left").select(
         "category", "record_count", F.coalesce("n", F.lit(0).cast("long")).alias("matched_count"))
@@ -173,7 +174,7 @@ def _(t: Tables) -> DataFrame:
     from matched m left join x_cohorts c on c.member_id = m.member_id and c.utc_period = m.utc_period
     and c.category = case when m.category like '%control%' then 'control' else m.category end"""))
 def _(t: Tables) -> DataFrame:
-    details = cohort_rows(t).select(*ID, "sex", "age_band", "total_claims_m1")
+    details = cohort_columns(t).select(*ID, "sex", "age_band", "total_claims_m1")
     pairs = matched_rows(t).select("match_key", "member_id", "category", "utc_period")
     return report.attach_details(pairs, details, ID)
 
@@ -183,7 +184,7 @@ def _(t: Tables) -> DataFrame:
         select 1 from matched m where m.member_id = c.member_id and m.utc_period = c.utc_period
         and case when m.category like '%control%' then 'control' else m.category end = c.category)"""))
 def _(t: Tables) -> DataFrame:
-    return report.discarded(cohort_rows(t), matched_rows(t), ID).select(*ID)
+    return report.discarded(cohort_columns(t), matched_rows(t), ID).select(*ID)
 
 
 @case("matched_sample", _on_matches("""
@@ -205,7 +206,8 @@ def _(t: Tables) -> DataFrame:
     select s.*, {r2("cast(k.record_count as double) / s.record_count * 100")} as cohort_percent, coalesce(g.n, 0)::bigint as n_discarded
     from ({_STATS} from x_cohorts group by category) s left join kept k using (category) left join gone g using (category)"""))
 def _(t: Tables) -> DataFrame:
-    tables = report_cohorts.report(matched_rows(t), cohort_rows(t), ID)
+    details = report_columns(t).select(*ID, "age", *TOTALS)
+    tables = report_cohorts.report(matched_rows(t), details, ID)
     gone = tables["discarded"].groupBy("category").agg(F.count("*").alias("n_discarded"))
     return tables["statistics"].join(tables["retention"].select("category", "cohort_percent"), "category", "left").join(
         gone, "category", "left").withColumn("n_discarded", F.coalesce("n_discarded", F.lit(0).cast("long")))

@@ -16,6 +16,8 @@ WINDOWS = select_cohorts.Windows()
 ID = ["member_id", "category", "utc_period"]
 TOTALS = [measures.offset_name("total_claims", n) for n in range(-PRE, POST + 1)]
 
+MATCHING = [*ID, "age_band", "sex", *SCALED]
+
 
 def stored_claims(t: Tables) -> DataFrame:
     return t.stored_by_member("claims", lambda: t.claims)
@@ -51,7 +53,13 @@ def cohort_rows(t: Tables) -> DataFrame:
 
 def cohort_columns(t: Tables) -> DataFrame:
     """All cohort rows with the columns that matching reads, for queries that need no others."""
-    return t.stored_part("cohorts", "matching", lambda: build_cohorts(t), [*ID, "age_band", "sex", *SCALED])
+    return t.stored_part("cohorts", "matching", lambda: build_cohorts(t), MATCHING)
+
+
+def report_columns(t: Tables) -> DataFrame:
+    """The same with the months that reports read."""
+    return t.stored_part(
+        "cohorts", "report", lambda: build_cohorts(t), [*MATCHING, *[c for c in TOTALS if c not in MATCHING]])
 
 
 @case("clean_window_anti_join", "select * from x_clean")

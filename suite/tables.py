@@ -53,9 +53,12 @@ class Tables:
         return _STORED[key]
 
     def stored_part(self, name: str, part: str, build: Callable[[], DataFrame], columns: list[str]) -> DataFrame:
-        """Some columns of :meth:`stored`: of the table if it is written by now, else written as ``part`` without the others."""
-        if (self.spark.sparkContext.applicationId, self.sf_dir, name) in _STORED:
-            return self.stored(name, build).select(*columns)
+        """Some columns of :meth:`stored`: of the table or a part of it that is written by now, else written as ``part`` without the others."""
+        here = (self.spark.sparkContext.applicationId, self.sf_dir)
+        parts = {stored: df for (*at, stored), df in _STORED.items() if (*at,) == here}
+        for stored, df in sorted(parts.items()):  # the table itself comes first
+            if (stored == name or stored.startswith(f"{name}_")) and set(columns) <= set(df.columns):
+                return df.select(*columns)
         return self.stored(f"{name}_{part}", lambda: build().select(*columns))
 
     @property

@@ -9,7 +9,7 @@ from pairwell.functions import labels, measures
 from pairwell.operators import claims, cohorts, features, report
 from pairwell.plans import select_cohorts
 from pairwell.sources import sinks
-from suite import cases_selection
+from suite import cases_matching, cases_selection, registry, tables
 from suite.tables import Tables
 
 
@@ -275,3 +275,29 @@ def test_few_columns_are_stored_without_the_others(spark, tmp_path):
     wide = t.stored("wide", build)
     again = t.stored_part("wide", "few", build, ["k", "c"])
     assert len(built) == 3 and again.inputFiles() == wide.inputFiles()
+
+
+def test_a_part_that_holds_the_columns_serves_others(spark, tmp_path):
+    for name in ("customer", "part", "orders", "lineitem"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    t, built = Tables(spark, str(tmp_path)), []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([(1, "a", 2.0)], "k int, c string, v double")
+
+    wider = t.stored_part("parts", "wider", build, ["k", "c"])
+    assert t.stored_part("parts", "few", build, ["c"]).inputFiles() == wider.inputFiles() and len(built) == 1
+    t.stored_part("parts", "other", build, ["v"])
+    assert len(built) == 2
+
+
+def test_matching_and_reports_store_the_columns_they_read(spark, monkeypatch):
+    parts = ("cohorts", "cohorts_report", "cohorts_matching")
+    monkeypatch.setattr(cases_matching.detail, "main_match", lambda cohorts, *more, **options: (cohorts, None))
+    for query, part in (("full_vs_matched", "cohorts_report"), ("main_match", "cohorts_matching")):
+        t = Tables(spark, "/root/testdata/sf0.001")
+        for key in [k for k in tables._STORED if k[1] == t.sf_dir and k[2] in parts]:
+            del tables._STORED[key]
+        registry.queries()[query](spark, t.sf_dir)
+        assert {k[2] for k in tables._STORED if k[1] == t.sf_dir} & set(parts) == {part}
