@@ -140,8 +140,9 @@ _POST = r2("(" + " + ".join(f"total_claims_p{n}" for n in range(6)) + ") / 6")
 
 @case("full_vs_matched", f"with {_NEXT}, {_DETAILS}, {_BOTH} select category, {_MEANS} from both_sets group by category")
 def _(t: Tables) -> DataFrame:
-    details = cohort_rows(t)
-    return report.full_vs_matched(details, report.attach_details(neighbours(t), details, ID), TOTALS)
+    rows = report_columns(t)
+    details = rows.select(*ID, *TOTALS)
+    return report.full_vs_matched(details, report.attach_details(neighbours(t, rows), details, ID), TOTALS)
 
 
 @case("match_and_compare", greedy_sql(_NEAR.format(""), MATCHED + f""", {_DETAILS}, {_BOTH}
